@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe_codec, exact_dedup, license_scan, packing, quality_rules, suffix_dedup, token_counts, url_filter
+from sparkloom.llm import bpe_codec, exact_dedup, license_scan, ngram_join, packing, quality_rules, suffix_dedup, token_counts, url_filter
 from sparkloom.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), quality_rules.trusted_ids(spark, sf_dir))
 
@@ -40,5 +44,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_license_scan, op4_quality_rules, op5_url_filter, op6_best_fit_packing, op7_exact_dedup, op9_token_counts, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_license_scan, op3_ngram_join, op4_quality_rules, op5_url_filter, op6_best_fit_packing, op7_exact_dedup, op9_token_counts, op10_suffix_dedup)}
 ORACLES = {"op2_license_scan": license_scan.SQL, "op5_url_filter": url_filter.SQL, "op7_exact_dedup": exact_dedup.SQL}
