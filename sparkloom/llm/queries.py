@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe_codec, exact_dedup, license_scan, ngram_join, packing, quality_rules, suffix_dedup, token_counts, url_filter
+from sparkloom.llm import bpe_codec, exact_dedup, license_scan, ngram_join, packing, quality_rules, substring_dedup, suffix_dedup, token_counts, url_filter
 from sparkloom.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.window_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_license_scan, op3_ngram_join, op4_quality_rules, op5_url_filter, op6_best_fit_packing, op7_exact_dedup, op9_token_counts, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_license_scan, op3_ngram_join, op4_quality_rules, op5_url_filter, op6_best_fit_packing, op7_exact_dedup, op8_substring_dedup, op9_token_counts, op10_suffix_dedup)}
 ORACLES = {"op2_license_scan": license_scan.SQL, "op5_url_filter": url_filter.SQL, "op7_exact_dedup": exact_dedup.SQL}

@@ -283,12 +283,14 @@ def repeated_stretches(rows: DataFrame) -> DataFrame:
     return result
 
 
-def among(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of which the key k may be in keys; the others don't reach the join's shuffle."""
+def among(rows: DataFrame, keys: DataFrame, keep: bool = False) -> DataFrame:
+    """Rows of which the key k may be in keys; the others don't reach the join's shuffle. With keep: all rows, and the
+    boolean _hit."""
     n = keys.count()
     blocks = filter_blocks(n)
     bitmaps = filter_table(keys.select(F.explode(filter_cells(F.xxhash64("k"), blocks)).alias("cell")).distinct())
-    return with_hit(rows.withColumn("_f", F.xxhash64("k")), "_f", bitmaps, blocks, "_hit").filter("_hit").drop("_f", "_hit")
+    probed = with_hit(rows.withColumn("_f", F.xxhash64("k")), "_f", bitmaps, blocks, "_hit").drop("_f")
+    return probed if keep else probed.filter("_hit").drop("_hit")
 
 
 def merged(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -315,10 +317,7 @@ def _spans(df: DataFrame, id_col: str, text_col: str, keep: list[str]) -> tuple[
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.xxhash64(F.col(id_col), text).alias("k"), F.col(id_col).alias("id"), text.alias("text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(keep)])
     spans = stored(repeated_stretches(rows.select("k", "text")).groupBy("k").agg(F.collect_set(F.struct("begin", "end")).alias("spans")))
-    n = spans.count()
-    blocks = filter_blocks(n)
-    bitmaps = filter_table(spans.select(F.explode(filter_cells(F.xxhash64("k"), blocks)).alias("cell")).distinct())
-    probed = with_hit(rows.withColumn("_f", F.xxhash64("k")), "_f", bitmaps, blocks, "_hit").drop("_f")
+    probed = among(rows, spans.select("k"), keep=True)
     hit = probed.filter("_hit").drop("_hit").join(spans, "k", "left")
     return probed.filter("NOT _hit").drop("_hit"), hit
 
