@@ -47,7 +47,7 @@ BANDS = np.array(_bands())
 def segments(band: int) -> tuple[int, int]:
     """(segments, U) of a band."""
     low, high = int(BANDS[band]), int(BANDS[band + 1]) - 1
-    return max(2, low * 58 // 100 + 2), high // 4
+    return max(2, low * 62 // 100 + 2), high // 4
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -61,14 +61,12 @@ def shingles(text: str) -> np.ndarray:
     words = text.encode().lower().split()  # bytes: only A-Z and ASCII white space count
     if not words:
         return np.empty(0, _U64)
-    data = b" ".join(words)
-    if len(words) < WORDS:
-        return np.array([xxhash.xxh3_64_intdigest(data)], dtype=_U64)
-    spaces = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
-    first = np.concatenate([[0], spaces + 1])[: len(words) - WORDS + 1].tolist()
-    last = np.append(spaces, len(data))[WORDS - 1 :].tolist()
-    digest = xxhash.xxh3_64_intdigest
-    return np.unique(np.array([digest(data[a:b]) for a, b in zip(first, last, strict=True)], dtype=_U64))
+    names = _mix(np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=_U64, count=len(words)))
+    n = min(WORDS, len(words))
+    out = np.full(len(words) - n + 1, n, _U64)
+    for j in range(n):
+        out = out * _U64(0x9E3779B97F4A7C15) + names[j : j + len(out)]
+    return np.unique(_mix(out))
 
 
 def keys(s: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
@@ -221,14 +219,31 @@ def _key_table(texts: DataFrame) -> DataFrame:
     return stored(_probed(rows, short, shared).filter("_hit").drop("_hit"))
 
 
-def similar_sets(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links (u, v) between sets. rows: k, text; classes: f, k (of one row that has the set), n; each set once."""
-    once = classes.select("k", "f")
-    copies = _probed(rows, "k", once.select("k"))
-    texts = copies.filter("_hit").select("k", "text").join(once, "k").select("text", "f")
-    live = _key_table(texts.select("text"))
-    counts = stored(live.groupBy("key").agg(F.count("*").alias("sets"), F.min("f").alias("pivot")).filter("sets >= 2"))
-    met = stored(live.join(counts, "key"))
+def _may_link(live: DataFrame, rounds: int = 2) -> DataFrame:
+    """(key, f, band, spare, sets) of sets that can have a partner: of its filled segments all but U are equal in a
+    partner's, so at least spare + 1 of a set's keys must be another set's too. Two sets that link both stay, and with
+    them the keys that they share; each round, the keys that are left alone go."""
+    for i in range(rounds):
+        counts = live.groupBy("key").agg(F.count("*").alias("sets")).filter("sets >= 2")
+        met = live.select("key", "f", "band", "spare").join(counts, "key")
+        able = met.groupBy("f", "band").agg(F.count("*").alias("n"), F.first("spare").alias("left")).filter("n > left").select("f", "band")
+        live = met.join(able, ["f", "band"], "left_semi")
+        live = stored(live)
+    counts = live.groupBy("key").agg(F.count("*").alias("_n")).filter("_n >= 2")
+    return live.join(counts, "key").select("key", "f", "band", "spare", F.col("_n").alias("sets"))
+
+
+def _each_set_once(rows: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """The texts of one row for each set; only rows that may be copies shuffle."""
+    copies = stored(sets.filter("n > 0").select("k").distinct().join(classes.select("k"), "k", "left_anti"))
+    probed = _probed(rows, "k", copies)
+    return probed.filter("NOT _hit").select("text").unionByName(probed.filter("_hit").join(copies, "k", "left_anti").select("text"))
+
+
+def similar_sets(rows: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (u, v) between sets. rows: k, text; sets: k, f, n; classes: f, k (of one row that has the set), n."""
+    texts = _each_set_once(rows, sets, classes)
+    met = stored(_may_link(_key_table(texts)))
     lacking = met.filter(F.col("sets") > COMMON).groupBy("f", "band").agg(F.count("*").alias("common"), F.first("spare").alias("left")).filter("common > left").select("f", "band")
     kept = met.filter(F.col("sets") <= COMMON).select("key", "f").unionByName(met.filter(F.col("sets") > COMMON).join(lacking, ["f", "band"]).select("key", "f"))
     pivots = kept.groupBy("key").agg(F.min("f").alias("pivot"))
@@ -244,8 +259,9 @@ def similar_sets(rows: DataFrame, classes: DataFrame) -> DataFrame:
     grouped = other.select("f", F.xxhash64("pivot", F.least("c", "o"), F.greatest("c", "o")).alias("g"))
     asked = stored(grouped.groupBy("f").agg(F.collect_set("g").alias("groups")))
 
-    hit = _probed(texts, "f", asked.select("f")).filter("_hit").select("text", "f")
-    members = hit.join(asked, "f").select("text", "f", "groups").mapInArrow(_members, "g bigint, f bigint, data binary")
+    wanted = stored(classes.select("f", "k").join(asked, "f"))
+    hit = _probed(rows, "k", wanted.select("k")).filter("_hit").select("text", "k")
+    members = hit.join(wanted, "k").select("text", "f", "groups").mapInArrow(_members, "g bigint, f bigint, data binary")
     return members.repartition("g").sortWithinPartitions("g", "f").mapInArrow(_linked, "u bigint, v bigint")
 
 
@@ -256,7 +272,7 @@ def _joined(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     sets = stored(rows.mapInArrow(_sets, "k bigint, f bigint, n bigint"))
     ids = stored(df.select(F.xxhash64(F.col(id_col), text).alias("k"), F.col(id_col).alias("id")))
     classes = stored(sets.filter("n > 0").groupBy("f").agg(F.min("k").alias("k"), F.first("n").alias("n")))
-    found = components(similar_sets(rows, classes))
+    found = components(similar_sets(rows, sets, classes))
     named = sets.dropDuplicates(["k"]).join(ids.distinct(), "k").join(found.select(F.col("node").alias("f"), "component"), "f", "left")
     named = stored(named.select("k", "id", "n", "f", F.when(F.col("n") > 0, F.coalesce("component", "f")).alias("c")))
     least = named.filter("n > 0").groupBy("c").agg(F.min("id").alias("least"))
