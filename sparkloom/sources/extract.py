@@ -1,0 +1,172 @@
+"""Extractors of binary and marked-up content, as mapInPandas over files or rows."""
+
+from __future__ import annotations
+
+import email
+import email.policy
+import io
+import re
+import tarfile
+import zipfile
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# What an archive's members are skipped for.
+SKIP_DIRS = ("__MACOSX", "node_modules", "__pycache__", ".venv", "venv", ".idea", ".vscode", "dist", "build", "target")
+SKIP_NAMES = (".DS_Store", "Thumbs.db", "desktop.ini")
+SKIP_EXTS = ("pyc", "pyo", "class", "o", "so", "dll", "exe")
+INDEX_CHARS = 120_000
+
+
+def decode(data: bytes) -> str:
+    """UTF-16 only with a mark; then UTF-8, Windows-1252, Latin-1."""
+    if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return data.decode("utf-16", "replace")
+    for name in ("utf-8-sig", "cp1252"):
+        try:
+            return data.decode(name)
+        except UnicodeDecodeError:
+            pass
+    return data.decode("latin-1")
+
+
+def decode_text(df: DataFrame, content: str = "content", out: str = "text") -> DataFrame:
+    """Valid UTF-8 without a mark is decoded in SQL; only the rest meets Python."""
+    plain = F.is_valid_utf8(F.col(content).cast("string")) & ~F.hex(F.substring(content, 1, 3)).rlike("^(EFBBBF|FFFE|FEFF)")
+    other = F.pandas_udf(lambda s: s.map(lambda b: None if b is None else decode(b)), "string")
+    return df.withColumn(out, F.when(plain, F.col(content).cast("string")).otherwise(other(F.when(~plain, F.col(content)))))
+
+
+class _Text(HTMLParser):
+    BREAKS = {"br", "p", "div", "tr", "h1", "h2", "h3", "h4", "h5", "h6"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.parts: list[str] = []
+        self.hidden = 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style")
+        self.parts.append("\n" if tag in self.BREAKS else "\n- " if tag == "li" else "")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style") and self.hidden > 0
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(data)
+
+
+def html_text(html: str | None) -> str:
+    """Breaks before blocks, list marks, blank lines gone, inner white space collapsed."""
+    parser = _Text()
+    parser.feed(html or "")
+    parser.close()
+    lines = (re.sub(r"\s+", " ", line).strip() for line in "".join(parser.parts).split("\n"))
+    return "\n".join(line for line in lines if line)
+
+
+def html_to_text(df: DataFrame, id_col: str, html: str = "html") -> DataFrame:
+    """(id, text) of HTML rows."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({id_col: f[id_col], "text": f[html].map(html_text)})
+
+    return df.select(id_col, html).mapInPandas(run, f"{id_col} {kind}, text string")
+
+
+def _skipped(path: str) -> bool:
+    parts = path.replace("\\", "/").split("/")
+    if path.startswith("/") or re.match(r"^[A-Za-z]:", path) or ".." in parts or any(p in SKIP_DIRS for p in parts[:-1]):
+        return True
+    git = ".git" in parts and "/".join(parts[parts.index(".git") + 1 :]) not in ("HEAD", "config", "logs/HEAD")
+    return git or parts[-1] in SKIP_NAMES or parts[-1].rpartition(".")[2].lower() in SKIP_EXTS
+
+
+def archive_members(name: str, data: bytes) -> Iterator[tuple[str, int, bytes]]:
+    if zipfile.is_zipfile(io.BytesIO(data)):
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            for i in z.infolist():
+                if not i.is_dir() and not _skipped(i.filename):
+                    yield i.filename, i.file_size, z.read(i)
+        return
+    try:
+        with tarfile.open(fileobj=io.BytesIO(data)) as t:
+            for m in t:
+                if m.isfile() and not _skipped(m.name):
+                    yield m.name, m.size, t.extractfile(m).read()
+    except tarfile.TarError:
+        return
+
+
+def explode_archive(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """(archive, path, size, bytes), one row per member, of zip and tar files; what is neither gives none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for name, data in zip(f[path], f[content], strict=True):
+                for member in archive_members(name, data or b""):
+                    yield pd.DataFrame([(name, *member)], columns=["archive", "path", "size", "bytes"])
+
+    return files.select(path, content).mapInPandas(run, "archive string, path string, size bigint, bytes binary")
+
+
+def parse_email(data: bytes) -> tuple:
+    m = email.message_from_bytes(data, policy=email.policy.default)
+    text, html, files = None, None, []
+    for part in m.walk():
+        if part.is_multipart():
+            continue
+        if part.get_content_disposition() == "attachment" or part.get_filename():
+            body = part.get_payload(decode=True) or b""
+            files.append({"name": part.get_filename() or "", "type": part.get_content_type(), "size": len(body)})
+        elif part.get_content_type() == "text/plain" and text is None:
+            text = decode(part.get_payload(decode=True) or b"")
+        elif part.get_content_type() == "text/html" and html is None:
+            html = decode(part.get_payload(decode=True) or b"")
+    body = text if text is not None else html_text(html)
+    return str(m["subject"] or ""), str(m["from"] or ""), str(m["to"] or ""), str(m["date"] or ""), body[:INDEX_CHARS], files
+
+
+def extract_email(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """(path, subject, sender, recipients, date, text, attachments)."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(p, *parse_email(b or b"")) for p, b in zip(f[path], f[content], strict=True)]
+            yield pd.DataFrame(rows, columns=["path", "subject", "sender", "recipients", "date", "text", "attachments"])
+
+    return files.select(path, content).mapInPandas(run, "path string, subject string, sender string, recipients string, date string, text string, attachments array<struct<name:string,type:string,size:bigint>>")
+
+
+#: Extractors by S16's pipeline names.
+EXTRACTORS = {"email": extract_email, "archive": explode_archive}
+
+
+def embed_with(df: DataFrame, embed, text: str = "text", out: str = "embedding") -> DataFrame:
+    """A column of vectors from embed(list of texts) -> list of vectors, a batch at a time."""
+
+    @F.pandas_udf("array<float>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series(list(embed(s.fillna("").tolist())))
+
+    return df.withColumn(out, run(F.col(text)))
+
+
+def rerank_with(hits: DataFrame, score, top_n: int = 80) -> DataFrame:
+    """(query_id, entry_id, rerank_score) from score(query, texts) over each query's first top_n hits (query_id,
+    query, entry_id, text, pos)."""
+    kinds = ", ".join(f"{c} {hits.schema[c].dataType.simpleString()}" for c in ("query_id", "entry_id"))
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("pos")
+        return pd.DataFrame({"query_id": f["query_id"], "entry_id": f["entry_id"], "rerank_score": [float(x) for x in score(f["query"].iloc[0], f["text"].tolist())]})
+
+    return hits.filter(F.col("pos") <= top_n).groupBy("query_id").applyInPandas(run, f"{kinds}, rerank_score double")
