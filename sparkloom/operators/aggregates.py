@@ -52,7 +52,7 @@ def slo_status(value: Column, samples: Column, target: float, least: int) -> Col
 
 def rolling_sum(events: DataFrame, key: str, at: str, value: str, seconds: int = 86400, out: str = "spent") -> DataFrame:
     """Sum over the trailing seconds up to each event."""
-    w = Window.partitionBy(key).orderBy(F.unix_seconds(at)).rangeBetween(-seconds, 0)
+    w = Window.partitionBy(key).orderBy(F.unix_seconds(F.col(at).cast("timestamp"))).rangeBetween(-seconds, 0)
     return events.withColumn(out, F.sum(value).over(w))
 
 
@@ -147,10 +147,11 @@ def retention(df: DataFrame, at: str, cutoff) -> DataFrame:
 def throughput(tasks: DataFrame, now, kind: str = "kind") -> DataFrame:
     """Per kind and overall (kind null). tasks: kind, status, created_at, started_at, finished_at."""
     count = lambda s: F.count_if(F.col("status") == s)
-    seconds = F.unix_seconds("finished_at") - F.unix_seconds("started_at")
+    at = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    seconds = at("finished_at") - at("started_at")
     return tasks.rollup(kind).agg(
         count("pending").alias("pending"), count("running").alias("running"), count("done").alias("done"), count("failed").alias("failed"),
-        F.max(F.when(F.col("status") == "pending", F.unix_seconds(now) - F.unix_seconds("created_at"))).alias("oldest_pending_s"),
+        F.max(F.when(F.col("status") == "pending", F.unix_seconds(now) - at("created_at"))).alias("oldest_pending_s"),
         F.round(F.try_divide(count("done"), count("done") + count("failed")), 6).alias("success_rate"), F.round(F.avg(F.when(F.col("status") == "done", seconds)), 6).alias("mean_s"),
     )
 

@@ -96,7 +96,7 @@ def cadence_due(tasks: DataFrame, cadence: DataFrame, now: Column) -> DataFrame:
     """Kinds (kind, seconds) with nothing in flight and the last finish longer ago."""
     busy = tasks.filter(F.col("status").isin("pending", "running")).select("kind")
     last = tasks.filter("status = 'done'").groupBy("kind").agg(F.max("finished_at").alias("last"))
-    due = F.col("last").isNull() | (F.unix_seconds(now) - F.unix_seconds("last") >= F.col("seconds"))
+    due = F.col("last").isNull() | (F.unix_seconds(now) - F.unix_seconds(F.col("last").cast("timestamp")) >= F.col("seconds"))
     return cadence.join(busy, "kind", "left_anti").join(last, "kind", "left").filter(due)
 
 

@@ -16,9 +16,13 @@ def tokens(text: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """Distinct strings of three characters, lower case."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    n = F.length(low) - 2
-    return F.when(n >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(low, i, F.lit(3))))).otherwise(F.array().cast("array<string>"))
+
+    def grams(chars: Column) -> Column:
+        n = F.size(chars) - 2
+        all_ = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2)))
+        return F.when(n >= 1, F.array_distinct(all_)).otherwise(F.array().cast("array<string>"))
+
+    return T.let(F.split(F.lower(F.coalesce(text, F.lit(""))), ""), grams)
 
 
 def trigram_match(docs: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:

@@ -11,6 +11,12 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: BM25 over the documents for passages of the benchmark, its ten best documents each."""
+    load()
+    return QUERIES["bm25_top10"](spark, sf_dir)
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def put(f: Query) -> Query:
         QUERIES[name] = f
@@ -19,3 +25,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return put
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from sparkloom.plans import queries_graph, queries_rows, queries_search, queries_tables  # noqa: F401

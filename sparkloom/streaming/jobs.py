@@ -52,7 +52,7 @@ def idle_sessions(events: DataFrame, ts: str, key: str, gap: str = "24 hours", l
 
 def slots(events: DataFrame, ts: str, width: str = "10 minutes") -> DataFrame:
     """K5: each slot that has an event, once."""
-    return events.withWatermark(ts, LATE).groupBy(F.window(ts, width)).agg(F.count("*").alias("n")).select((F.unix_seconds("window.start") / 600).cast("long").alias("slot"), "n")
+    return events.withWatermark(ts, LATE).groupBy(F.window(ts, width)).agg(F.count("*").alias("n")).select((F.unix_seconds(F.col("window.start").cast("timestamp")) / 600).cast("long").alias("slot"), "n")
 
 
 def dedup_active(events: DataFrame, ts: str, key: str = "dedup_key") -> DataFrame:
