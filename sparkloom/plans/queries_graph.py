@@ -194,3 +194,20 @@ def ablation(spark: SparkSession, d: str) -> DataFrame:
         row = scored.agg(F.round(F.avg("mrr"), 6).alias("mrr"), F.round(F.avg("recall_10"), 6).alias("recall_10")).withColumn("config", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return evaluation.ablation(out, "semantic", ["mrr", "recall_10"])
+
+
+@query("recall_funnel")
+def recall_funnel(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark passages as queries; documents by text, and by the vector of the same number."""
+    from sparkloom.operators import funnel, search
+
+    docs, bench = read(spark, d, "documents"), read(spark, d, "benchmark")
+    records, _ = _vectors(spark, d)
+    queries = bench.join(read(spark, d, "embeddings"), F.col("vec_id") == F.col("item_id")).select(F.col("item_id").alias("query_id"), F.substring("text", 20, 60).alias("query"), "embedding")
+    lexical = search.top_per_query(search.bm25(docs, queries, "doc_id").withColumn("score", F.round("score", 6)), 100)
+    sources = {"metadata_text": lexical.select("query_id", F.col("id").alias("entry_id"), "rank"), "semantic": vectors.knn(records, queries, 100)}
+    entries = docs.select(
+        F.col("doc_id").alias("entry_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("display_name"), F.substring("text", 1, 500).alias("summary"), F.col("lang").alias("kind"),
+        F.lit(False).alias("indexed_partial"), F.lit(0).alias("chunk_count"), F.lit(False).alias("truncated"),
+    )
+    return funnel.recall_funnel(queries, entries, sources, funnel.RecallOptions(10), records)

@@ -215,3 +215,21 @@ def test_lifecycle(spark):
 def test_cover(spark):
     c = lambda a, b: one(spark, graph.covered(F.array(*map(F.lit, a)), F.array(*map(F.lit, b))))
     assert c("abcde", "abcd") and not c("abcde", "abc") and not c("a", "z")
+
+
+def test_funnel(spark):
+    from sparkloom.operators import funnel
+
+    queries = spark.createDataFrame([(1, "raft log", [1.0, 0.0])], "query_id int, query string, embedding array<float>")
+    entries = spark.createDataFrame([(c, f"{c} raft", "log", "text", False, 0, False) for c in "abc"], "entry_id string, display_name string, summary string, kind string, indexed_partial boolean, chunk_count int, truncated boolean")
+    ranked = lambda *ids: spark.createDataFrame([(1, e, i) for i, e in enumerate(ids, 1)], "query_id int, entry_id string, rank int")
+    records = spark.createDataFrame([("a", "s1", [1.0, 0.0]), ("b", "s2", [0.1, 1.0])], "entry_id string, section_id string, embedding array<float>")
+    pairs = spark.createDataFrame([("a", "z", 4), ("a", "b", 9)], "a string, b string, n int")
+    got = funnel.recall_funnel(queries, entries, {"metadata_text": ranked("a", "b"), "semantic": ranked("a", "c")}, funnel.RecallOptions(3), records, relations=pairs)
+    assert [(r.entry_id, r.bucket, r.section_id) for r in got.orderBy("pos").collect()][0] == ("a", "overlap", "s1")
+    assert rows(got, "entry_id", "source") == [("a", "candidate"), ("b", "candidate"), ("c", "candidate"), ("z", "related")]
+    answers = spark.createDataFrame([(1, "see entry_id=`aabbccdd` and entry:99999999")], "answer_id int, answer string")
+    known = spark.createDataFrame([("aabbccdd-0000", "n")], "id string, name string")
+    assert rows(funnel.cited_docs(answers, known)) == [(1, "aabbccdd-0000")]
+    cov = one(spark, funnel.compact_coverage(F.create_map(F.lit("unit"), F.lit("page"), F.lit("other"), F.lit("x"))))
+    assert cov == {"unit": "page"}
