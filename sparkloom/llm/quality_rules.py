@@ -19,9 +19,11 @@ BUCKETS = 8192
 #: Labelled rows used as the target, those with the smallest hashes of their ids.
 TARGET_ROWS = 20_000
 #: Micro-nats an n-gram below which a document is dropped.
-THRESHOLD = -60_000
-#: Added to each bucket's count.
+THRESHOLD = -50_000
+#: Added to each bucket's count in the raw corpus.
 SMOOTHING = 1.0
+#: N-grams of the raw corpus, in its proportions, that are added to the target: a small target says little.
+PRIOR = 200_000
 SYMBOLS = "#*$%&|<>"
 
 
@@ -73,7 +75,8 @@ def bucket_weights(df: DataFrame, trusted: DataFrame, id_col: str, text_col: str
     import math
 
     def weight(t: int, c: int) -> int:
-        return round(1e6 * (math.log((t + SMOOTHING) / (total_t + SMOOTHING * buckets)) - math.log((c + SMOOTHING) / (total_c + SMOOTHING * buckets))))
+        raw = (c + SMOOTHING) / (total_c + SMOOTHING * buckets)
+        return round(1e6 * math.log((t + PRIOR * raw) / (total_t + PRIOR) / raw))
 
     return [weight(*counts.get(b, (0, 0))) for b in range(buckets)]
 

@@ -252,7 +252,8 @@ def test_quality_scores_by_hand(spark):
         for g in grams(t):
             raw[g] += 1
             target[g] += i < 3
-    weight = [round(1e6 * (math.log((a + 1) / (sum(target) + 8192)) - math.log((b + 1) / (sum(raw) + 8192)))) for a, b in zip(target, raw, strict=True)]
+    p = [(b + 1) / (sum(raw) + 8192) for b in raw]
+    weight = [round(1e6 * math.log((a + 200_000 * q) / (sum(target) + 200_000) / q)) for a, q in zip(target, p, strict=True)]
     assert got == {i: sum(weight[g] for g in grams(t)) for i, t in texts}
 
 
