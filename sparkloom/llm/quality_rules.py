@@ -112,7 +112,10 @@ def quality_rules(
     rows = rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     rows = rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold * F.col("_n")))
     if keep:
-        return rows.filter("kept").select(*[F.col(f"_c{i + 1}").alias(c) for i, c in enumerate(keep)])
+        # Pushed below the projections, the filter would compute their arrays anew for each use; a column that isn't
+        # deterministic keeps it above them.
+        rows = rows.withColumn("_row", F.monotonically_increasing_id())
+        return rows.filter("kept AND _row >= 0").select(*[F.col(f"_c{i + 1}").alias(c) for i, c in enumerate(keep)])
     return rows.select(F.col("_c0").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
