@@ -95,3 +95,15 @@ def keyset_page(df: DataFrame, ts: str, id_col: str, limit: int, after: tuple |
     if after is not None:
         df = df.filter((F.col(ts) < F.lit(after[0])) | ((F.col(ts) == F.lit(after[0])) & (F.col(id_col) < F.lit(after[1]))))
     return df.orderBy(F.desc(ts), F.desc(id_col)).limit(limit)
+
+
+def count_filtered(entries: DataFrame, equals: dict[str, object] | None = None, among: dict[str, Sequence] | None = None, is_null: Sequence[str] = ()) -> int:
+    """rows of search_filtered()."""
+    return search_filtered(entries, equals, among, is_null).count()
+
+
+def line_range(lines: DataFrame, first: int | None = None, last: int | None = None, no: str = "n") -> DataFrame:
+    """lines first..last, both included."""
+    if first is not None:
+        lines = lines.filter(F.col(no) >= first)
+    return lines if last is None else lines.filter(F.col(no) <= last)

@@ -140,3 +140,10 @@ def component_shared_tags(components: DataFrame, entry_tags: DataFrame, least_me
 def without_entries(edges: DataFrame, entries: DataFrame) -> DataFrame:
     """Edges that touch none of the entries (a column id)."""
     return edges.join(entries.select(F.col("id").alias("a")), "a", "left_anti").join(entries.select(F.col("id").alias("b")), "b", "left_anti").select(edges.columns)
+
+
+def direct_unvetted(edges: DataFrame, seeds: DataFrame, k: int) -> DataFrame:
+    """Per seed (a column entry) its k strongest edges that were never vetted. edges: a, b, n, vetted, last."""
+    from sparkloom.operators.joins import neighbours
+
+    return neighbours(edges.filter("vetted IS NULL").select("a", "b", "n", "last"), k, recent="last").join(seeds.select("entry"), "entry", "left_semi")

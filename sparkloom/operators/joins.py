@@ -182,3 +182,42 @@ def prior_insights(insights: DataFrame, sessions: DataFrame, k: int = 20) -> Dat
     both = shared.unionByName(sessions.select("session_id").join(F.broadcast(loose)).select("session_id", "insight_id", "created_at"))  # k rows
     w = Window.partitionBy("session_id").orderBy(F.desc("created_at"), F.desc("insight_id"))
     return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def lookup(entries: DataFrame, wanted: DataFrame, variant: str = "any", key: str = "id") -> DataFrame:
+    """Entries of the wanted ids (a column of that name): any, live or active."""
+    from sparkloom.operators import filters
+
+    out = entries.join(wanted.select(key), key, "left_semi")
+    return out if variant == "any" else out.filter(filters.live() if variant == "live" else filters.active())
+
+
+def entry_tag_names(entries: DataFrame, entry_tags: DataFrame, tags: DataFrame, canonical: bool = True) -> DataFrame:
+    """(entry_id, tag_id, name, facet) of entries (entry_id); canonical: without aliases."""
+    known = tags.filter("alias_of IS NULL") if canonical else tags
+    return entries.select("entry_id").join(entry_tags, "entry_id").join(known.select(F.col("id").alias("tag_id"), "name", "facet"), "tag_id").select("entry_id", "tag_id", "name", "facet")
+
+
+def relation_endpoints(relations: DataFrame, entries: DataFrame, files: DataFrame, least: int = 1) -> DataFrame:
+    """Relations (a, b, n) seen so often, of which both ends are live and have a summary, with names and
+    summaries. entries: id, file_id, name, deleted_at; files: file_id, summary, deleted_at."""
+    ends = with_files(entries, files).filter("summary IS NOT NULL").select("id", "name", "summary")
+    side = lambda x: ends.select(F.col("id").alias(x), F.col("name").alias(f"{x}_name"), F.col("summary").alias(f"{x}_summary"))
+    return relations.filter(F.col("n") >= least).join(side("a"), "a").join(side("b"), "b")
+
+
+def cited_entries(citations: DataFrame, entries: DataFrame) -> DataFrame:
+    """Citations (entry_id or a prefix) with the live entry's id and name, and missing."""
+    from sparkloom.operators import filters
+
+    live = entries.filter(filters.live())
+    ids = filters.resolve_id_prefix(citations.select(F.col("entry_id").alias("raw")).distinct(), live.select("id", "name")).select(F.col("raw").alias("entry_id"), "id")
+    return citations.join(ids, "entry_id", "left").join(live.select("id", "name"), "id", "left").withColumn("missing", F.col("name").isNull())
+
+
+def scoped_files(files: DataFrame, entries: DataFrame, scope: DataFrame, column: str, status: str | None = None) -> DataFrame:
+    """Distinct files of live entries whose column (catalog_id, folder_id, or entry_id for a tag's entries) is in
+    scope, by ingest status if one is given."""
+    inside = entries.filter("deleted_at IS NULL").join(scope.select(column), column, "left_semi").select("file_id").distinct()
+    out = files.filter("deleted_at IS NULL").join(inside, "file_id", "left_semi")
+    return out if status is None else out.filter(F.col("ingest_status") == status)

@@ -78,3 +78,13 @@ def metadata_rank(candidates: DataFrame, terms: DataFrame, fields: list[tuple[st
 def rank_pool(base: DataFrame, limit: int, offset: int = 0, query_id: str = "query_id", order: str = "base_rank") -> DataFrame:
     """only the first max(limit + offset, 500) rows of the base order are ranked again."""
     return base.filter(F.col(order) <= max(limit + offset, 500))
+
+
+def section_records(files: DataFrame, most: int = 200) -> DataFrame:
+    """(record_id, file_id, section_id, text): a record of each file (file_id, text, sections) and one of each of
+    its first stable sections, ids once."""
+    whole = files.select(F.col("file_id").alias("record_id"), "file_id", F.lit(None).cast("string").alias("section_id"), T.description_text(F.col("text"), F.col("sections")).alias("text"))
+    each = files.select("file_id", F.posexplode("sections").alias("_p", "s")).filter(T.is_stable_section(F.col("s")))
+    once = each.withColumn("_d", F.row_number().over(Window.partitionBy("file_id", "s.id").orderBy("_p"))).filter("_d = 1")
+    first = once.withColumn("_r", F.row_number().over(Window.partitionBy("file_id").orderBy("_p"))).filter(F.col("_r") <= most)
+    return whole.unionByName(first.select(F.concat("file_id", F.lit("#section:"), "s.id").alias("record_id"), "file_id", F.col("s.id").alias("section_id"), T.section_evidence_line(F.col("s")).alias("text")))

@@ -170,3 +170,22 @@ def rerank_with(hits: DataFrame, score, top_n: int = 80) -> DataFrame:
         return pd.DataFrame({"query_id": f["query_id"], "entry_id": f["entry_id"], "rerank_score": [float(x) for x in score(f["query"].iloc[0], f["text"].tolist())]})
 
     return hits.filter(F.col("pos") <= top_n).groupBy("query_id").applyInPandas(run, f"{kinds}, rerank_score double")
+
+
+def register_udtfs(spark) -> None:
+    """SQL-facing table functions: archive_members(bytes) gives path and size, html_lines(html) the lines of S21."""
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="path: string, size: bigint")
+    class ArchiveMembers:
+        def eval(self, data: bytes):
+            for path, size, _ in archive_members("", bytes(data or b"")):
+                yield path, size
+
+    @udtf(returnType="n: int, line: string")
+    class HtmlLines:
+        def eval(self, html: str):
+            yield from enumerate(html_text(html).split("\n"), 1)
+
+    spark.udtf.register("archive_members", ArchiveMembers)
+    spark.udtf.register("html_lines", HtmlLines)

@@ -233,3 +233,29 @@ def test_funnel(spark):
     assert rows(funnel.cited_docs(answers, known)) == [(1, "aabbccdd-0000")]
     cov = one(spark, funnel.compact_coverage(F.create_map(F.lit("unit"), F.lit("page"), F.lit("other"), F.lit("x"))))
     assert cov == {"unit": "page"}
+
+
+def test_bundled_joins(spark):
+    e = spark.createDataFrame([("aabbccdd-1", "f1", "A", None, "active", "c1"), ("11223344-2", "f2", "B", None, "demoted", "c1"), ("99", "f3", "C", dt.datetime(2024, 1, 1), "active", "c2")], "id string, file_id string, name string, deleted_at timestamp, lifecycle string, catalog_id string")
+    f = spark.createDataFrame([("f1", "s1", None, "done"), ("f2", "s2", None, "pending"), ("f3", None, None, "done")], "file_id string, summary string, deleted_at timestamp, ingest_status string")
+    wanted = e.select("id")
+    assert [joins.lookup(e, wanted, v).count() for v in ("any", "live", "active")] == [3, 2, 1]
+    rel = spark.createDataFrame([("aabbccdd-1", "11223344-2", 3), ("aabbccdd-1", "99", 9)], "a string, b string, n int")
+    assert rows(joins.relation_endpoints(rel, e, f, 2), "a_name", "b_summary") == [("A", "s2")]
+    c = spark.createDataFrame([("aabbccdd",), ("00000000",)], "entry_id string")
+    assert rows(joins.cited_entries(c, e), "entry_id", "name", "missing") == [("00000000", None, True), ("aabbccdd", "A", False)]
+    assert rows(joins.scoped_files(f, e, spark.createDataFrame([("c1",), ("c2",)], "catalog_id string"), "catalog_id", "done"), "file_id") == [("f1",)]
+    edges = rel.withColumns({"vetted": F.when(F.col("n") == 9, True), "last": F.lit("2024-01-01").cast("timestamp")})
+    assert rows(graph.direct_unvetted(edges, spark.createDataFrame([("aabbccdd-1",)], "entry string"), 5), "other") == [("11223344-2",)]
+    kind = "file_id string, text string, sections array<struct<id:string,title:string,summary:string,key_terms:array<string>,anchor:struct<unit:string,value:string>>>"
+    s = lambda i, t: (i, t, "about", ["k"], ("line", "1-2"))
+    got = search.section_records(spark.createDataFrame([("f", "body", [s("a", "Intro"), s("a", "Again"), s("b", "Page 3"), s("", "X")])], kind))
+    assert rows(got, "record_id", "text")[1] == ("f#section:a", "Intro | about | k | line 1-2")
+    assert got.count() == 2
+
+
+def test_udtfs(spark):
+    from sparkloom.sources.extract import register_udtfs
+
+    register_udtfs(spark)
+    assert [tuple(r) for r in spark.sql("SELECT line FROM html_lines('<p>a</p><li>b')").collect()] == [("a",), ("- b",)]
