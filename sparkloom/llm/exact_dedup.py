@@ -14,7 +14,7 @@ from sparkloom.llm.common import WHITE, filter_blocks, filter_cells, filter_tabl
 
 
 def _judged(df: DataFrame, id_col: str, text_col: str, keep: list[str], max_bits: int) -> DataFrame:
-    """Columns _id, _sha, _keep, _size and _c0.. for the columns of keep."""
+    """Columns _id, _sha, _keep, _size, _stays and _c0.. for the columns of keep."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     norm = F.translate(text, WHITE, "")
     total = df.count()
@@ -30,39 +30,47 @@ def _judged(df: DataFrame, id_col: str, text_col: str, keep: list[str], max_bits
     )
     probed = with_hit(rows, "_f", bitmaps, blocks, "_hit")
 
+    # Possible repeats are written once with a number for each row, so that of equal rows one can be chosen.
+    hits = stored(probed.filter("_hit").drop("_hit").withColumn("_row", F.monotonically_increasing_id()))
+    order = F.struct((-F.col("_n")).alias("n"), F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_row").alias("row"))
     groups = stored(
-        probed.filter("_hit").groupBy("_sha").agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col("_id").alias("id"))).alias("best"), F.count("*").alias("_size"))
-        .filter("_size >= 2").select("_sha", F.col("best.id").alias("_keep"), "_size")
+        hits.groupBy("_sha").agg(F.min(order).alias("best"), F.count("*").alias("_size"))
+        .filter("_size >= 2").select("_sha", F.col("best.id").alias("_keep"), F.col("best.row").alias("_first"), "_size")
     )
     # A group with a thousandth of the rows or more: there are at most a thousand, so they are broadcast, and none of
     # the groups left can fill a shuffle partition.
     hot = groups.filter(F.col("_size") * 1000 >= total)
     cold = groups.filter(F.col("_size") * 1000 < total)
-    marked = probed.join(F.broadcast(hot), "_sha", "left")
-    through = marked.filter(~F.col("_hit") | F.col("_size").isNotNull())
-    shuffled = marked.filter(F.col("_hit") & F.col("_size").isNull()).drop("_keep", "_size").join(cold, "_sha", "left")
-    both = through.unionByName(shuffled)
-    return both.withColumn("_keep", F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_keep"))).withColumn("_size", F.coalesce("_size", F.lit(1).cast("long")))
+    marked = hits.join(F.broadcast(hot), "_sha", "left")
+    settled = marked.filter("_size IS NOT NULL").unionByName(marked.filter("_size IS NULL").drop("_keep", "_first", "_size").join(cold, "_sha", "left"))
+    single = F.col("_size").isNull()
+    columns = ["_id", "_sha", *[f"_c{i}" for i in range(len(keep))]]
+    settled = settled.select(
+        *columns, F.when(single, F.col("_id")).otherwise(F.col("_keep")).alias("_keep"), F.coalesce("_size", F.lit(1).cast("long")).alias("_size"),
+        (single | (F.col("_row") == F.col("_first"))).alias("_stays"),
+    )
+    through = probed.filter("NOT _hit").select(*columns, F.col("_id").alias("_keep"), F.lit(1).cast("long").alias("_size"), F.lit(True).alias("_stays"))
+    return through.unionByName(settled)
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 28) -> DataFrame:
     """One row per row of df: id_col, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without ASCII white space; null counts as empty. Of equal texts the row with the
-    most code points stays, then the smallest id (a null id is the smallest). Rows that repeat an id and its text are
-    the same document and share its verdict; all of them count in group_size. An empty table gives an empty result;
-    other columns are ignored, whatever their names.
+    most code points stays, then the smallest id (a null id is larger than all). Of rows that are equal in both, any one
+    stays: kept is true for exactly one row of a group, and all of them count in group_size. An empty table gives an
+    empty result; other columns are ignored, whatever their names.
     """
     out = _judged(df.select(id_col, text_col), id_col, text_col, [], max_bits)
     return out.select(
         F.col("_id").alias(id_col), F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"),
-        F.col("_id").eqNullSafe(F.col("_keep")).alias("kept"), F.col("_sha").alias("text_sha256"),
+        F.col("_stays").alias("kept"), F.col("_sha").alias("text_sha256"),
     )
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 1 << 28) -> DataFrame:
     """The rows of df that stay, with its columns; see exact_groups()."""
-    out = _judged(df, id_col, text_col, df.columns, max_bits).filter(F.col("_id").eqNullSafe(F.col("_keep")))
+    out = _judged(df, id_col, text_col, df.columns, max_bits).filter("_stays")
     return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(df.columns)])
 
 

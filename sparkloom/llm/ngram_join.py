@@ -266,17 +266,18 @@ def similar_sets(rows: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFr
 
 
 def _joined(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k, id, n, component) for each row."""
+    """(k, id, n, component, stays, rows) for each distinct row: stays is true for one of each component, rows counts its repeats."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.xxhash64(F.col(id_col), text).alias("k"), text.alias("text"))
     sets = stored(rows.mapInArrow(_sets, "k bigint, f bigint, n bigint"))
     ids = stored(df.select(F.xxhash64(F.col(id_col), text).alias("k"), F.col(id_col).alias("id")))
     classes = stored(sets.filter("n > 0").groupBy("f").agg(F.min("k").alias("k"), F.first("n").alias("n")))
     found = components(similar_sets(rows, sets, classes))
-    named = sets.dropDuplicates(["k"]).join(ids.distinct(), "k").join(found.select(F.col("node").alias("f"), "component"), "f", "left")
-    named = stored(named.select("k", "id", "n", "f", F.when(F.col("n") > 0, F.coalesce("component", "f")).alias("c")))
-    least = named.filter("n > 0").groupBy("c").agg(F.min("id").alias("least"))
-    return named.join(least, "c", "left").select("k", "id", "n", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component"))
+    named = sets.dropDuplicates(["k"]).join(ids.groupBy("k", "id").agg(F.count("*").alias("rows")), "k").join(found.select(F.col("node").alias("f"), "component"), "f", "left")
+    named = stored(named.select("k", "id", "n", "f", "rows", F.when(F.col("n") > 0, F.coalesce("component", "f")).alias("c")))
+    least = named.filter("n > 0").groupBy("c").agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "k")).alias("first"))
+    component, stays = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")), (F.col("n") == 0) | (F.col("k") == F.col("first.k"))
+    return named.join(least, "c", "left").select("k", "id", "n", component.alias("component"), stays.alias("stays"), "rows")
 
 
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -291,10 +292,12 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that stay, one document of each component: the one with the smallest id."""
-    verdict = _joined(df.select(id_col, text_col), id_col, text_col).filter(~F.col("id").eqNullSafe(F.col("component"))).select("k")
-    verdict = stored(verdict.distinct())
+    """The rows of df that stay, one row of each component: the one with the smallest id (null ids are larger than all).
+    Of rows that repeat an id and its text one stays."""
+    verdict = stored(_joined(df.select(id_col, text_col), id_col, text_col).filter("NOT stays OR rows > 1").select("k", "stays"))
     keyed = df.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(df.columns)], F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("k"))
-    probed = _probed(keyed, "k", verdict)
-    stay = probed.filter("NOT _hit").drop("_hit").unionByName(probed.filter("_hit").drop("_hit").join(verdict, "k", "left_anti"))
+    probed = _probed(keyed, "k", verdict.select("k").distinct())
+    # Rows of one k are equal in id and text; those of a k that repeats are all among the hits.
+    once = probed.filter("_hit").drop("_hit").dropDuplicates(["k"]).join(verdict.filter("NOT stays").select("k"), "k", "left_anti")
+    stay = probed.filter("NOT _hit").drop("_hit").unionByName(once)
     return stay.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(df.columns)])
