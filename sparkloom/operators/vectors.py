@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,16 @@ def dot(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x))
 
 
-def _search(records: DataFrame, queries: list, k: int, euclid: bool, over: int) -> DataFrame:
+def round6(x: np.ndarray) -> np.ndarray:
+    """As Spark's round(x, 6): half up on the decimal form; only numbers near a half need it in full."""
+    scaled = np.where(np.abs(x) < 2**32, np.abs(x) * 1e6, 0)
+    out = np.where(np.abs(x) < 2**32, np.copysign(np.floor(scaled + 0.5) / 1e6, x), x)
+    for at in zip(*np.nonzero(np.abs(scaled - np.floor(scaled) - 0.5) <= 1e-9 + scaled * 1e-15), strict=True):
+        out[at] = float(Decimal(repr(float(x[at]))).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+    return out
+
+
+def _search(records: DataFrame, queries: list, k: int, euclid: bool) -> DataFrame:
     names, matrix = [q[0] for q in queries], np.array([q[1] for q in queries], dtype=np.float64)
     dims = matrix.shape[1] if len(queries) else 0
 
@@ -40,12 +51,15 @@ def _search(records: DataFrame, queries: list, k: int, euclid: bool, over: int)
             scores = matrix @ x.T
             if euclid:
                 scores = 1 / (1 + np.sqrt(np.maximum(0, (matrix**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * scores)))
-            entries = np.unique(np.array(part.column("entry_id").to_pylist(), dtype=object).astype(str), return_inverse=True)[1]
-            for q, row in enumerate(scores):
-                # The best record of each entry, then the best k entries of the batch: none that the whole needs is left out.
-                order = np.lexsort((entries, -row))
-                best = order[np.sort(np.unique(entries[order], return_index=True)[1])][: k + over]
-                best = best[row[best] >= row[best[min(k, len(best)) - 1]]]
+            entries = pc.rank(part.column("entry_id"), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy(zero_copy_only=False)
+            rounded = round6(scores)
+            # In the order of the result: no number counts as the largest.
+            keys = np.where(np.isnan(rounded), -np.inf, -rounded)
+            for q, row in enumerate(rounded):
+                # The best record of each entry, then the first k entries in the order of the result: an entry that the
+                # whole needs has fewer than k before it in any batch.
+                order = np.lexsort((-scores[q], entries, keys[q]))
+                best = order[np.sort(np.unique(entries[order], return_index=True)[1])][:k]
                 ids = part.take(pa.array(best))
                 yield pa.RecordBatch.from_arrays([pa.array([names[q]] * len(best), pa.int64()), ids.column("entry_id"), ids.column("section_id"), pa.array(row[best])], ["query_id", "entry_id", "section_id", "score"])
 
@@ -58,7 +72,7 @@ def knn(records: DataFrame, queries: DataFrame, k: int, euclid: bool = False) ->
     score, then id. records: entry_id, section_id, embedding; queries: query_id, embedding.
 
     Queries travel with the tasks in blocks of at most QUERY_BYTES, read one block at a time; what shuffles is a
-    partial top k of each Arrow batch. With ties at the k-th score a batch sends a few more.
+    partial top k of each Arrow batch, in the order of the result.
     """
     dims = queries.select(F.max(F.size("embedding")).alias("d")).first()["d"] or 1
     block = max(1, QUERY_BYTES // (8 * dims))
@@ -67,10 +81,10 @@ def knn(records: DataFrame, queries: DataFrame, k: int, euclid: bool = False) ->
     for row in queries.select("query_id", "embedding").toLocalIterator():
         held.append((row["query_id"], row["embedding"]))
         if len(held) == block:
-            parts.append(_search(records, held, k, euclid, k))
+            parts.append(_search(records, held, k, euclid))
             held = []
     if held or not parts:
-        parts.append(_search(records, held, k, euclid, k))
+        parts.append(_search(records, held, k, euclid))
     hits = parts[0]
     for p in parts[1:]:
         hits = hits.unionByName(p)
