@@ -2,6 +2,9 @@
 
 Each sentence of a text is normalised and looked up among known licence sentences; the identifiers found, in the order
 of the text, are then matched against ordered rules. All of it is built-in expressions on one row: no shuffle.
+
+One-line notices are looked up line by line. Sentences of licence texts (license_phrases) may be wrapped: they are
+searched in sentences that end at a blank line or at . ! or ? only.
 """
 
 from __future__ import annotations
@@ -9,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.license_phrases import PHRASES, TEXT_RULES, WORDS
+
 #: Known sentences, normalised: lower case, runs of other characters than a-z, 0-9 as one space.
 SENTENCES = {
     "MIT_NAME": "released under the mit license",
@@ -35,25 +40,63 @@ RULES = (
 BREAK = r"\n|[.!?][ \t\r\f]+"
 
 
+#: A sentence that may be wrapped ends at a line without letters and digits, or at . ! or ? before white space; the
+#: lines of such sentences are those of BREAK.
+WRAPPED_BREAK = r"\n[^a-z0-9\n]*\n|[.!?][ \t\r\f\n]+"
+
+
+def _lower(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _normal(s: Column) -> Column:
+    return F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
+
+
 def sentences(text: Column) -> Column:
     """The normalised, non-empty sentences of a text."""
-    parts = F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), BREAK)
-    return F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))), lambda s: s != "")
+    return F.filter(F.transform(F.split(_lower(text), BREAK), _normal), lambda s: s != "")
 
 
-def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
+def _struct_array(pairs, first: str, second: str) -> Column:
+    return F.array(*[F.struct(F.lit(a).alias(first), F.lit(b).alias(second)) for a, b in pairs])
+
+
+def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, str] = SENTENCES, rules=RULES + TEXT_RULES, phrases=PHRASES, words=WORDS) -> DataFrame:
     """Per row of df: id_col, n_sentences, n_known, sentence_ids and licenses (both joined by |).
 
     A null text is empty: no sentences, empty strings. Repeated rows give repeated results; other columns are ignored.
+    n_sentences counts the pieces that BREAK makes, as if no sentence were wrapped. known are whole pieces or whole
+    wrapped sentences, phrases stand anywhere in a wrapped sentence, and all of these have one of words in them.
     Licences stand in the order of the rules, each once.
     """
     ids = F.create_map(*[F.lit(x) for name, sentence in known.items() for x in (sentence, name)])
-    rows = df.select(F.col(id_col), sentences(F.coalesce(F.col(text_col), F.lit(""))).alias("_s"))
-    found = rows.select(id_col, F.size("_s").alias("n_sentences"), F.filter("_s", lambda s: s.isin(*known.values())).alias("_k"))
-    found = found.select(id_col, F.col("n_sentences").cast("long"), F.size("_k").cast("long").alias("n_known"), F.array_join(F.transform("_k", lambda s: F.element_at(ids, s)), "|").alias("sentence_ids"))
+    wanted = _struct_array(phrases, "name", "phrase")
+
+    def named(parts: Column) -> Column:
+        return F.transform(F.filter(parts, lambda s: s.isin(*known.values())), lambda s: F.element_at(ids, s))
+
+    def has_word(s: Column) -> Column:
+        return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(s, w))
+
+    def of_wrapped(part: Column) -> Column:
+        # What the sentence as a whole gives besides its lines, then what these give.
+        def whole(s: Column) -> Column:
+            inside = F.filter(wanted, lambda p: F.contains(F.concat(F.lit(" "), s, F.lit(" ")), F.concat(F.lit(" "), p["phrase"], F.lit(" "))))
+            return F.array_union(named(F.array(s)), F.transform(inside, lambda p: p["name"]))
+
+        lines = named(F.transform(F.split(part, "\n"), _normal))
+        return F.when(has_word(part), F.concat(F.array_except(F.flatten(F.transform(F.array(_normal(part)), whole)), lines), lines)).otherwise(lines)
+
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.select(F.col(id_col), sentences(text).alias("_s"), _lower(text).alias("_t"))
+    wrapped = F.flatten(F.transform(F.split("_t", WRAPPED_BREAK), of_wrapped))
+    found = rows.select(id_col, F.size("_s").alias("n_sentences"), F.when(has_word(F.col("_t")), wrapped).otherwise(named(F.col("_s"))).alias("_k"))
+    found = found.select(id_col, F.col("n_sentences").cast("long"), F.size("_k").cast("long").alias("n_known"), F.array_join("_k", "|").alias("sentence_ids"))
     line = F.concat(F.lit("|"), F.col("sentence_ids"), F.lit("|"))
-    hits = [F.when(F.contains(line, F.lit("|" + "|".join(sequence) + "|")), F.lit(name)) for name, sequence in rules]
-    return found.withColumn("licenses", F.array_join(F.array_distinct(F.array_compact(F.array(*hits))), "|"))
+    tests = _struct_array([(name, "|" + "|".join(sequence) + "|") for name, sequence in rules], "name", "ids")
+    hits = F.transform(F.filter(tests, lambda r: F.contains(line, r["ids"])), lambda r: r["name"])
+    return found.withColumn("licenses", F.when(F.col("sentence_ids") == "", F.lit("")).otherwise(F.array_join(F.array_distinct(hits), "|")))
 
 
 def _sql() -> str:
