@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 64
-
 
 def with_files(entries: DataFrame, files: DataFrame) -> DataFrame:
     """Live entries with their live files."""
@@ -61,14 +59,14 @@ def reference_validity(notes: DataFrame, entries: DataFrame, files: DataFrame) -
     return marked.groupBy("note_id").agg(stale.alias("is_stale"), F.array_sort(F.collect_set("reason")).alias("reasons"))
 
 
-def closure(nodes: DataFrame, id_col: str = "id", parent: str = "parent_id", max_depth: int = MAX_DEPTH) -> DataFrame:
+def closure(nodes: DataFrame, id_col: str = "id", parent: str = "parent_id") -> DataFrame:
     """(ancestor, id, depth) for every node, itself at depth 0. Doubles paths each round, so a tree of depth d
-    takes log2(d) joins; a node on a cycle stops where it comes back to itself."""
+    takes log2(d) joins; a node on a cycle stops where it comes back to itself, and with the least depth of each pair it ends."""
     up = nodes.filter(F.col(parent).isNotNull()).select(F.col(id_col).alias("id"), F.col(parent).alias("ancestor")).join(nodes.select(F.col(id_col).alias("ancestor")), "ancestor")
     paths = up.select("ancestor", "id", F.lit(1).alias("depth")).filter("ancestor <> id").checkpoint()
     while True:
         longer = paths.alias("a").join(paths.alias("b"), F.col("a.ancestor") == F.col("b.id")).select(F.col("b.ancestor").alias("ancestor"), F.col("a.id").alias("id"), (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        longer = longer.filter(f"ancestor <> id AND depth <= {max_depth}").unionByName(paths)
+        longer = longer.filter("ancestor <> id").unionByName(paths)
         grown = longer.groupBy("ancestor", "id").agg(F.min("depth").alias("depth")).checkpoint()
         if grown.count() == paths.count():
             break
