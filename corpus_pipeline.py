@@ -13,6 +13,11 @@ from sparkloom.llm import exact_dedup, ngram_join, packing, quality_rules, suffi
 from sparkloom.llm.common import stored
 
 
+#: Bytes of a repeated string. Passages of over 50 words count as repeats, and 51 words of prose have 265 bytes or more
+#: in 19 cases of 20 in the languages here, 230 in 99 of 100.
+REPEAT_BYTES = 240
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality_rules.quality_rules(docs, quality_rules.trusted_ids(spark, sf_dir), keep=docs.columns)
@@ -29,8 +34,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without strings that stand elsewhere too; n_chars follows the text."""
-    cut = suffix_dedup.suffix_dedup(docs)
+    """All documents, without strings of REPEAT_BYTES bytes that stand elsewhere too; n_chars follows the text.
+
+    Every copy of such a string goes, the first one too: what many pages share is mostly boilerplate, and no copy is
+    the original. A document that is repeated text and nothing else stays as an empty one. Null texts stay null."""
+    cut = suffix_dedup.suffix_dedup(docs, length=REPEAT_BYTES)
     return cut.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

@@ -1,18 +1,21 @@
 """Repeated byte strings, by sorting the suffixes at sampled anchors.
 
-Every window of LENGTH bytes has one anchor: the smallest hash of a 24-byte string within its first 200 bytes. So equal
-windows have equal anchors at equal places, and all of an anchor's windows share the 224 bytes after it, its core.
-Spark groups anchors by core. An anchor whose whole stretch of windows occurs twice is settled by that count. What is
-left are the ends of repeats: there the suffixes behind and the reversed prefixes before the core are sorted (multikey
-quicksort to a shallow depth, blind tries for what is still equal), neighbours give the longest possible match on
-either side, and the windows left over are compared as they are. Groups too large for one task are split first into
-halves of their windows, each with a longer core, until they are small or a core is a whole window.
+Every window of `length` bytes has one anchor: the smallest hash of a 24-byte string within its first half. So equal
+windows have equal anchors at equal places, and all of an anchor's windows share the bytes after it up to the shortest
+window's end, its core. Spark groups anchors by core. An anchor whose whole stretch of windows occurs twice is settled
+by that count. What is left are the ends of repeats: there the suffixes behind the core and the reversed prefixes
+before it are sorted (multikey quicksort to a shallow depth, blind tries for what is still equal), and the common
+prefixes of neighbours in the two orders decide how far each member's match with any other reaches to either side.
+Groups too large for one task are split first into halves of their windows, each with a longer core, until they are
+small or a core is a whole window.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,21 +27,24 @@ from sparkloom.llm.common import filter_blocks, filter_cells, filter_table, stor
 
 LENGTH = 400
 GRAM = 24
-SPAN = LENGTH // 2
-#: The most bytes from a window's start to its anchor, and the bytes that all windows of an anchor share.
-REACH = SPAN - GRAM
-CORE = LENGTH - REACH
-#: Members of a core that one task sorts at once.
+#: Members of a core that one task sorts at once. A larger group isn't cut: its windows are split (_halves).
 GROUP = 2000
 #: Bytes that the multikey quicksort looks at; longer common prefixes go to blind tries.
 SHALLOW = 32
+#: Bytes before and after cores that one Arrow batch holds.
+BATCH_BYTES = 16 << 20
 _TABLE = np.random.default_rng(10).integers(1, 1 << 32, 256, dtype=np.uint32)
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def reach(length: int) -> int:
+    """The most bytes from a window's start to its anchor; the anchor's core has length - reach(length) bytes."""
+    return length // 2 - GRAM
+
+
+def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Places of the anchors, and the first and last window start of each."""
     n = len(data)
-    if n < LENGTH:
+    if n < length:
         none = np.empty(0, np.int64)
         return none, none, none
     h, width = _TABLE[data], 1
@@ -51,11 +57,11 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h *= np.uint32(0x85EBCA6B)
     h ^= h >> np.uint32(13)
     v = (h.astype(np.uint64) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
-    width, w = 1, REACH + 1
+    width, w = 1, reach(length) + 1
     while 2 * width <= w:
         v = np.minimum(v[:-width], v[width:])
         width *= 2
-    v = np.minimum(v[: len(v) - (w - width)], v[w - width :])[: n - LENGTH + 1]
+    v = np.minimum(v[: len(v) - (w - width)], v[w - width :])[: n - length + 1]
     at = (v & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.diff(at, prepend=-1))
     return at[first], first, np.append(first[1:], len(at)) - 1
@@ -138,43 +144,85 @@ def deep_shallow(strings: list[bytes]) -> list[int]:
     return out
 
 
-def _longest(strings: list[bytes]) -> list[int]:
-    """The longest prefix that each string shares with any other: with a neighbour in their order."""
-    order, out = deep_shallow(strings), [0] * len(strings)
-    for a, b in zip(order, order[1:], strict=False):
-        n = lcp(strings[a], strings[b])
-        out[a], out[b] = max(out[a], n), max(out[b], n)
+def _ordered(strings: list[bytes]) -> tuple[list[int], list[int]]:
+    """The order of strings, and the prefix that each place in it shares with the place before."""
+    order = deep_shallow(strings)
+    return order, [0, *[lcp(strings[a], strings[b]) for a, b in zip(order, order[1:], strict=False)]]
+
+
+def _between(common: list[int]):
+    """Least of common[i + 1 .. j], by a table of the least of runs of 2^k."""
+    levels, width = [common], 1
+    while 2 * width <= len(common):
+        last = levels[-1]
+        levels.append([min(a, b) for a, b in zip(last, last[width:], strict=False)])
+        width *= 2
+
+    def least(i: int, j: int) -> int:
+        k = (j - i).bit_length() - 1
+        return min(levels[k][i + 1], levels[k][j + 1 - (1 << k)])
+
+    return least
+
+
+def _furthest(order: list[int], common: list[int], other: list[int], other_common: list[int], needed: int) -> list[int]:
+    """For each string the longest prefix in `order` shared with a string whose prefix in the other order makes up at
+    least `needed` bytes with it; -1 without one.
+
+    Neighbours in `order` are merged from the longest common prefix to the shortest. Within a merged run all strings
+    share that prefix at least, and the best partner in the other order is a neighbour there. A string that finds none
+    at one length can only find one at a shorter length next to a string that has just come to its run."""
+    n = len(order)
+    rank, least = [0] * n, _between(other_common)
+    for r, i in enumerate(other):
+        rank[i] = r
+    out, most = [-1] * n, max(other_common)
+    runs: list[list[int]] = [[rank[i]] for i in order]  # of a run's root: its ranks, sorted
+    parent = list(range(n))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for k in sorted(range(1, n), key=common.__getitem__, reverse=True):
+        shared = common[k]
+        if shared + most < needed:
+            break
+        small, large = sorted((root(k - 1), root(k)), key=lambda i: len(runs[i]))
+        few, many = runs[small], runs[large]
+        parent[small], runs[small] = large, []
+        for r in few:
+            insort(many, r)
+        for r in few:
+            at = bisect_left(many, r)
+            for x, y in ((at - 1, at), (at, at + 1)):
+                if x >= 0 and y < len(many):
+                    a, b = other[many[x]], other[many[y]]
+                    if (out[a] < 0 or out[b] < 0) and shared + least(many[x], many[y]) >= needed:
+                        out[a], out[b] = max(out[a], shared), max(out[b], shared)
     return out
 
 
-def resolve(members: list[tuple[bytes, bytes, int, int]]) -> list[tuple[int, int] | None]:
-    """Of members (bytes before the core, bytes after it, first and last distance from a window's start to the
-    anchor), the smallest and largest distance of a window that another member has too."""
-    right = _longest([m[1] for m in members])
-    left = _longest([m[0][::-1] for m in members])
-    asked = [(max(m[2], REACH - r), min(m[3], n)) for m, r, n in zip(members, right, left, strict=True)]
-    # Every member that has a window has it within its own asked range, so the ranges suffice as the other side too.
-    seen: dict[tuple[int, bytes, bytes], int] = {}
-    twice: dict[int, list[int]] = {}
-    for i, ((before, after, _, _), (lo, hi)) in enumerate(zip(members, asked, strict=True)):
-        for d in range(lo, hi + 1):
-            other = seen.setdefault((d, before[len(before) - d :], after[: REACH - d]), i)
-            if other != i:
-                twice.setdefault(other, []).append(d)
-                twice.setdefault(i, []).append(d)
-    return [(min(twice[i]), max(twice[i])) if i in twice else None for i in range(len(members))]
-
-
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def resolve(members: list[tuple[bytes, bytes]], needed: int) -> list[tuple[int, int] | None]:
+    """Of members (bytes before the core, bytes after it) the smallest and largest distance from the anchor back to
+    the start of a window that another member has too; a window has `needed` bytes besides the core."""
+    behind, before = _ordered([m[1] for m in members]), _ordered([m[0][::-1] for m in members])
+    right, left = _furthest(*behind, *before, needed), _furthest(*before, *behind, needed)
+    return [(needed - r, n) if r >= 0 else None for r, n in zip(right, left, strict=True)]
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    core = length - reach(length)
     for batch in batches:
         keys = batch.column(0).to_pylist()
         out: list[list] = [[] for _ in range(6)]
-        for key, text in zip(keys, batch.column(1).to_pylist(), strict=True):
-            data = text.encode()
-            at, first, last = anchors(np.frombuffer(data, np.uint8))
+        for key, data in zip(keys, batch.column(1).to_pylist(), strict=True):
+            at, first, last = anchors(np.frombuffer(data, np.uint8), length)
             places, firsts, lasts = at.tolist(), first.tolist(), last.tolist()
-            out[0] += [xxhash.xxh3_64_intdigest(data[p : p + CORE]) for p in places]
-            out[1] += [xxhash.xxh3_64_intdigest(data[a : b + LENGTH], p - a) for p, a, b in zip(places, firsts, lasts, strict=True)]
+            out[0] += [xxhash.xxh3_64_intdigest(data[p : p + core]) for p in places]
+            out[1] += [xxhash.xxh3_64_intdigest(data[a : b + length], p - a) for p, a, b in zip(places, firsts, lasts, strict=True)]
             out[2] += [key] * len(places)
             out[3] += places
             out[4] += (at - last).tolist()
@@ -186,6 +234,8 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _ROW = "core bigint, stretch bigint, k bigint, at int, lo int, hi int"
+_MEMBER = "core bigint, n bigint, k bigint, at int, lo int, hi int, before binary, after binary"
+_MEMBER_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
 
 
 def _batch(out: list[list]) -> pa.RecordBatch:
@@ -194,27 +244,33 @@ def _batch(out: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, ["core", "stretch", "k", "at", "lo", "hi"])
 
 
-def _around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, members of it) -> the members with the bytes before and after their cores."""
-    names = ["core", "n", "k", "at", "lo", "hi", "before", "after"]
+def _around(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """(data, members of it) -> the members with the bytes before and after their cores."""
+    core, names = length - reach(length), ["core", "n", "k", "at", "lo", "hi", "before", "after"]
+
+    def emit(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * 8
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _MEMBER_TYPES, strict=True)], names)
+
+    rows, size = [], 0
     for batch in batches:
-        rows = []
-        for text, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            data = text.encode()
+        for data, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             for m in members:
                 p, hi, lo = m["at"], m["hi"], m["lo"]
-                rows.append((m["core"], m["n"], m["k"], p, lo, hi, data[p - hi : p], data[p + CORE : p - lo + LENGTH]))
-        columns = list(zip(*rows, strict=True)) or [()] * 8
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+                rows.append((m["core"], m["n"], m["k"], p, lo, hi, data[p - hi : p], data[p + core : p - lo + length]))
+                size += length
+                if size >= BATCH_BYTES:
+                    yield emit(rows)
+                    rows, size = [], 0
+    yield emit(rows)
 
 
-def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _resolved(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Members sorted by core -> stretches (k, begin, end) of those that occur once."""
 
     def settle(group: list[dict]) -> list[tuple[int, int, int]]:
-        found = resolve([(m["before"], m["after"], m["lo"], m["hi"]) for m in group])
-        return [(m["k"], m["at"] - d[1], m["at"] - d[0] + LENGTH) for m, d in zip(group, found, strict=True) if d and m["n"] == 1]
+        found = resolve([(m["before"], m["after"]) for m in group], reach(length))
+        return [(m["k"], m["at"] - d[1], m["at"] - d[0] + length) for m, d in zip(group, found, strict=True) if d and m["n"] == 1]
 
     def emit(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True)) or [()] * 3
@@ -232,12 +288,12 @@ def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield emit(settle(group) if group else [])
 
 
-def _halves(members: DataFrame) -> DataFrame:
+def _halves(members: DataFrame, length: int) -> DataFrame:
     """Each member once or twice: for the nearer and the farther half of its group's distances, with the bytes that
     all those windows share taken into the core."""
     mid = F.floor((F.col("a") + F.col("b")) / 2).cast("int")
     near = F.struct(
-        F.xxhash64("core", mid, F.lit(0), F.expr(f"substring(after, 1, {REACH + 1} - cast(floor((a + b) / 2) as int))")).alias("core"),
+        F.xxhash64("core", mid, F.lit(0), F.expr(f"substring(after, 1, {reach(length) + 1} - cast(floor((a + b) / 2) as int))")).alias("core"),
         F.col("lo").alias("lo"), F.least(F.col("hi"), mid - 1).alias("hi"), F.col("a").alias("a"), mid.alias("b"),
     )
     far = F.struct(
@@ -248,34 +304,35 @@ def _halves(members: DataFrame) -> DataFrame:
     return part.select("h.core", "n", "k", "at", "h.lo", "h.hi", "before", "after", "h.a", "h.b")
 
 
-def repeated_stretches(rows: DataFrame) -> DataFrame:
-    """(k, begin, end): bytes to remove from the text with key k. rows: k, text."""
-    occurrences = stored(rows.mapInArrow(_anchor_rows, _ROW))
+def repeated_stretches(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(k, begin, end): bytes of the text with key k that are covered by strings of `length` bytes that also start
+    elsewhere. rows: k, data (binary)."""
+    occurrences = stored(rows.select("k", "data").mapInArrow(partial(_anchor_rows, length=length), _ROW))
     one = occurrences.groupBy("core", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("k", "at", "lo", "hi")).alias("first"))
     one = stored(one)
     cores = one.groupBy("core").agg(F.sum("n").alias("total"), F.count("*").alias("stretches"), F.min("n").alias("least"))
     mixed = one.join(cores.filter("stretches >= 2 AND least = 1").select("core"), "core")
     whole = occurrences.join(one.filter("n >= 2").select("core", "stretch"), ["core", "stretch"])
-    out = [whole.select("k", (F.col("at") - F.col("hi")).alias("begin"), (F.col("at") - F.col("lo") + LENGTH).alias("end"))]
+    out = [whole.select("k", (F.col("at") - F.col("hi")).alias("begin"), (F.col("at") - F.col("lo") + length).alias("end"))]
 
     asked = stored(mixed.select("core", "n", "first.*"))
     wanted = asked.groupBy("k").agg(F.collect_list(F.struct("core", "n", "k", "at", "lo", "hi")).alias("members"))
-    texts = among(rows, wanted.select("k")).join(wanted, "k").select("text", "members")
-    members = texts.mapInArrow(_around, "core bigint, n bigint, k bigint, at int, lo int, hi int, before binary, after binary")
-    work = stored(members.withColumns({"a": F.lit(0), "b": F.lit(REACH + 1)}))
+    texts = among(rows, wanted.select("k")).join(wanted, "k").select("data", "members")
+    members = texts.mapInArrow(partial(_around, length=length), _MEMBER)
+    work = stored(members.withColumns({"a": F.lit(0), "b": F.lit(reach(length) + 1)}))
     while True:
         sizes = work.groupBy("core").agg(F.count("*").alias("size"))
         large = sizes.filter(F.col("size") > GROUP).select("core")
         small = work.join(sizes.filter(f"size BETWEEN 2 AND {GROUP}").select("core"), "core")
         sorted_ = small.repartition("core").sortWithinPartitions("core").select("core", "n", "k", "at", "lo", "hi", "before", "after")
-        out.append(stored(sorted_.mapInArrow(_resolved, "k bigint, begin int, end int")))
-        more = stored(_halves(work.join(large, "core")))
+        out.append(stored(sorted_.mapInArrow(partial(_resolved, length=length), "k bigint, begin int, end int")))
+        more = stored(_halves(work.join(large, "core"), length))
         if more.isEmpty():
             break
         # A core that is a whole window is settled by its count.
         single = more.filter("b - a = 1")
         again = single.join(single.groupBy("core").count().filter("count >= 2").select("core"), "core").filter("n = 1")
-        out.append(again.select("k", (F.col("at") - F.col("a")).alias("begin"), (F.col("at") - F.col("a") + LENGTH).alias("end")))
+        out.append(again.select("k", (F.col("at") - F.col("a")).alias("begin"), (F.col("at") - F.col("a") + length).alias("end")))
         work = more.filter("b - a > 1")
     result = out[0]
     for part in out[1:]:
@@ -312,24 +369,29 @@ def without(data: bytes, stretches: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def _spans(df: DataFrame, id_col: str, text_col: str, keep: list[str]) -> tuple[DataFrame, DataFrame]:
+def _spans(df: DataFrame, id_col: str, text_col: str, keep: list[str], length: int) -> tuple[DataFrame, DataFrame]:
     """(rows without repeats, rows with them and the array `spans`); columns k, id, text, _c0.. for keep."""
+    if length < 4 * GRAM:
+        raise ValueError(f"length must be {4 * GRAM} at least")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.xxhash64(F.col(id_col), text).alias("k"), F.col(id_col).alias("id"), text.alias("text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(keep)])
-    spans = stored(repeated_stretches(rows.select("k", "text")).groupBy("k").agg(F.collect_set(F.struct("begin", "end")).alias("spans")))
+    found = repeated_stretches(rows.select("k", F.col("text").cast("binary").alias("data")), length)
+    spans = stored(found.groupBy("k").agg(F.collect_set(F.struct("begin", "end")).alias("spans")))
     probed = among(rows, spans.select("k"), keep=True)
     hit = probed.filter("_hit").drop("_hit").join(spans, "k", "left")
     return probed.filter("NOT _hit").drop("_hit"), hit
 
 
-def suffix_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """Per row of df: id_col, n_bytes, n_removed, n_spans, kept_sha256.
 
-    A text is its UTF-8 bytes, null is empty. Removed is every byte covered by a LENGTH-byte string that also starts
-    anywhere else, in the same text too; strings are judged on the input and don't cross texts. Rows that repeat an id
-    and its text are copies of each other. An empty table gives an empty result, other columns are ignored.
+    A text is its UTF-8 bytes, null is empty. Removed is every byte covered by a string of `length` bytes that also
+    starts anywhere else, in the same text too; strings are judged on the input and don't cross texts. No copy of a
+    repeat stays, as there is no first one. Rows that repeat an id and its text, and rows with a null id and equal
+    texts, are copies of each other. Texts may have any length; an empty table gives an empty result, other columns
+    are ignored, whatever their names.
     """
-    clean, hit = _spans(df, id_col, text_col, [])
+    clean, hit = _spans(df, id_col, text_col, [], length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,11 +410,11 @@ def suffix_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return none.unionByName(some).withColumnRenamed("id", id_col)
 
 
-def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df, their texts without repeated strings; see suffix_digests(). A character of which some bytes
-    are removed goes whole. Null texts stay null."""
+def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+    """The rows of df, their texts without repeated strings; see suffix_digests(). Every copy of a repeat goes, the
+    first one too. A character of which some bytes are removed goes whole. Null texts stay null."""
     keep = [c for c in df.columns if c != text_col]
-    clean, hit = _spans(df, id_col, text_col, [*keep, text_col])
+    clean, hit = _spans(df, id_col, text_col, [*keep, text_col], length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

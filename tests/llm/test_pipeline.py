@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import random
 import zlib
 
 import duckdb
@@ -18,7 +19,7 @@ DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the tables are not here")
 
 
-def cut(text: str, everywhere: dict[bytes, int], length: int = 400) -> str:
+def cut(text: str, everywhere: dict[bytes, int], length: int = corpus_pipeline.REPEAT_BYTES) -> str:
     data = text.encode()
     gone = bytearray(len(data))
     for x in range(len(data) - length + 1):
@@ -50,8 +51,9 @@ def test_stages(spark):
     seen: dict[bytes, int] = {}
     for t in kept.values():
         b = t.encode()
-        for x in range(len(b) - 399):
-            seen[b[x : x + 400]] = seen.get(b[x : x + 400], 0) + 1
+        n = corpus_pipeline.REPEAT_BYTES
+        for x in range(len(b) - n + 1):
+            seen[b[x : x + n]] = seen.get(b[x : x + n], 0) + 1
     kept = {i: cut(t, seen) for i, t in kept.items()}
     got = out["suffix_array_dedup"].collect()
     assert {r.doc_id: r.text for r in got} == kept and all(r.n_chars == len(r.text) for r in got)
@@ -63,6 +65,28 @@ def test_stages(spark):
     assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out["best_fit_packing"].collect()} == want
 
 
+def test_passages_of_over_50_words_go(spark):
+    """A passage of 51 to 70 words in two to nine documents goes from all of them, and what stands around it stays."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.choice((2, 3, 4, 5, 6, 7, 8, 9))))
+    own = lambda n: " ".join(word() for _ in range(n))
+    data, want = [], {}
+    for n in range(51, 71):
+        passage = own(n)
+        for _ in range(r.randint(2, 9)):
+            before, after = own(r.randint(20, 80)), own(r.randint(20, 80))
+            want[len(data)] = (before, passage, after)
+            data.append((len(data), f"{before} {passage} {after}", "en", "s", 0))
+    clean = [(1000 + i, own(200), "en", "s", 0) for i in range(20)]
+    docs = spark.createDataFrame(data + clean, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(5)
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeats(spark, docs, "").collect()}
+    for i, (before, passage, after) in want.items():
+        # By chance the letters next to a passage may be equal too.
+        assert got[i].startswith(before[:-9]) and got[i].endswith(after[9:])
+        assert len(got[i]) <= len(before) + len(after) + 2 and passage not in got[i]
+    assert all(got[i] == text for i, text, *_ in clean)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, name):
     c = duckdb.connect()
