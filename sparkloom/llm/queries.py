@@ -45,7 +45,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.suffix_digests(table(spark, sf_dir, "documents"))
+    return suffix_dedup.suffix_digests(table(spark, sf_dir, "documents"), shorter=240)
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_license_scan, op3_ngram_join, op4_quality_rules, op5_url_filter, op6_best_fit_packing, op7_exact_dedup, op8_substring_dedup, op9_token_counts, op10_suffix_dedup)}

@@ -369,21 +369,49 @@ def without(data: bytes, stretches: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def _spans(df: DataFrame, id_col: str, text_col: str, keep: list[str], length: int) -> tuple[DataFrame, DataFrame]:
-    """(rows without repeats, rows with them and the array `spans`); columns k, id, text, _c0.. for keep."""
-    if length < 4 * GRAM:
-        raise ValueError(f"length must be {4 * GRAM} at least")
+def _by_text(found: DataFrame, name: str) -> DataFrame:
+    return found.groupBy("k").agg(F.collect_set(F.struct("begin", "end")).alias(name))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """(k, data, spans) -> the merged spans of at least so many bytes: (k, base, data)."""
+    for batch in batches:
+        rows = []
+        for k, data, spans in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            rows += [(k, a, data[a:b]) for a, b in merged([(s["begin"], s["end"]) for s in spans]) if b - a >= least]
+        columns = list(zip(*rows, strict=True)) or [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["k", "base", "data"])
+
+
+def _within(rows: DataFrame, spans: DataFrame, length: int) -> DataFrame:
+    """repeated_stretches() of rows, given the spans of a smaller length: what repeats lies inside of them."""
+    hit = among(rows, spans.select("k")).join(spans, "k").select("k", "data", "spans")
+    pieces = stored(hit.mapInArrow(partial(_pieces, least=length), "k bigint, base int, data binary").withColumn("piece", F.xxhash64("k", "base")))
+    found = repeated_stretches(pieces.select(F.col("piece").alias("k"), "data"), length).withColumnRenamed("k", "piece")
+    placed = found.join(pieces.select("piece", "k", "base").distinct(), "piece")
+    return placed.select("k", (F.col("begin") + F.col("base")).alias("begin"), (F.col("end") + F.col("base")).alias("end"))
+
+
+def _spans(df: DataFrame, id_col: str, text_col: str, keep: list[str], length: int, shorter: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(rows without repeats, rows with them and the array `spans`); columns k, id, text, _c0.. for keep. With shorter:
+    also an array `shared` of the spans at that length, and rows that have only those are among the second."""
+    if min(length, shorter or length) < 4 * GRAM or (shorter or length) > length:
+        raise ValueError(f"lengths must be {4 * GRAM} at least, and shorter no more than length")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = df.select(F.xxhash64(F.col(id_col), text).alias("k"), F.col(id_col).alias("id"), text.alias("text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(keep)])
-    found = repeated_stretches(rows.select("k", F.col("text").cast("binary").alias("data")), length)
-    spans = stored(found.groupBy("k").agg(F.collect_set(F.struct("begin", "end")).alias("spans")))
+    data = rows.select("k", F.col("text").cast("binary").alias("data"))
+    spans = stored(_by_text(repeated_stretches(data, shorter or length), "spans"))
+    if shorter:
+        longer = _by_text(_within(data, spans, length), "spans")
+        spans = stored(spans.withColumnRenamed("spans", "shared").join(longer, "k", "left"))
     probed = among(rows, spans.select("k"), keep=True)
     hit = probed.filter("_hit").drop("_hit").join(spans, "k", "left")
     return probed.filter("NOT _hit").drop("_hit"), hit
 
 
-def suffix_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """Per row of df: id_col, n_bytes, n_removed, n_spans, kept_sha256.
+def suffix_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shorter: int | None = None) -> DataFrame:
+    """Per row of df: id_col, n_bytes, n_removed, n_spans, kept_sha256; with shorter also n_shared, the bytes covered by
+    strings of that length that also start anywhere else.
 
     A text is its UTF-8 bytes, null is empty. Removed is every byte covered by a string of `length` bytes that also
     starts anywhere else, in the same text too; strings are judged on the input and don't cross texts. No copy of a
@@ -391,23 +419,28 @@ def suffix_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts, are copies of each other. Texts may have any length; an empty table gives an empty result, other columns
     are ignored, whatever their names.
     """
-    clean, hit = _spans(df, id_col, text_col, [], length)
+    clean, hit = _spans(df, id_col, text_col, [], length, shorter)
+
+    def size(gone: list[tuple[int, int]]) -> int:
+        return sum(b - a for a, b in gone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                data, gone = text.encode(), merged([(s["begin"], s["end"]) for s in spans or []])
-                rows.append((len(data), sum(b - a for a, b in gone), len(gone), hashlib.sha256(without(data, gone)).hexdigest()))
-            columns = list(zip(*rows, strict=True)) or [()] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            for text, spans, shared in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
+                data, gone, wide = text.encode(), *[merged([(s["begin"], s["end"]) for s in x or []]) for x in (spans, shared)]
+                rows.append((len(data), size(gone), len(gone), hashlib.sha256(without(data, gone)).hexdigest(), size(wide)))
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"])
 
     kind = clean.schema["id"].dataType.simpleString()
-    some = hit.select("id", "text", "spans").mapInArrow(run, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    asked = hit.select("id", "text", "spans", "shared" if shorter else F.col("spans").alias("shared"))
+    some = asked.mapInArrow(run, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_shared bigint")
     zero = F.lit(0).cast("bigint")
-    none = clean.select("id", F.octet_length("text").cast("bigint").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
-    return none.unionByName(some).withColumnRenamed("id", id_col)
+    none = clean.select("id", F.octet_length("text").cast("bigint").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), zero.alias("n_shared"))
+    out = none.unionByName(some).withColumnRenamed("id", id_col)
+    return out if shorter else out.drop("n_shared")
 
 
 def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:

@@ -58,6 +58,33 @@ def test_suffix_groups_that_are_split(spark, docs, monkeypatch):
     assert {r[0]: tuple(r[1:]) for r in suffix_dedup.suffix_digests(docs).collect()} == brute.suffix(DOCS)
 
 
+def test_suffix_two_lengths(spark, docs):
+    """The longer strings, found inside the spans of shorter ones."""
+    want, wide = brute.suffix(DOCS, 400), brute.suffix(DOCS, 120)
+    got = suffix_dedup.suffix_digests(docs, shorter=120).collect()
+    assert {r[0]: tuple(r[1:]) for r in got} == {i: (*w, wide[i][1]) for i, w in want.items()}
+    with pytest.raises(ValueError):
+        suffix_dedup.suffix_digests(docs, length=50)
+
+
+def _pairwise(members, needed):
+    """The windows that each member shares with another one, compared one by one."""
+    out = []
+    for i, (before, after) in enumerate(members):
+        others = [m for j, m in enumerate(members) if j != i]
+        able = lambda b, a, d: d <= len(b) and needed - d <= len(a)
+        at = [d for d in range(needed + 1) if able(before, after, d) and any(able(b, a, d) and b[len(b) - d :] == before[len(before) - d :] and a[: needed - d] == after[: needed - d] for b, a in others)]
+        out.append((min(at), max(at)) if at else None)
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(2, 12), st.lists(st.tuples(st.text("ab", max_size=12), st.text("ab", max_size=12)), min_size=2, max_size=12))
+def test_neighbours_decide_windows(needed, members):
+    members = [(b[-needed:].encode(), a[:needed].encode()) for b, a in members]
+    assert suffix_dedup.resolve(members, needed) == _pairwise(members, needed)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.binary(max_size=60).map(lambda b: bytes(c % 2 + 97 for c in b)), min_size=1, max_size=12))
 def test_deep_shallow_order(strings):
