@@ -128,7 +128,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     """Per row of df: id_col, n_tokens, ids_sha256, decoded_sha256 of the text encoded and decoded again.
 
     A null text is empty: no ids, and digests of the empty string. Special tokens' strings in a text are special
-    tokens, as the library has it by default. Repeated rows give repeated results, an empty table gives an empty
+    tokens, as the tokenizers package has it by default. Repeated rows give repeated results, an empty table gives an empty
     result, other columns are ignored.
     """
     path = path or vocabulary("byte_bpe_50k.json")

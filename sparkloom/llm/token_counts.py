@@ -1,12 +1,14 @@
-"""Exact token counts of every prefix.
+"""Exact token counts of every prefix, by dynamic programming.
 
 Words between white space are encoded independently, so the count of a text's prefix is the count up to its last whole
-word, from a running sum over words, plus the count of the begun word's own prefix. Both tables come from counts of
-distinct words, made once. They answer how much of a text fits a budget without encoding it again.
+word, from a running sum over words, plus the count of the begun word's own prefix. Inside a word one forward pass
+stores the last token and the count of every prefix (tokens.WordBpe.piece_counts). The tables answer how much of a text
+fits a budget without encoding it again.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,17 +27,27 @@ class PrefixTable:
         self.words = bpe.words(text)
         sizes = np.fromiter(map(len, map(bpe.cache.__getitem__, self.words)), dtype=np.int64, count=len(self.words))
         self.counts = np.concatenate([[0], np.cumsum(sizes // 4)])
+        self._ends: np.ndarray | None = None
+        self._inside: tuple[int, tuple[list[int], list[int]]] = (-1, ([], []))
 
     def total(self) -> int:
         return int(self.counts[-1])
 
     def ends(self) -> np.ndarray:
         """Where each word ends, in code points."""
-        out, at = np.empty(len(self.words), np.int64), 0
-        for i, word in enumerate(self.words):
-            at = self.text.index(word, at) + len(word)
-            out[i] = at
-        return out
+        if self._ends is None:
+            out, at = np.empty(len(self.words), np.int64), 0
+            for i, word in enumerate(self.words):
+                at = self.text.index(word, at) + len(word)
+                out[i] = at
+            self._ends = out
+        return self._ends
+
+    def inside(self, k: int) -> tuple[list[int], list[int]]:
+        """prefix_counts() of word k; the last one asked for is kept."""
+        if self._inside[0] != k:
+            self._inside = (k, self.bpe.prefixes[self.words[k]])
+        return self._inside[1]
 
     def at(self, i: int) -> int:
         """Tokens of the first i code points."""
@@ -43,26 +55,33 @@ class PrefixTable:
         k = int(np.searchsorted(ends, i, side="right"))
         if k == len(self.words):
             return self.total()
-        inside = i - (int(ends[k]) - len(self.words[k]))
-        return int(self.counts[k]) + (self.bpe.prefixes[self.words[k]][inside - 1] if inside > 0 else 0)
+        n = i - (int(ends[k]) - len(self.words[k]))
+        if n <= 0:
+            return int(self.counts[k])
+        places, counts = self.inside(k)
+        at = bisect_right(places, n) - 1
+        if at >= 0 and places[at] == n:
+            return int(self.counts[k]) + counts[at]
+        return int(self.counts[k]) + len(self.bpe.ids(self.words[k][:n]))  # it parts what is normalised together
 
     def fitting(self, limit: int) -> int:
-        """Code points of the longest prefix of at most limit tokens."""
+        """Code points of the longest prefix of at most limit tokens; it parts no characters that are normalised
+        together, as a letter and its marks."""
         if self.total() <= limit:
             return len(self.text)
-        ends = self.ends()
         k = int(np.searchsorted(self.counts, limit, side="right")) - 1  # so many whole words fit; word k doesn't
-        begin = int(ends[k]) - len(self.words[k])
-        inside = [j for j, n in enumerate(self.bpe.prefixes[self.words[k]], 1) if self.counts[k] + n <= limit]
-        return begin + max(inside, default=0)
+        begin = int(self.ends()[k]) - len(self.words[k])
+        left = limit - int(self.counts[k])
+        places, counts = self.bpe.prefix_counts(self.words[k], left)
+        return begin + max((p for p, n in zip(places, counts, strict=True) if n <= left), default=0)
 
 
 def token_counts(df: DataFrame, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Per row of df: id_col, n_bytes, n_tokens, over_limit, chars_in_limit (code points of the longest prefix that
     has at most limit tokens).
 
-    A null text is empty: no bytes, no tokens. Repeated rows give repeated results, an empty table gives an empty
-    result, other columns are ignored.
+    A null text is empty: no bytes, no tokens. Texts may have any length, with or without white space. Repeated rows
+    and null ids give results of their own, an empty table gives an empty result, other columns are ignored.
     """
     path = path or vocabulary("word_bpe_49k.json")
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

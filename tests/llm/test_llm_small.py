@@ -1,10 +1,11 @@
-"""Operators on small hostile fixtures, against plain versions or the libraries."""
+"""Operators on small hostile fixtures, against plain versions or the packages that define the results."""
 
 from __future__ import annotations
 
 import hashlib
 import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -183,8 +184,8 @@ def test_codec_and_counts(spark, docs):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.sampled_from("ab e'1.é日 \n\t\x1c\xa0ΣİA<|>"), max_size=80))
-def test_encoders_equal_the_library(text):
+@given(st.text(alphabet=st.sampled_from("ab e'1.é日 \n\t\x00\x1c\xa0ΣİA<|>\u0301\u1100\u1161"), max_size=80))
+def test_encoders_equal_the_package(text):
     from tokenizers import Tokenizer
 
     global _LIBS
@@ -193,10 +194,41 @@ def test_encoders_equal_the_library(text):
     assert np.frombuffer(word_bpe(vocabulary("word_bpe_49k.json")).encode(text), "<u4").tolist() == _LIBS[0].encode(text, add_special_tokens=False).ids
     assert bpe_codec.ChunkCodec(byte_bpe(vocabulary("byte_bpe_50k.json"))).encode(text * 9) == _LIBS[1].encode(text * 9, add_special_tokens=False).ids
     table = token_counts.PrefixTable(word_bpe(vocabulary("word_bpe_49k.json")), text)
-    for i in range(0, len(text) + 1, 7):
+    for i in range(len(text) + 1):
         assert table.at(i) == len(_LIBS[0].encode(text[:i], add_special_tokens=False).ids)
 
 
+@pytest.mark.parametrize("text", ["'ll've'r!!'s'", "x<|endoftext|>y<|endoft", "naïveÜBERgrößenΣίσυφος", "国际化与本地化的日本語カタカナ한국어" * 20, "Ab0/+=" * 60, "cafe\u0301" * 30, "\u1100\u1161\u11a8" * 20])
+def test_counts_of_all_prefixes(text):
+    """Words without white space: each prefix, and the prefix that fits, against the package."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    table = token_counts.PrefixTable(word_bpe(vocabulary("word_bpe_49k.json")), text)
+    want = [len(lib.encode(text[:i], add_special_tokens=False).ids) for i in range(len(text) + 1)]
+    assert [table.at(i) for i in range(len(text) + 1)] == want
+    places = {0, len(text), *word_bpe(vocabulary("word_bpe_49k.json")).prefix_counts(text)[0]}
+    for limit in (0, 1, 2, 5, 17, 1000):
+        assert table.fitting(limit) == max(i for i in places if want[i] <= limit)
+
+
+def test_long_texts_without_white_space(spark):
+    r = random.Random(5)
+    han = "".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(200_000))
+    data = [(1, han), (1, han), (2, "a" * 500_000), (None, None), (3, "x" * 70 + " " + "\t\n" * 1000)]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in data], "doc_id bigint, text string, n_tokens int, n_bytes int")
+    begun = time.monotonic()
+    got = sorted(rows(token_counts.token_counts(df)), key=str)
+    assert time.monotonic() - begun < 60
+    assert len(got) == 5 and [g for g in got if g[0] is None] == [(None, 0, 0, False, 0)]
+    for i, n_bytes, n, over, fit in got:
+        if i in (1, 2):
+            text = dict(data)[i]
+            table = token_counts.PrefixTable(word_bpe(vocabulary("word_bpe_49k.json")), text[:20_000])
+            assert over and n > 2048 and n_bytes == len(text.encode()) and table.at(fit) <= 2048 < table.at(fit + 1)
+    assert token_counts.token_counts(empty(spark)).count() == 0 and bpe_codec.digests(empty(spark)).count() == 0
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
