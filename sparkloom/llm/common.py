@@ -62,10 +62,14 @@ def filter_cells(f: Column, blocks: int) -> Column:
 
 
 def filter_table(cells: DataFrame) -> DataFrame:
-    """Bitmaps (block, bits) of a column `cell`; at most 8192 rows of 4 KB."""
-    return cells.groupBy(F.shiftright("cell", 15).alias("_block")).agg(
-        F.bitmap_construct_agg(F.col("cell").bitwiseAND(F.lit(BLOCK_BITS - 1).cast("long"))).alias("_bits")
+    """Bitmaps (block, bits: 1024 ints) of a column `cell`; at most 8192 rows of 4 KB."""
+    bitmaps = cells.groupBy(F.shiftright("cell", 15).alias("_block")).agg(
+        F.bitmap_construct_agg(F.col("cell").bitwiseAND(F.lit(BLOCK_BITS - 1).cast("long"))).alias("_bytes")
     )
+    # As numbers, so that a probe is one look into an array. Four bytes make an int, the first one its highest.
+    words = F.expr(f"transform(sequence(0, {BLOCK_BITS // 32 - 1}), i -> cast(conv(hex(substring(_bytes, 4 * i + 1, 4)), 16, 10) as bigint))")
+    signed = F.transform(words, lambda w: F.when(w >= 1 << 31, w - (1 << 32)).otherwise(w).cast("int"))
+    return bitmaps.select("_block", signed.alias("_bits"))
 
 
 def with_hit(df: DataFrame, fingerprint: str, bitmaps: DataFrame, blocks: int, out: str) -> DataFrame:
@@ -73,9 +77,9 @@ def with_hit(df: DataFrame, fingerprint: str, bitmaps: DataFrame, blocks: int, o
     f = F.col(fingerprint)
 
     def bit(b: Column) -> Column:
-        byte = F.substring(F.col("_bits"), (F.shiftright(b, 3) + 1).cast("int"), F.lit(1))
-        value = F.conv(F.hex(byte), 16, 10).cast("int")
-        return F.call_function("shiftright", value, b.bitwiseAND(F.lit(7).cast("long")).cast("int")).bitwiseAND(F.lit(1)) == 1
+        word = F.get(F.col("_bits"), F.shiftright(b, 5).cast("int"))
+        place = b.bitwiseAND(F.lit(31).cast("long")).bitwiseXOR(F.lit(24).cast("long"))  # bytes in reverse, bits as they are
+        return F.getbit(word, place.cast("int")) == 1
 
     b1, b2 = _bits(f)
     hit = F.coalesce(bit(b1) & bit(b2), F.lit(False))

@@ -30,6 +30,8 @@ WORDS = 5
 COMMON = 200
 #: Sets, and shingles, that one task verifies against each other.
 GROUP_SETS, GROUP_SHINGLES = 3000, 3_000_000
+#: Keys, and bytes of sets, that one Arrow batch holds, about.
+BATCH_KEYS, BATCH_BYTES = 200_000, 16 << 20
 _U64 = np.uint64
 
 
@@ -56,17 +58,81 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U64(31))
 
 
-def shingles(text: str) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles."""
-    words = text.encode().lower().split()  # bytes: only A-Z and ASCII white space count
-    if not words:
-        return np.empty(0, _U64)
-    names = _mix(np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=_U64, count=len(words)))
-    n = min(WORDS, len(words))
-    out = np.full(len(words) - n + 1, n, _U64)
-    for j in range(n):
-        out = out * _U64(0x9E3779B97F4A7C15) + names[j : j + len(out)]
-    return np.unique(_mix(out))
+def _spaces() -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[[9, 10, 11, 12, 13, 32]] = True
+    return out
+
+
+_SPACE = _spaces()
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+#: The low bytes of a number, by how many.
+_LOW = np.array([(1 << (8 * i)) - 1 for i in range(9)], _U64)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+#: Bytes of text whose words are hashed at once.
+SLICE_BYTES = 4 << 20
+
+
+def _word_names(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each word: its bytes in eights, mixed in one after the other. data: with 8 bytes more behind."""
+    eights = np.ndarray((len(data) - 7,), "<u8", buffer=data, strides=(1,))
+    out = _mix(sizes.astype(_U64))
+    rest = np.flatnonzero(sizes <= LONG_WORD)
+    for at in range(0, LONG_WORD, 8):
+        if at:
+            rest = rest[sizes[rest] > at]
+        if not len(rest):
+            break
+        out[rest] = _mix((out[rest] + _U64(0x9E3779B97F4A7C15)) ^ (eights[starts[rest] + at] & _LOW[np.minimum(sizes[rest] - at, 8)]))
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + sizes[i]].tobytes())
+    return _mix(out)
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Runs of texts of about SLICE_BYTES: their bytes, with 8 more behind, and where each text begins and the last ends."""
+    if not len(texts):
+        return
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, side="right")) - 1)
+        part = np.zeros(int(offsets[end] - offsets[at]) + 8, np.uint8)
+        part[:-8] = _LOWER[data[offsets[at] : offsets[end]]]
+        yield part, offsets[at : end + 1] - offsets[at]
+        at = end
+
+
+def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """Of each text the sorted distinct hashes of its shingles. Bytes decide: only A-Z and ASCII white space count."""
+    for data, offsets in _slices(texts):
+        space = _SPACE[data[:-8]]
+        space_before = np.append(True, space[:-1]) if len(space) else space
+        space_before[offsets[:-1][offsets[:-1] < len(space)]] = True
+        starts = np.flatnonzero(~space & space_before)
+        space_after = np.append(space[1:], True) if len(space) else space
+        space_after[offsets[1:-1][offsets[1:-1] > 0] - 1] = True
+        sizes = np.flatnonzero(~space & space_after) + 1 - starts
+        names = _word_names(data, starts, sizes)
+        whole = np.full(max(0, len(names) - WORDS + 1), WORDS, _U64)
+        for j in range(WORDS):
+            whole = whole * _U64(0x9E3779B97F4A7C15) + names[j : j + len(whole)]
+        whole = _mix(whole)
+        bounds = np.searchsorted(starts, offsets).tolist()
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            if b - a >= WORDS:
+                out = np.sort(whole[a : b - WORDS + 1])
+                yield out[np.append(True, out[1:] != out[:-1])]
+            elif b > a:
+                short = np.array([b - a], _U64)
+                for i in range(a, b):
+                    short = short * _U64(0x9E3779B97F4A7C15) + names[i : i + 1]
+                yield _mix(short)
+            else:
+                yield np.empty(0, _U64)
 
 
 def keys(s: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
@@ -83,11 +149,10 @@ def keys(s: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
             yield _mix(np.append(whole - m, whole)), band, -1
             continue
         count, differ = segments(band)
-        segment = (m >> _U64(33)) % _U64(count)
-        order = np.argsort(segment, kind="stable")
-        segment = segment[order]
-        first = np.flatnonzero(np.diff(segment, prepend=_U64(count)))
-        value = np.add.reduceat(_mix(m[order] + _U64(1)), first)
+        m.sort()
+        segment = ((m >> _U64(32)) * _U64(count)) >> _U64(32)  # in the order of m
+        first = np.flatnonzero(np.append(True, segment[1:] != segment[:-1]))
+        value = np.add.reduceat(_mix(m + _U64(1)), first)
         out = _mix(value + segment[first] * _U64(0xD6E8FEB86659FD93))
         if len(out) < differ + 1:
             yield np.concatenate([out, _mix(m + _U64(2))]), band, -1
@@ -98,26 +163,40 @@ def keys(s: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         f, n = [], []
-        for text in batch.column(1).to_pylist():
-            s = shingles(text)
+        for s in shingle_sets(batch.column(1)):
             n.append(len(s))
             f.append(xxhash.xxh3_64_intdigest(s.tobytes()))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(f, _U64).view(np.int64)), pa.array(n, pa.int64())], ["k", "f", "n"])
 
 
-def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _key_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[np.ndarray, int, int, int]]]:
+    """(keys, f, band, spare) of sets, lists of about BATCH_KEYS keys."""
+    parts: list[tuple[np.ndarray, int, int, int]] = []
+    size = 0
     for batch in batches:
-        parts: list[tuple[np.ndarray, int, int, int]] = []
-        for text in batch.column(0).to_pylist():
-            s = shingles(text)
+        for s in shingle_sets(batch.column(0)):
             f = xxhash.xxh3_64_intdigest(s.tobytes())
-            parts += [(out, f, band, spare) for out, band, spare in keys(s)]
-            if len(parts) >= 2000:
-                yield _key_batch(parts)
-                parts = []
+            for out, band, spare in keys(s):
+                parts.append((out, f, band, spare))
+                size += len(out)
+            if size >= BATCH_KEYS:
+                yield parts
+                parts, size = [], 0
+    yield parts
+
+
+def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for parts in _key_parts(batches):
         yield _key_batch(parts)
 
 
+def _short_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """40 bits of each key."""
+    for parts in _key_parts(batches):
+        short = np.concatenate([p[0] for p in parts] or [np.empty(0, _U64)]) & _U64((1 << 40) - 1)
+        yield pa.RecordBatch.from_arrays([pa.array(short.view(np.int64))], ["short"])
+
+
 def _key_batch(parts: list[tuple[np.ndarray, int, int, int]]) -> pa.RecordBatch:
     sizes = [len(p[0]) for p in parts]
     key = np.concatenate([p[0] for p in parts] or [np.empty(0, _U64)]).view(np.int64)
@@ -128,15 +207,22 @@ def _key_batch(parts: list[tuple[np.ndarray, int, int, int]]) -> pa.RecordBatch:
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, f, groups) -> (group, f, the set's hashes)."""
+
+    def emit(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["g", "f", "data"])
+
+    rows, size = [], 0
     for batch in batches:
-        group, f, data = [], [], []
-        for text, own, groups in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            s = shingles(text).tobytes()
+        for s, own, groups in zip(shingle_sets(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            s = s.tobytes()
             for g in groups:
-                group.append(g)
-                f.append(own)
-                data.append(s)
-        yield pa.RecordBatch.from_arrays([pa.array(group, pa.int64()), pa.array(f, pa.int64()), pa.array(data, pa.binary())], ["g", "f", "data"])
+                rows.append((g, own, s))
+                size += len(s)
+                if size >= BATCH_BYTES:
+                    yield emit(rows)
+                    rows, size = [], 0
+    yield emit(rows)
 
 
 def links_within(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -215,11 +301,11 @@ def _key_table(texts: DataFrame) -> DataFrame:
     """(key, f, band, spare) of keys that two sets or more may have."""
     rows = texts.mapInArrow(_key_rows, "key bigint, f bigint, band int, spare int")
     short = F.col("key").bitwiseAND(F.lit((1 << 40) - 1).cast("long"))
-    shared = stored(rows.groupBy(short.alias("short")).count().filter("count >= 2").select("short"))
+    shared = stored(texts.mapInArrow(_short_keys, "short bigint").groupBy("short").count().filter("count >= 2").select("short"))
     return stored(_probed(rows, short, shared).filter("_hit").drop("_hit"))
 
 
-def _may_link(live: DataFrame, rounds: int = 2) -> DataFrame:
+def _may_link(live: DataFrame, rounds: int = 1) -> DataFrame:
     """(key, f, band, spare, sets) of sets that can have a partner: of its filled segments all but U are equal in a
     partner's, so at least spare + 1 of a set's keys must be another set's too. Two sets that link both stay, and with
     them the keys that they share; each round, the keys that are left alone go."""
@@ -252,8 +338,13 @@ def similar_sets(rows: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFr
     sizes = pairs.join(classes.select("f", "n"), "f").groupBy("pivot").agg(F.count("*").alias("sets"), F.sum("n").alias("total"))
     parts = F.greatest(F.ceil(2 * F.col("sets") / GROUP_SETS), F.ceil(2 * F.col("total") / GROUP_SHINGLES)).cast("int")
     one = (F.col("sets") <= GROUP_SETS) & (F.col("total") <= GROUP_SHINGLES)
-    sizes = sizes.filter("sets >= 2").select("pivot", F.when(one, F.lit(1)).otherwise(parts).alias("parts"))
-    dealt = pairs.join(sizes, "pivot").withColumn("c", F.pmod(F.xxhash64("f"), F.col("parts")).cast("int"))
+    sizes = sizes.filter("sets >= 2").select("pivot", "sets", F.when(one, F.lit(1)).otherwise(parts).alias("parts"))
+    # Groups with a thousandth of all rows or more are at most a thousand, so what is known of them is broadcast; none
+    # of the others can fill a shuffle partition.
+    sizes, n = stored(sizes), pairs.count()
+    marked = pairs.join(F.broadcast(sizes.filter(F.col("sets") * 1000 >= n).select("pivot", "parts")), "pivot", "left")
+    others = marked.filter("parts IS NULL").drop("parts").join(sizes.filter(F.col("sets") * 1000 < n).select("pivot", "parts"), "pivot")
+    dealt = marked.filter("parts IS NOT NULL").unionByName(others).withColumn("c", F.pmod(F.xxhash64("f"), F.col("parts")).cast("int"))
     # A set goes to every group of two parts of which one is its own; with one part, to the one group.
     other = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     grouped = other.select("f", F.xxhash64("pivot", F.least("c", "o"), F.greatest("c", "o")).alias("g"))

@@ -9,6 +9,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -119,6 +120,17 @@ def test_jaccard(spark, docs):
     assert sorted(r.doc_id for r in stay.collect()) == [i for i, (_, c) in sorted(brute.jaccard(DOCS).items()) if c == i]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(["a", "B", "b", " ", "\n", "\x0b", "\x85", "\xa0", "é", "日", "x" * 70, "y" * 8]), max_size=25), min_size=1, max_size=8))
+def test_shingle_hashes(texts):
+    """Equal sets have equal hashes, others others, also in a part of an Arrow array."""
+    got = list(ngram_join.shingle_sets(pa.array(["x", *texts, ""]).slice(1, len(texts))))
+    seen: dict[bytes, frozenset] = {}
+    for t, s in zip(texts, got, strict=True):
+        want = frozenset(brute.shingles(t))
+        assert len(s) == len(want) and seen.setdefault(s.tobytes(), want) == want
+
+
 def family(n: int, edits: int, size: int, seed: int) -> list[tuple[int, str]]:
     """Copies of one text with some words changed, of several sizes, and tiny sets at the limit."""
     r = random.Random(seed)
