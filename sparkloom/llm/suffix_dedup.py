@@ -27,8 +27,9 @@ from sparkloom.llm.common import filter_blocks, filter_cells, filter_table, stor
 
 LENGTH = 400
 GRAM = 24
-#: Members of a core that one task sorts at once. A larger group isn't cut: its windows are split (_halves).
-GROUP = 2000
+#: Members of a core that one task sorts at once (a few seconds, some 20 MB). A larger group isn't cut: its windows are
+#: split (_halves).
+GROUP = 20_000
 #: Bytes that the multikey quicksort looks at; longer common prefixes go to blind tries.
 SHALLOW = 32
 #: Bytes before and after cores that one Arrow batch holds.
@@ -227,7 +228,7 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
             out[3] += places
             out[4] += (at - last).tolist()
             out[5] += (at - first).tolist()
-            if len(out[0]) >= 200_000:
+            if len(out[0]) >= 50_000:
                 yield _batch(out)
                 out = [[] for _ in range(6)]
         yield _batch(out)
