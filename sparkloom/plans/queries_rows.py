@@ -58,11 +58,6 @@ def eligible_tags(spark: SparkSession, d: str) -> DataFrame:
     return aggregates.eligible_tags(read(spark, d, "lineitem").select(F.col("l_partkey").alias("tag"), F.col("l_orderkey").alias("entry")), 2, 30)
 
 
-@query("capacity", "SELECT source, count(*) AS files, coalesce(sum(n_chars), 0)::BIGINT AS bytes FROM documents GROUP BY 1")
-def capacity(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "documents").groupBy("source").agg(F.count("*").alias("files"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("bytes"))
-
-
 @query("mentions", "SELECT l_partkey AS entry, count(*) AS mentions, array_to_string(list_sort(list(l_orderkey)), ',') AS notes FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) GROUP BY 1 HAVING count(*) >= 2")
 def mentions(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("note")).agg(F.collect_list("l_partkey").alias("entry_ids"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +13,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    """A folder of this machine, which only sessions on one machine may use."""
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return "file://" + tempfile.mkdtemp(prefix="sparkloom-")
+
+
 def with_checkpoints(spark: SparkSession) -> None:
     """checkpoint() needs a folder; the cluster names one in spark.checkpoint.dir, tests on one machine get their own."""
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="sparkloom-"))
+        spark.sparkContext.setCheckpointDir(_own_folder(spark))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for files in spark.checkpoint.dir."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _own_folder(spark)
+    return f"{base}/sparkloom/{uuid.uuid4().hex}"
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
