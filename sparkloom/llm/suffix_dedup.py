@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import filter_blocks, filter_cells, filter_table, stored, with_hit
+from sparkloom.llm.common import discard, filter_blocks, filter_cells, filter_table, stored, with_hit
 
 LENGTH = 400
 GRAM = 24
@@ -308,7 +308,13 @@ def _halves(members: DataFrame, length: int) -> DataFrame:
 def repeated_stretches(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """(k, begin, end): bytes of the text with key k that are covered by strings of `length` bytes that also start
     elsewhere. rows: k, data (binary)."""
-    occurrences = stored(rows.select("k", "data").mapInArrow(partial(_anchor_rows, length=length), _ROW))
+    everything = stored(rows.select("k", "data").mapInArrow(partial(_anchor_rows, length=length), _ROW))
+    # Most cores occur once; only the others, and the few that the filter can't tell, go on.
+    shared = stored(everything.groupBy("core").count().filter("count >= 2").select("core"))
+    blocks = filter_blocks(shared.count())
+    bitmaps = filter_table(shared.select(F.explode(filter_cells(F.col("core"), blocks)).alias("cell")).distinct())
+    occurrences = stored(with_hit(everything, "core", bitmaps, blocks, "_hit").filter("_hit").drop("_hit"))
+    discard(everything)
     one = occurrences.groupBy("core", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("k", "at", "lo", "hi")).alias("first"))
     one = stored(one)
     cores = one.groupBy("core").agg(F.sum("n").alias("total"), F.count("*").alias("stretches"), F.min("n").alias("least"))
