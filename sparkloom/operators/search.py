@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from sparkloom.functions import text as T
 
 K1, B = 1.2, 0.75
+#: Terms that trigram_match broadcasts, a few MB at most.
+BROADCAST_TERMS = 50_000
 
 
 def tokens(text: Column) -> Column:
@@ -16,23 +18,24 @@ def tokens(text: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """Distinct strings of three characters, lower case."""
-
-    def grams(chars: Column) -> Column:
-        n = F.size(chars) - 2
-        all_ = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(F.get(chars, i), F.get(chars, i + 1), F.get(chars, i + 2)))
-        return F.when(n >= 1, F.array_distinct(all_)).otherwise(F.array().cast("array<string>"))
-
-    return T.let(F.split(F.lower(F.coalesce(text, F.lit(""))), ""), grams)
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("(?s)(?=(...))"), F.lit(1)))
 
 
 def trigram_match(docs: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(query_id, term, id) for the docs whose text contains a term of three characters or more. A term asks for
-    one of its trigrams, the one in the fewest docs, and hits are verified. terms: query_id, term."""
-    posting = docs.select(F.col(id_col).alias("id"), F.explode(trigrams(F.col(text_col))).alias("g"))
-    df = posting.groupBy("g").agg(F.count("*").alias("df"))
+    one of its trigrams, the one in the fewest docs, and hits are verified. terms: query_id, term.
+
+    The first pass counts asked trigrams only. What the second looks for is written by checkpoint() and counted: up to
+    BROADCAST_TERMS rows it is broadcast, so that no text and no posting shuffles; beyond that postings are joined,
+    then texts by id."""
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
     asked = terms.filter(F.length("term") >= 3).select("query_id", "term", F.explode(trigrams(F.col("term"))).alias("g"))
-    rarest = asked.join(df, "g", "left").groupBy("query_id", "term").agg(F.min_by("g", F.struct(F.coalesce("df", F.lit(0)), "g")).alias("g"))
-    hits = rarest.join(posting, "g").join(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text")), "id")
+    df = source.select(F.explode(trigrams(F.col("_text"))).alias("g")).join(asked.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count("*").alias("df"))
+    rarest = asked.join(df, "g", "left").groupBy("query_id", "term").agg(F.min_by("g", F.struct(F.coalesce("df", F.lit(0)), "g")).alias("g")).checkpoint()
+    if rarest.count() <= BROADCAST_TERMS:
+        hits = source.select("id", "_text", F.explode(trigrams(F.col("_text"))).alias("g")).join(F.broadcast(rarest), "g")
+    else:
+        hits = source.select("id", F.explode(trigrams(F.col("_text"))).alias("g")).join(rarest, "g").join(source, "id")
     return hits.filter(F.contains(F.lower("_text"), F.lower("term"))).select("query_id", "term", "id")
 
 

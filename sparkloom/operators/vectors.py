@@ -11,8 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of query vectors that travel with the tasks; more are searched in blocks.
+#: Bytes of query vectors that travel with the tasks; more are searched in blocks of about so many.
 QUERY_BYTES = 32 << 20
+#: Records of a part that meets a block of queries.
+PART_RECORDS = 100_000
 
 
 def l2_normalize(v: Column) -> Column:
@@ -35,59 +37,86 @@ def round6(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _search(records: DataFrame, queries: list, k: int, euclid: bool) -> DataFrame:
-    names, matrix = [q[0] for q in queries], np.array([q[1] for q in queries], dtype=np.float64)
-    dims = matrix.shape[1] if len(queries) else 0
+def _best(names: list, matrix: np.ndarray, batch: pa.RecordBatch, k: int, euclid: bool) -> Iterator[pa.RecordBatch]:
+    """Per query, the k best entries of a batch of records, in the order of the result."""
+    dims = matrix.shape[1] if len(names) else 0
+    lengths = batch.column("embedding").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    fits = np.flatnonzero(lengths == dims)
+    if not len(fits) or not dims:
+        return
+    part = batch.take(pa.array(fits))
+    x = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+    scores = matrix @ x.T
+    if euclid:
+        scores = 1 / (1 + np.sqrt(np.maximum(0, (matrix**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * scores)))
+    entries = pc.rank(part.column("entry_id"), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy(zero_copy_only=False)
+    rounded = round6(scores)
+    # In the order of the result: no number counts as the largest.
+    keys = np.where(np.isnan(rounded), -np.inf, -rounded)
+    for q, row in enumerate(rounded):
+        # The best record of each entry, then the first k entries in the order of the result: an entry that the
+        # whole needs has fewer than k before it in any batch.
+        order = np.lexsort((-scores[q], entries, keys[q]))
+        best = order[np.sort(np.unique(entries[order], return_index=True)[1])][:k]
+        ids = part.take(pa.array(best))
+        yield pa.RecordBatch.from_arrays([pa.array([names[q]] * len(best), pa.int64()), ids.column("entry_id"), ids.column("section_id"), pa.array(row[best])], ["query_id", "entry_id", "section_id", "score"])
+
+
+def _hit_type(records: DataFrame) -> str:
+    return f"query_id bigint, entry_id {records.schema['entry_id'].dataType.simpleString()}, section_id string, score double"
+
+
+def _search(records: DataFrame, queries: DataFrame, k: int, euclid: bool) -> DataFrame:
+    """Partial hits of a query set of QUERY_BYTES at most, which travels with the tasks."""
+    rows = queries.collect()
+    names, matrix = [q[0] for q in rows], np.array([q[1] for q in rows], dtype=np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = batch.column("embedding")
-            lengths = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            fits = np.flatnonzero(lengths == dims)
-            if not len(fits) or not dims:
-                continue
-            part = batch.take(pa.array(fits))
-            x = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
-            scores = matrix @ x.T
-            if euclid:
-                scores = 1 / (1 + np.sqrt(np.maximum(0, (matrix**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * scores)))
-            entries = pc.rank(part.column("entry_id"), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy(zero_copy_only=False)
-            rounded = round6(scores)
-            # In the order of the result: no number counts as the largest.
-            keys = np.where(np.isnan(rounded), -np.inf, -rounded)
-            for q, row in enumerate(rounded):
-                # The best record of each entry, then the first k entries in the order of the result: an entry that the
-                # whole needs has fewer than k before it in any batch.
-                order = np.lexsort((-scores[q], entries, keys[q]))
-                best = order[np.sort(np.unique(entries[order], return_index=True)[1])][:k]
-                ids = part.take(pa.array(best))
-                yield pa.RecordBatch.from_arrays([pa.array([names[q]] * len(best), pa.int64()), ids.column("entry_id"), ids.column("section_id"), pa.array(row[best])], ["query_id", "entry_id", "section_id", "score"])
-
-    kind = records.schema["entry_id"].dataType.simpleString()
-    return records.select("entry_id", "section_id", "embedding").mapInArrow(run, f"query_id bigint, entry_id {kind}, section_id string, score double")
+            yield from _best(names, matrix, batch, k, euclid)
+
+    return records.mapInArrow(run, _hit_type(records))
+
+
+def _search_blocks(records: DataFrame, queries: DataFrame, blocks: int, k: int, euclid: bool) -> DataFrame:
+    """Partial hits of any number of queries: parts of the records meet blocks of queries as groups of a cogroup, both
+    of bounded size. Equal records count once, so that no part holds a large group of copies."""
+    once = records.dropDuplicates()
+    parts = max(1, -(-once.count() // PART_RECORDS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = once.withColumn("_part", F.pmod(F.xxhash64(*once.columns), F.lit(parts)).cast("int")).withColumn("_block", every(blocks))
+    right = queries.withColumn("_block", F.pmod(F.xxhash64("query_id", "embedding"), F.lit(blocks)).cast("int")).withColumn("_part", every(parts))
+
+    kind = _hit_type(records)
+
+    def run(part: pa.Table, block: pa.Table) -> Iterator[pa.RecordBatch]:
+        names = block.column("query_id").to_pylist()
+        matrix = np.array(block.column("embedding").to_pylist(), dtype=np.float64)
+        for batch in part.combine_chunks().to_batches(max_chunksize=10_000):
+            yield from _best(names, matrix, batch, k, euclid)
+
+    def table(part: pa.Table, block: pa.Table) -> pa.Table:
+        none = part.select(["entry_id", "section_id"]).slice(0, 0)
+        empty = pa.table({"query_id": pa.array([], pa.int64()), "entry_id": none["entry_id"], "section_id": none["section_id"], "score": pa.array([], pa.float64())})
+        return pa.concat_tables([empty, *[pa.Table.from_batches([b]) for b in run(part, block)]])
+
+    return left.groupBy("_part", "_block").cogroup(right.groupBy("_part", "_block")).applyInArrow(table, kind)
 
 
 def knn(records: DataFrame, queries: DataFrame, k: int, euclid: bool = False) -> DataFrame:
     """V3, V4: (query_id, entry_id, section_id, score, rank): each entry by its best record, the k best entries by
     score, then id. records: entry_id, section_id, embedding; queries: query_id, embedding.
 
-    Queries travel with the tasks in blocks of at most QUERY_BYTES, read one block at a time; what shuffles is a
-    partial top k of each Arrow batch, in the order of the result.
+    Queries of at most QUERY_BYTES travel with the tasks; more are dealt in blocks on Spark and don't pass the driver.
+    What shuffles to the end is a partial top k of each batch, in the order of the result. Queries whose length isn't
+    the commonest one's, or null, have no hits.
     """
-    dims = queries.select(F.max(F.size("embedding")).alias("d")).first()["d"] or 1
-    block = max(1, QUERY_BYTES // (8 * dims))
-    parts: list[DataFrame] = []
-    held: list = []
-    for row in queries.select("query_id", "embedding").toLocalIterator():
-        held.append((row["query_id"], row["embedding"]))
-        if len(held) == block:
-            parts.append(_search(records, held, k, euclid))
-            held = []
-    if held or not parts:
-        parts.append(_search(records, held, k, euclid))
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
+    usual = queries.groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n")).filter("dims > 0").orderBy(F.desc("n"), F.desc("dims")).first()
+    n, dims = (usual["n"], usual["dims"]) if usual else (0, 1)
+    asked = queries.filter(F.size("embedding") == dims).select("query_id", "embedding")
+    rows = records.select("entry_id", "section_id", "embedding")
+    blocks = -(-n * dims * 8 // QUERY_BYTES)
+    hits = _search(rows, asked, k, euclid) if blocks <= 1 else _search_blocks(rows, asked, blocks, k, euclid)
     best = hits.withColumn("score", F.round("score", 6)).groupBy("query_id", "entry_id").agg(F.max_by("section_id", "score").alias("section_id"), F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "entry_id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

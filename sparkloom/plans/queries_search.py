@@ -9,7 +9,7 @@ from sparkloom.functions import logs
 from sparkloom.functions import text as T
 from sparkloom.operators import aggregates, evaluation, search, windows
 from sparkloom.plans.registry import query
-from sparkloom.plans.tables import LINES_SQL, log_lines, read
+from sparkloom.plans.tables import LINES_SQL, log_lines, read, with_checkpoints
 from sparkloom.sources.readers import route_format
 
 _TOKENS = "list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
@@ -37,11 +37,11 @@ def _runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
 
 def _contained(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(query_id, doc_id, rel) where the text contains the passage as it is: passages are few words, so they are joined
-    on one of them and verified."""
+    on one of them and verified. Spark broadcasts them while they are small."""
     word = lambda c: F.filter(F.split(c, "[^\\p{L}\\p{N}]+"), lambda t: t != "")
     inner = F.slice(word(F.col("term")), 2, 100)  # the first and last word may be cut
     asked = terms.select("query_id", "term", F.array_max(F.transform(F.slice(inner, F.lit(1), F.greatest(F.size(inner) - 1, F.lit(0))), lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"].alias("w"))
-    posting = docs.select("doc_id", "text", F.explode(F.array_distinct(word(F.col("text")))).alias("w")).join(F.broadcast(asked.select("w").distinct()), "w", "left_semi")
+    posting = docs.select("doc_id", "text", F.explode(F.array_distinct(word(F.col("text")))).alias("w"))
     return posting.join(asked, "w").filter(F.contains("text", "term")).select("query_id", "doc_id", F.lit(1).alias("rel"))
 
 
@@ -70,6 +70,7 @@ def bm25_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 @query("trigram_match", "SELECT item_id AS query_id, substr(b.text, 20, 12) AS term, doc_id AS id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(substr(b.text, 20, 12)))")
 def trigram_match(spark: SparkSession, d: str) -> DataFrame:
+    with_checkpoints(spark)
     terms = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 20, 12).alias("term"))
     return search.trigram_match(read(spark, d, "documents"), terms, "doc_id")
 
@@ -106,6 +107,7 @@ WITH q AS (SELECT item_id AS query_id, lower(trim(substr(text, 20, 12))) AS term
 h AS (SELECT query_id, doc_id AS id, term, (length(lower(text)) - length(replace(lower(text), term, ''))) // length(term) AS hits FROM documents JOIN q ON contains(lower(text), term))
 SELECT query_id, id, round(22.0 * least(hits, 3) * (1.0 + CASE WHEN length(term) >= 7 THEN 0.5 ELSE 0 END + CASE WHEN regexp_matches(term, '[/+_.-]') THEN 0.4 ELSE 0 END)::DOUBLE + 5.0, 6)::DOUBLE AS score FROM h""")
 def metadata_rank(spark: SparkSession, d: str) -> DataFrame:
+    with_checkpoints(spark)
     terms = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lower(F.trim(F.substring("text", 20, 12))).alias("term"))
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     hits = search.trigram_match(docs, terms).select("query_id", "id").distinct().join(docs, "id")

@@ -33,3 +33,20 @@ def test_round_is_sparks(spark):
     xs += [(i + 0.5) / 1e6 for i in range(500)]
     got = [r.y for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").select("i", F.round("x", 6).alias("y")).orderBy("i").collect()]
     assert vectors.round6(np.array(xs)).tolist() == got
+
+
+def test_blocks_of_queries_give_the_same_hits(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    vector = lambda: r.normal(size=8).astype("f4").tolist()
+    one = vector()
+    data = [(i, "s", one if i % 3 == 0 else vector()) for i in range(300)] + [(7, None, None), (8, "t", [1.0, 2.0])] + [(5, "u", one)] * 40
+    rec = spark.createDataFrame(data, "entry_id bigint, section_id string, embedding array<float>")
+    q = spark.createDataFrame([(1, one), *[(i, vector()) for i in range(2, 30)], (99, None)], "query_id bigint, embedding array<float>")
+    result = lambda df: sorted((x.query_id, x.rank, x.entry_id, x.score) for x in df.collect())
+    for euclid in (False, True):
+        want = result(vectors.knn(rec, q, 12, euclid))
+        assert len(want) == 29 * 12
+        with monkeypatch.context() as m:
+            m.setattr(vectors, "QUERY_BYTES", 512)
+            m.setattr(vectors, "PART_RECORDS", 70)
+            assert result(vectors.knn(rec, q, 12, euclid)) == want
