@@ -35,7 +35,7 @@ def trigram_match(docs: DataFrame, terms: DataFrame, id_col: str = "id", text_co
     if rarest.count() <= BROADCAST_TERMS:
         hits = source.select("id", "_text", F.explode(trigrams(F.col("_text"))).alias("g")).join(F.broadcast(rarest), "g")
     else:
-        hits = source.select("id", F.explode(trigrams(F.col("_text"))).alias("g")).join(rarest, "g").join(source, "id")
+        hits = source.select("id", F.explode(trigrams(F.col("_text"))).alias("g")).join(rarest, "g").distinct().join(source, "id")
     return hits.filter(F.contains(F.lower("_text"), F.lower("term"))).select("query_id", "term", "id")
 
 

@@ -259,3 +259,12 @@ def test_udtfs(spark):
 
     register_udtfs(spark)
     assert [tuple(r) for r in spark.sql("SELECT line FROM html_lines('<p>a</p><li>b')").collect()] == [("a",), ("- b",)]
+
+
+def test_trigram_match_beyond_the_broadcast(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Raft logs"), (2, "a draft, raft"), (2, "RAFT again"), (3, None), (4, "ra"), (5, "\U0001F600\U0001F601 x\ny")], "id int, text string")
+    terms = spark.createDataFrame([(1, "raft"), (2, "\U0001F600\U0001F601 x"), (3, "ra"), (4, "x\ny"), (5, "absent"), (6, None)], "query_id int, term string")
+    want = [(1, "raft", 1), (1, "raft", 2), (1, "raft", 2), (2, "\U0001F600\U0001F601 x", 5), (4, "x\ny", 5)]
+    assert rows(search.trigram_match(docs, terms)) == want
+    monkeypatch.setattr(search, "BROADCAST_TERMS", 0)
+    assert rows(search.trigram_match(docs, terms)) == want
