@@ -61,6 +61,30 @@ def top_per_query(hits: DataFrame, k: int, query_id: str = "query_id", id_col: s
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def text_search(entries: DataFrame, terms: DataFrame, groups: list[list[str]], query_id: str = "query_id", id_col: str = "id") -> DataFrame:
+    """(query_id, id, score) of the entries that any term finds. terms: query_id, term.
+
+    Terms of three characters or more are words of a group of fields (the entry's, the file's) and score by bm25() in
+    each group, summed; a phrase asks for its words. Terms with CJK characters and shorter ones are substrings of any
+    field and score nothing: they are joined on their first one to three characters and verified. Null fields and
+    terms are empty, an empty term finds nothing, ids are taken as distinct."""
+    term = F.col("term")
+    is_word = (F.length(term) >= 3) & ~T.contains_cjk(term)
+    asked = terms.filter(is_word).groupBy(query_id).agg(F.concat_ws(" ", F.collect_set("term")).alias("query"))
+    parts = []
+    for fields in groups:
+        group = entries.select(F.col(id_col).alias("id"), F.concat_ws("\n", *fields).alias("_text"))
+        parts.append(bm25(group, asked, "id", "_text", query_id))
+    whole = entries.select(F.col(id_col).alias("id"), F.lower(F.concat_ws("\n", *[f for fields in groups for f in fields])).alias("_text"))
+    short = terms.filter(~is_word & (F.length(term) > 0)).select(query_id, F.lower(term).alias("_low")).distinct().withColumn("g", F.substring("_low", 1, 3))
+    grams = F.array_distinct(F.concat(*[F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (1, 2, 3)]))
+    found = whole.select("id", "_text", F.explode(grams).alias("g")).join(short, "g").filter(F.contains("_text", "_low"))
+    out = found.select(query_id, "id", F.lit(0.0).alias("score"))
+    for part in parts:
+        out = out.unionByName(part)
+    return out.groupBy(query_id, "id").agg(F.sum("score").alias("score"))
+
+
 def metadata_rank(candidates: DataFrame, terms: DataFrame, fields: list[tuple[str, float]], tags: DataFrame | None = None, query_id: str = "query_id", id_col: str = "id") -> DataFrame:
     """(query_id, id, score). candidates: query_id, id and the fields; terms: query_id, term; tags: id, name,
     facet, requested. Fields count up to three hits each; coverage counts text terms; tags add their facet's weight."""

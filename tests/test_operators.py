@@ -268,3 +268,15 @@ def test_trigram_match_beyond_the_broadcast(spark, monkeypatch):
     assert rows(search.trigram_match(docs, terms)) == want
     monkeypatch.setattr(search, "BROADCAST_TERMS", 0)
     assert rows(search.trigram_match(docs, terms)) == want
+
+
+def test_text_search(spark):
+    from sparkloom.operators.search import text_search
+
+    entries = spark.createDataFrame([("a", "AI report", "raft log"), ("b", "notes", "\u5206\u5e03\u5f0f\u7cfb\u7edf"), ("c", None, "raft raft"), ("d", "x", None), ("e", "raft", "raft")], "id string, name string, body string")
+    terms = spark.createDataFrame([(1, "raft"), (1, "ai"), (2, "\u5e03\u5f0f"), (2, "\u5e03\u5f0f"), (3, ""), (3, None), (4, "\u5206\u5e03\u5f0f\u7cfb"), (5, "aft")], "query_id int, term string")
+    got = {(r["query_id"], r["id"]): r["score"] for r in text_search(entries, terms, [["name"], ["body"]]).collect()}
+    assert set(got) == {(1, "a"), (1, "c"), (1, "e"), (2, "b"), (4, "b")}
+    assert got[2, "b"] == got[4, "b"] == 0 and got[1, "e"] > got[1, "c"] > got[1, "a"] > 0
+    assert text_search(entries.limit(0), terms, [["name"], ["body"]]).count() == 0
+    assert text_search(entries, terms.limit(0), [["name"], ["body"]]).count() == 0
