@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe_codec, exact_dedup, license_scan, ngram_join, packing, quality_rules, substring_dedup, suffix_dedup, token_counts, url_filter
+from sparkloom.llm import bpe_codec, exact_dedup, license_scan, ngram_join, packing, periodic_runs, quality_rules, substring_dedup, suffix_dedup, token_counts, url_filter
 from sparkloom.llm.common import table
 
 
@@ -48,5 +48,9 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_digests(table(spark, sf_dir, "documents"), shorter=240)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_license_scan, op3_ngram_join, op4_quality_rules, op5_url_filter, op6_best_fit_packing, op7_exact_dedup, op8_substring_dedup, op9_token_counts, op10_suffix_dedup)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_license_scan, op3_ngram_join, op4_quality_rules, op5_url_filter, op6_best_fit_packing, op7_exact_dedup, op8_substring_dedup, op9_token_counts, op10_suffix_dedup, op11_periodic_runs)}
 ORACLES = {"op2_license_scan": license_scan.SQL, "op5_url_filter": url_filter.SQL, "op7_exact_dedup": exact_dedup.SQL}
