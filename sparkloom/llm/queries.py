@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkloom.llm import bpe_codec, exact_dedup, license_scan, ngram_join, packing, periodic_runs, quality_rules, substring_dedup, suffix_dedup, token_counts, url_filter
+from sparkloom.llm import (
+    bpe_codec, exact_dedup, lexical_search, license_scan, ngram_join, packing, periodic_runs, quality_rules, substring_dedup, suffix_dedup, token_counts, topk_search, url_filter,
+)
 from sparkloom.llm.common import table
 
 
@@ -52,5 +55,20 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_codec, op2_license_scan, op3_ngram_join, op4_quality_rules, op5_url_filter, op6_best_fit_packing, op7_exact_dedup, op8_substring_dedup, op9_token_counts, op10_suffix_dedup, op11_periodic_runs)}
-ORACLES = {"op2_license_scan": license_scan.SQL, "op5_url_filter": url_filter.SQL, "op7_exact_dedup": exact_dedup.SQL}
+def op12_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f for f in (
+        op1_bpe_codec, op2_license_scan, op3_ngram_join, op4_quality_rules, op5_url_filter, op6_best_fit_packing, op7_exact_dedup, op8_substring_dedup, op9_token_counts,
+        op10_suffix_dedup, op11_periodic_runs, op12_topk_search, op13_lexical_search,
+    )
+}
+ORACLES = {
+    "op2_license_scan": license_scan.SQL, "op5_url_filter": url_filter.SQL, "op7_exact_dedup": exact_dedup.SQL, "op12_topk_search": topk_search.SQL, "op13_lexical_search": lexical_search.SQL,
+}
