@@ -25,8 +25,11 @@ from pyspark.sql.window import Window
 
 from sparkloom.llm.common import discard, stored
 
-#: Lists that the components are cut into.
-LISTS = 4
+#: Lists that the components are cut into. More lists let more pass: of 51,000 vectors of 64 components 0.06 reach the
+#: cutoff of two lists, 0.4 that of four.
+LISTS = 2
+#: A local list gathers so many times k: the more, the nearer the cutoff comes to the k-th best score.
+DEPTH = 2
 #: Bytes of the queries that are handled at once: what is sent to the tasks.
 BLOCK_BYTES = 16 << 20
 #: Scores that a task holds at once.
@@ -174,8 +177,8 @@ def _search(found: DataFrame, block: _Block, parts: list[str], k: int) -> DataFr
         rows = pairs.join(found, "row").select("q", "row", "id", *parts)
         return rows.mapInArrow(_exact(block), f"q int, row bigint, id {kind}, query {kind}, score bigint")
 
-    local = of_lists(lambda j: _local_best(block, j, k), "q int, list int, row bigint, s bigint")
-    best = _cut(local, ["q", "list"], [F.desc("s"), F.col("row")], k).select("q", "row").distinct()
+    local = of_lists(lambda j: _local_best(block, j, DEPTH * k), "q int, list int, row bigint, s bigint")
+    best = _cut(local, ["q", "list"], [F.desc("s"), F.col("row")], DEPTH * k).select("q", "row").distinct()
     bar = np.full(n, _NONE, np.int64)
     for r in _cut(scored(best), ["q"], [F.desc("score"), F.col("row")], k, exactly=True).select("q", "score").collect():  # a number for each query of the block
         bar[r["q"]] = r["score"]
