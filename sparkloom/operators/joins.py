@@ -88,11 +88,14 @@ def paths(closed: DataFrame, names: DataFrame, id_col: str = "id", name: str = "
 
 
 def path_to_id(asked: DataFrame, paths_: DataFrame) -> DataFrame:
-    """Per asked path or bare name (column raw), the id when one matches, else ambiguous or not_found."""
+    """Per asked path or bare name (column raw), the id when one matches, else ambiguous or not_found. Paths begin
+    with a slash and are joined on the whole path, names on the last part; a null is not found."""
     known = paths_.select("id", "path", F.substring_index("path", "/", -1).alias("name"))
-    by = asked.join(known, F.when(F.startswith("raw", F.lit("/")), F.col("raw") == F.col("path")).otherwise(F.col("raw") == F.col("name")), "left")
-    n = F.count("id")
-    return by.groupBy("raw").agg(F.when(n == 1, "resolved").when(n > 1, "ambiguous").otherwise("not_found").alias("status"), F.when(n == 1, F.min("id")).alias("id"))
+    is_path = F.coalesce(F.startswith("raw", F.lit("/")), F.lit(False))
+    full = asked.filter(is_path).select("raw").join(known.select("id", F.col("path").alias("raw")), "raw", "left")
+    bare = asked.filter(~is_path).select("raw").join(known.select("id", F.col("name").alias("raw")), "raw", "left")
+    n = F.count_distinct("id")
+    return full.unionByName(bare).groupBy("raw").agg(F.when(n == 1, "resolved").when(n > 1, "ambiguous").otherwise("not_found").alias("status"), F.when(n == 1, F.min("id")).alias("id"))
 
 
 def latest_per_key(df: DataFrame, key: str, at: str, value: str, tie: str | None = None) -> DataFrame:

@@ -5,22 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.operators import evaluation, graph, joins, recall, vectors
+from sparkloom.operators import evaluation, graph, joins, mining, recall, vectors
 from sparkloom.plans.registry import query
-from sparkloom.plans.tables import PAIRS_SQL, part_pairs, read, with_checkpoints
+from sparkloom.plans.tables import PAIRS_SQL, part_pairs, read, scratch, with_checkpoints
 
 PAIRS2, PAIRS3 = PAIRS_SQL.format(least=2), PAIRS_SQL.format(least=3)
 
 
-@query("tag_overlap_pairs", """WITH et AS (SELECT DISTINCT l_orderkey AS e, l_partkey AS t FROM lineitem), ok AS (SELECT t FROM et GROUP BY 1 HAVING count(*) BETWEEN 2 AND 40),
+_OVERLAP_SQL = """WITH et AS (SELECT DISTINCT l_orderkey AS e, l_partkey AS t FROM lineitem), ok AS (SELECT t FROM et GROUP BY 1 HAVING count(*) BETWEEN 2 AND 40),
 seeds AS (SELECT DISTINCT x.e AS a, y.e AS b FROM et x JOIN ok USING (t) JOIN et y ON y.t = x.t AND x.e < y.e), n AS (SELECT e, count(*) AS n FROM et GROUP BY 1),
 s AS (SELECT a, b, count(*) AS shared FROM seeds JOIN et x ON x.e = a JOIN et y ON y.e = b AND y.t = x.t GROUP BY 1, 2 HAVING count(*) >= 2)
 SELECT a, b, shared, round(shared / (na.n + nb.n - shared), 6) AS jaccard, greatest(1, ceil(round(10 * shared / (na.n + nb.n - shared), 9)))::INT AS weight
-FROM s JOIN n na ON na.e = a JOIN n nb ON nb.e = b WHERE shared / (na.n + nb.n - shared) >= 0.3""")
+FROM s JOIN n na ON na.e = a JOIN n nb ON nb.e = b WHERE shared / (na.n + nb.n - shared) >= 0.3"""
+
+
+@query("tag_overlap_pairs", _OVERLAP_SQL)
 def tag_overlap_pairs(spark: SparkSession, d: str) -> DataFrame:
     return graph.tag_overlap_pairs(read(spark, d, "lineitem"), entry="l_orderkey", tag="l_partkey").withColumn("jaccard", F.round("jaccard", 6))
 
 
+@query("mined_pages", _OVERLAP_SQL)
+def mined_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Three pages of entries, with a change of tags after the first: the same pairs as of all at once."""
+    with_checkpoints(spark)
+    lines = read(spark, d, "lineitem")
+    now = lines.select(F.col("l_orderkey").alias("e"), F.col("l_partkey").alias("t")).distinct()
+    other = F.when((F.col("l_linenumber") == 1) & (F.col("l_returnflag") == "R"), F.col("l_suppkey")).otherwise(F.col("l_partkey"))
+    before = lines.select(F.col("l_orderkey").alias("e"), other.alias("t")).distinct()
+    changes = now.subtract(before).withColumn("added", F.lit(True)).unionByName(before.subtract(now).withColumn("added", F.lit(False)))
+    table = mining.PairTable(spark, scratch(spark))
+    third = -(-now.select("e").distinct().count() // 3)
+    table.next_page(before, third)
+    table.apply(now, changes)
+    while not table.next_page(now, third)["complete"]:
+        pass
+    return table.pairs().withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query("path_ids", """WITH p AS (SELECT p_partkey AS id, '/' || p_brand || '/' || p_name AS path, p_name AS name FROM part), asked AS (SELECT DISTINCT unnest([path, name, path || '/none']) AS raw FROM p),
+m AS (SELECT raw, id FROM asked JOIN p ON raw = path UNION SELECT raw, id FROM asked JOIN p ON raw = name)
+SELECT raw, CASE count(id) WHEN 0 THEN 'not_found' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN count(id) = 1 THEN min(id) END AS id FROM asked LEFT JOIN m USING (raw) GROUP BY raw""")
+def path_ids(spark: SparkSession, d: str) -> DataFrame:
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("/"), "p_brand", F.lit("/"), "p_name").alias("path"), "p_name")
+    return joins.path_to_id(p.select(F.explode(F.array("path", "p_name", F.concat("path", F.lit("/none")))).alias("raw")).distinct(), p.select("id", "path"))
+
+
 @query("cooccurrence_pairs", f"WITH {PAIRS2} SELECT a, b, n FROM pairs")
 def cooccurrence_pairs(spark: SparkSession, d: str) -> DataFrame:
     return part_pairs(spark, d)

@@ -16,7 +16,7 @@ from sparkloom.sources import extract, readers
 @query("csv_file", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def csv_file(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark)
-    readers.export_csv(read(spark, d, "customer"), path, cap=1 << 30)
+    readers.export_csv(read(spark, d, "customer"), path, cap=None)
     return readers.read_csv(spark, path).withColumn("c_custkey", F.col("c_custkey").cast("bigint"))
 
 
@@ -127,9 +127,9 @@ def reflog(spark: SparkSession, d: str) -> DataFrame:
     return readers.parse_reflog(rows).select("repo", "n", "new", "at", "message", "rank")
 
 
-@query("decoded_text", "SELECT doc_id, md5(text) AS text FROM documents WHERE text IS NOT NULL AND length(text) < 20000")
+@query("decoded_text", "SELECT doc_id, md5(text) AS text FROM documents")
 def decoded_text(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").filter("text IS NOT NULL AND length(text) < 20000")
+    docs = read(spark, d, "documents")
     content = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode("text", "UTF-16"))
     return extract.decode_text(docs.select("doc_id", content.alias("content"))).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text"))
 

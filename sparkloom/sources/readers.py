@@ -96,8 +96,11 @@ def scan_files(spark: SparkSession, root: str, content: bool = False) -> DataFra
     return out
 
 
-def export_csv(df: DataFrame, path: str, cap: int = 100_000) -> bool:
-    """Writes at most cap rows with a header; whether there were more."""
+def export_csv(df: DataFrame, path: str, cap: int | None = 100_000) -> bool:
+    """Writes at most cap rows with a header (None: all, by all tasks); whether there were more."""
+    if cap is None:
+        df.write.csv(path, header=True)
+        return False
     more = not df.offset(cap).limit(1).isEmpty()
     (df.limit(cap) if more else df).write.csv(path, header=True)
     return more

@@ -125,9 +125,21 @@ def test_vector_refresh_reuses(spark):
 
 
 def test_sql_guard_and_columns(spark):
-    for bad in ("DELETE FROM t1", "SELECT 1; SELECT 2", "SELECT * FROM read_csv('x')", "EXPLAIN SELECT 1", "SELECT * FROM parquet.`/x`"):
-        assert sqlrun.refusal(bad)
-    assert sqlrun.refusal("WITH a AS (SELECT 'drop; table' AS x) SELECT * FROM a;") is None
+    foreign = "reflect('java.lang.System', 'getProperty', 'user.home')"
+    wide = ", ".join(f"a{i}" for i in range(60))
+    bad = [
+        "DELETE FROM t1", "SELECT 1; SELECT 2", "SELECT * FROM read_csv('x')", "EXPLAIN SELECT 1", "SELECT * FROM parquet.`/x`", "SELECT * FROM range(9)", "INSERT INTO t1 VALUES (1)", "SET a=b", "BEGIN SELECT 1; END",
+        "SELECT TRANSFORM(a) USING 'cat' FROM t1", "EXECUTE IMMEDIATE 'SELECT 1'", "SELECT * FROM secret", "SELECT * FROM t1, LATERAL (SELECT * FROM secret)", "SELECT * FROM IDENTIFIER('secret')", "SELECT IDENTIFIER('reflect')('a', 'b')",
+        "WITH x AS (WITH secret AS (SELECT 1) SELECT * FROM secret) SELECT * FROM secret", "WITH secret AS (SELECT * FROM secret) SELECT * FROM secret", f"SELECT {wide}, {foreign} FROM t1", f"SELECT {foreign.replace('reflect', 'REFLECT ')}",
+        "SELECT `reflect`('a', 'b')", "SELECT system.builtin.reflect('a', 'b')", f"SELECT * FROM t1 WHERE a IN (SELECT {foreign})", f"SELECT EXISTS (SELECT 1 WHERE x = {foreign})", f"SELECT a FROM t1 ORDER BY {foreign}", f"VALUES ({foreign})",
+        f"SELECT transform(array(1), x -> {foreign})", "SELECT count(*) FILTER (WHERE try_reflect('a', 'b') = '1') FROM t1", f"SELECT * FROM t1 LATERAL VIEW explode(array({foreign})) v AS x", f"SELECT sum(a) OVER (PARTITION BY {foreign}) FROM t1",
+    ]
+    assert [b for b in bad if not sqlrun.refusal(b, ["t1"])] == []
+    good = [
+        "WITH a AS (SELECT 'drop; table' AS x) SELECT * FROM a;", "WITH a AS (SELECT 1 x), b AS (SELECT * FROM a) SELECT * FROM a JOIN b USING (x) UNION ALL SELECT 2", "SELECT a, count(*) FROM T1 GROUP BY ROLLUP (a) HAVING count(*) > 1 ORDER BY 1 LIMIT 5",
+        "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 5) SELECT * FROM r", "SELECT * FROM t1 WHERE a = (SELECT max(a) FROM t1)", "SELECT sum(a) OVER w FROM t1 WINDOW w AS (ORDER BY b)", "SELECT explode(array(1, 2))",
+    ]
+    assert [g for g in good if sqlrun.refusal(g, ["t1"])] == []
     staff = spark.createDataFrame([(1, "Ann", 10), (2, "Bo", 20)], "id int, `Full Name` string, salary int")
     page, info = sqlrun.query_tables(spark, [staff], 'SELECT "fullname" AS n, salary FROM t1 ORDER BY salary', limit=1)
     assert [tuple(r) for r in page.collect()] == [("Ann", 10)] and info == {"has_more": True, "next_offset": 1, "fixed": {"fullname": "Full Name"}}
@@ -280,3 +292,11 @@ def test_text_search(spark):
     assert got[2, "b"] == got[4, "b"] == 0 and got[1, "e"] > got[1, "c"] > got[1, "a"] > 0
     assert text_search(entries.limit(0), terms, [["name"], ["body"]]).count() == 0
     assert text_search(entries, terms.limit(0), [["name"], ["body"]]).count() == 0
+
+
+def test_path_to_id(spark):
+    asked = spark.createDataFrame([("/a/b",), ("b",), ("c",), ("/no",), (None,), ("c",)], "raw string")
+    known = spark.createDataFrame([(1, "/a/b"), (2, "/a/c"), (3, "/c")], "id int, path string")
+    got = joins.path_to_id(asked, known)
+    assert rows(got) == [(None, "not_found", None), ("/a/b", "resolved", 1), ("/no", "not_found", None), ("b", "resolved", 1), ("c", "ambiguous", None)]
+    assert "NestedLoop" not in got._jdf.queryExecution().toString()
