@@ -28,14 +28,44 @@ def tag_overlap_pairs(entry_tags: DataFrame, min_jaccard: float = 0.30, min_shar
 
 
 def array_pairs(ids: Column) -> Column:
-    """Pairs (a, b), a < b, of an array's distinct values; no self-join."""
+    """Pairs (a, b), a < b, of an array's distinct values; no self-join. For arrays of a few hundred values."""
     s = F.array_sort(F.array_distinct(F.array_compact(ids)))
     return F.flatten(F.transform(s, lambda a, i: F.transform(F.slice(s, i + 2, F.size(s)), lambda b: F.struct(a.alias("a"), b.alias("b")))))
 
 
-def cooccurrence_pairs(rows: DataFrame, ids: str = "entry_ids", least: int = 2, live: DataFrame | None = None) -> DataFrame:
-    """(a, b, n) for pairs in `least` rows or more; with live (a column id), both ends must be there."""
-    pairs = rows.select(F.inline(array_pairs(F.col(ids)))).groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+#: Ids of an array up to which its pairs are made in its row; more are dealt in blocks of so many.
+PAIR_BLOCK = 128
+
+
+def dealt_pairs(rows: DataFrame, ids: str, least: int = 1) -> DataFrame:
+    """(a, b), a < b: the pairs of each row's distinct ids. An array of over PAIR_BLOCK ids first loses those that stand
+    in fewer than `least` rows, whose pairs can't stand in more; its pairs are then made from pairs of blocks, each a
+    row of its own, so that many tasks share one array and no row grows with the square of it."""
+    sorted_ids = F.array_sort(F.array_distinct(F.array_compact(ids)))
+    arrays = rows.select(F.monotonically_increasing_id().alias("_row"), sorted_ids.alias("_s")).filter(F.size("_s") > 1)
+    narrow = arrays.filter(F.size("_s") <= PAIR_BLOCK).select(F.inline(array_pairs(F.col("_s"))))
+    wide = arrays.filter(F.size("_s") > PAIR_BLOCK).checkpoint()  # so that row numbers hold; small but for wide arrays
+    if wide.isEmpty():
+        return narrow
+    if least > 1:
+        each = wide.select("_row", F.explode("_s").alias("id"))
+        held = each.select("id").distinct()
+        counted = arrays.select(F.explode("_s").alias("id")).join(held, "id", "left_semi").groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+        wide = each.join(counted.select("id"), "id", "left_semi").groupBy("_row").agg(F.array_sort(F.collect_list("id")).alias("_s"))  # no longer than it was
+    blocks = F.ceil(F.size("_s") / PAIR_BLOCK).cast("int")
+    cut = wide.select("_s", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_i"), blocks.alias("_n")).repartition("_i")
+    part = lambda i: F.slice("_s", i * PAIR_BLOCK + 1, F.lit(PAIR_BLOCK))
+    both = cut.select(part(F.col("_i")).alias("x"), F.explode(F.sequence("_i", F.col("_n") - 1)).alias("_j"), "_s").select("x", part(F.col("_j")).alias("y"))
+    across = both.select(F.explode("x").alias("a"), "y").select("a", F.explode("y").alias("b")).filter("a < b")
+    return narrow.unionByName(across)
+
+
+def cooccurrence_pairs(rows: DataFrame, ids: str = "entry_ids", least: int = 2, live: DataFrame | None = None, at: str | None = None, now: Column | None = None, days: int = 30) -> DataFrame:
+    """(a, b, n) for pairs in `least` rows or more; with live (a column id), both ends must be there; with at
+    (a column) and now, of rows of the last `days` days only."""
+    if at is not None:
+        rows = rows.filter(F.col(at) >= now - F.make_dt_interval(F.lit(days)))
+    pairs = dealt_pairs(rows, ids, least).groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     if live is not None:
         pairs = pairs.join(live.select(F.col("id").alias("a")), "a", "left_semi").join(live.select(F.col("id").alias("b")), "b", "left_semi")
     return pairs.select("a", "b", "n")
@@ -99,12 +129,27 @@ def vet_candidates(edges: DataFrame, now: Column, least: int = 2, ttl_days: int
     return out if limit is None else out.limit(limit)
 
 
-def frequent_tag_sets(entry_tags: DataFrame, least: int = 10, entry: str = "entry", tag: str = "tag") -> DataFrame:
-    """Triples of tags (t1 < t2 < t3) that `least` entries or more wear; each pair must be frequent first."""
-    et = entry_tags.select(F.col(entry).alias("e"), F.col(tag).alias("t")).distinct()
-    ok = et.join(et.groupBy("t").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("t"), "t", "left_semi").groupBy("e").agg(F.array_sort(F.collect_set("t")).alias("ts"))
-    triples = F.flatten(F.transform("ts", lambda a, i: F.flatten(F.transform(F.slice("ts", i + 2, F.size("ts")), lambda b, j: F.transform(F.slice("ts", i + j + 3, F.size("ts")), lambda c: F.struct(a.alias("t1"), b.alias("t2"), c.alias("t3")))))))
-    return ok.select(F.inline(triples)).groupBy("t1", "t2", "t3").agg(F.count("*").alias("support")).filter(F.col("support") >= least)
+def frequent_tag_sets(entry_tags: DataFrame, least: int = 10, entry: str = "entry", tag: str = "tag", k: int = 3) -> DataFrame:
+    """Sets of k tags (t1 < t2 < ...) that `least` entries or more wear, with their support.
+
+    Level by level: a set is tried only if all its subsets of one tag less are frequent, which joins of the small table
+    of frequent sets decide before any entry is looked at; and an entry goes on to a level only with the frequent sets
+    it wears. Each level's frequent sets and who wears them are written by checkpoint()."""
+    worn = entry_tags.select(F.col(entry).alias("e"), F.array(tag).alias("s")).dropna().distinct()
+    frequent = worn.groupBy("s").agg(F.count("*").alias("support")).filter(F.col("support") >= least).checkpoint()
+    for size in range(2, k + 1):
+        worn = worn.join(frequent.select("s"), "s", "left_semi").checkpoint()
+        stem, last = F.slice("s", 1, size - 2), F.element_at("s", -1)
+        tried = frequent.select(stem.alias("p"), last.alias("x")).join(frequent.select(stem.alias("p"), last.alias("y")), "p").filter("x < y").select(F.concat("p", F.array("x", "y")).alias("s"))
+        for left_out in range(1, size - 1):  # without x or y it is frequent: it was made from these
+            without = F.concat(F.slice("s", 1, left_out - 1), F.slice("s", left_out + 1, size - left_out))
+            tried = tried.withColumn("w", without).join(frequent.select(F.col("s").alias("w")), "w", "left_semi").select("s")
+        tried = tried.checkpoint()
+        left, right = worn.select("e", stem.alias("p"), last.alias("x")), worn.select("e", stem.alias("p"), last.alias("y"))
+        joined = left.join(right, ["e", "p"]).filter("x < y").select("e", F.concat("p", F.array("x", "y")).alias("s"))
+        worn = joined.join(tried, "s", "left_semi")
+        frequent = worn.groupBy("s").agg(F.count("*").alias("support")).filter(F.col("support") >= least).checkpoint()
+    return frequent.select(*[F.element_at("s", i).alias(f"t{i}") for i in range(1, k + 1)], "support")
 
 
 def covered(tags: Column, view: Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,13 +17,37 @@ def cursors(events: DataFrame, key: str, *order: str) -> DataFrame:
     return events.withColumn("cursor", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
 
 
-def grep_context(lines: DataFrame, pattern: str, context: int = 2, file: str = "file", no: str = "n", line: str = "text", max_rows: int | None = None, offset: int = 0) -> DataFrame:
-    """Each match (several a line, cut to 200 characters) with the lines around it; total per file."""
-    w = Window.partitionBy(file).orderBy(no)
+def row_numbers(df: DataFrame, keys: list[str], order: list[str], out: str = "row") -> DataFrame:
+    """Numbers from 1 in each group of keys, by order, where a group may be too large for a task. Rows are dealt by
+    ranges of keys and order and numbered where they stand (written by checkpoint(), so that this holds), and the rows
+    of the group in the parts before are added."""
+    dealt = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_m", F.monotonically_increasing_id()).checkpoint()
+    dealt = dealt.withColumn("_p", F.shiftrightunsigned("_m", 33))
+    parts = dealt.groupBy(*keys, "_p").agg(F.min("_m").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = parts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_p").alias("_q"), (before - F.col("_first") + 1).alias("_add"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return dealt.join(known, [F.col("_p") == F.col("_q"), *same]).select(*df.columns, (F.col("_m") + F.col("_add")).alias(out))
+
+
+def grep_context(
+    lines: DataFrame, pattern: str, context: int = 2, file: str = "file", no: str = "n", line: str = "text", max_rows: int | None = None, offset: int = 0, block: int = 4096
+) -> DataFrame:
+    """Each match (several a line, cut to 200 characters) with the lines around it; total per file.
+
+    A file may have any size: its lines are handled in blocks, and a line near a block's border is also sent to the
+    next block, as context."""
+    block = max(block, context + 1)
+    at = F.col("_i") - 1
+    rows = row_numbers(lines.select(file, no, line), [file], [no], "_i")
+    dealt = rows.withColumn("_b", F.explode(F.sequence(F.floor(F.greatest(at - context, F.lit(0)) / block), F.floor((at + context) / block))))
+    w = Window.partitionBy(file, "_b").orderBy("_i")
     around = F.array_join(F.collect_list(line).over(w.rowsBetween(-context, context)), "\n")
-    found = lines.withColumn("context", around).filter(logs.matches(F.col(line), pattern))
+    found = dealt.withColumn("context", around).filter((F.col("_b") == F.floor(at / block)) & logs.matches(F.col(line), pattern))
     out = found.select(file, no, F.posexplode(F.regexp_extract_all(line, F.lit(f"(?i)({pattern})"), F.lit(1))).alias("pos", "match"), "context")
-    out = out.withColumns({"match": F.substring("match", 1, 200), "total": F.count("*").over(Window.partitionBy(file)), "rank": F.row_number().over(Window.partitionBy(file).orderBy(no, "pos"))})
+    ranked = row_numbers(out.withColumn("match", F.substring("match", 1, 200)), [file], [no, "pos"], "rank")
+    total = ranked.groupBy(F.col(file).alias("_f")).agg(F.count("*").alias("total"))
+    out = ranked.join(total, F.col(file).eqNullSafe(F.col("_f"))).select(file, no, "pos", "match", "context", "total", "rank")
     return out if max_rows is None else out.filter(F.col("rank").between(offset + 1, offset + max_rows))
 
 
@@ -39,14 +67,22 @@ def line_window(docs: DataFrame, first: int, last: int, text: str = "text") -> D
     return docs.withColumn("part", F.array_join(F.slice(F.split(text, "\n"), first, max(0, last - first + 1)), "\n"))
 
 
+# Fixed value: a Markdown heading, its marks and its title.
+HEADING = r"^\s{0,3}(#{1,6})\s+(.+?)\s*#*\s*$"
+
+
 def sections_from_headings(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Markdown headings with the lines they reach: to before the next heading of the same or a higher level."""
-    lines = F.split(text, "\n")
-    heads = docs.select(doc, F.size(lines).alias("_n"), F.posexplode(lines).alias("_i", "_l")).filter("_l RLIKE '^#{1,6} '")
-    heads = heads.select(doc, "_n", (F.col("_i") + 1).alias("line"), F.length(F.regexp_extract("_l", "^(#+)", 1)).alias("level"), F.trim(F.regexp_replace("_l", "^#+ ", "")).alias("title"))
-    later = F.collect_list(F.struct("line", "level")).over(Window.partitionBy(doc).orderBy("line").rowsBetween(1, Window.unboundedFollowing))
-    end = F.array_min(F.transform(F.filter("_later", lambda s: s["level"] <= F.col("level")), lambda s: s["line"]))
-    return heads.withColumn("_later", later).select(doc, "line", "level", "title", F.coalesce(end - 1, F.col("_n")).alias("line_end"))
+    """Markdown headings with the lines they reach: to before the next heading of the same or a higher level.
+
+    Read from the end, the nearest heading of each of the six levels or a higher one is a running minimum, so a text's
+    headings take time in proportion. A null text has none; rows with equal ids are texts of their own."""
+    rows = docs.select(doc, F.monotonically_increasing_id().alias("_row"), F.split(text, "\n").alias("_lines"))
+    rows = rows.withColumn("_n", F.size("_lines")).select(doc, "_row", "_n", F.posexplode("_lines").alias("_i", "_l"))  # counted before they are rows
+    heads = rows.filter(F.col("_l").rlike(HEADING))
+    heads = heads.select(doc, "_row", "_n", (F.col("_i") + 1).alias("line"), F.length(F.regexp_extract("_l", HEADING, 1)).alias("level"), F.regexp_extract("_l", HEADING, 2).alias("title"))
+    later = Window.partitionBy("_row").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
+    nearest = [F.min(F.when(F.col("level") <= k, F.col("line"))).over(later) for k in range(1, 7)]
+    return heads.withColumn("_next", F.array(*nearest)).select(doc, "line", "level", "title", F.coalesce(F.element_at("_next", F.col("level")) - 1, F.col("_n")).alias("line_end"))
 
 
 def section_body(text, anchor, title):
@@ -56,23 +92,36 @@ def section_body(text, anchor, title):
     return F.when(a != "", sliced).when(F.contains(text, title), F.substring(text, F.call_function("locate", title, text), F.lit(4096)))
 
 
+def line_chunks(text: str, max_chars: int) -> list[tuple[int, int, str]]:
+    """(first line, last line, body) of greedy chunks: the costs of all lines are summed up once, and where a chunk
+    ends is searched in the sums."""
+    lines = text.splitlines() or [""]
+    until = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)) + 1)
+    out, first = [], 0
+    while first < len(lines):
+        before = int(until[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(until, before + max_chars, side="right")))
+        out.append((first + 1, last, "\n".join(lines[first:last])))
+        first = last
+    return out
+
+
 def chunk_lines(docs: DataFrame, max_chars: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Greedy chunks of whole lines, each line costing its length and one; (doc, chunk, line_start, line_end,
-    body)."""
-    start = F.struct(F.array().cast("array<struct<first:int,last:int>>").alias("done"), F.lit(0).alias("first"), F.lit(0).alias("cost"), F.lit(0).alias("i"))
-
-    def step(acc, line):
-        cost = F.length(line) + 1
-        over = (acc["cost"] + cost > max_chars) & (acc["i"] > acc["first"])
-        closed = F.concat(acc["done"], F.array(F.struct(acc["first"].alias("first"), (acc["i"] - 1).alias("last"))))
-        return F.struct(
-            F.when(over, closed).otherwise(acc["done"]).alias("done"), F.when(over, acc["i"]).otherwise(acc["first"]).alias("first"),
-            F.when(over, cost).otherwise(acc["cost"] + cost).alias("cost"), (acc["i"] + 1).alias("i"),
-        )
-
-    end = lambda acc: F.concat(acc["done"], F.array(F.struct(acc["first"].alias("first"), (acc["i"] - 1).alias("last"))))
-    rows = docs.select(doc, F.split(text, "\n").alias("_l")).select(doc, "_l", F.posexplode(F.aggregate("_l", start, step, end)).alias("chunk", "c"))
-    return rows.select(doc, "chunk", (F.col("c.first") + 1).alias("line_start"), (F.col("c.last") + 1).alias("line_end"), F.array_join(F.slice("_l", F.col("c.first") + 1, F.col("c.last") - F.col("c.first") + 1), "\n").alias("body"))
+    body). A longer line is a chunk of its own. A null or empty text is one chunk of an empty line; repeated rows give
+    repeated chunks. Time is in proportion to the text."""
+    rows = docs.select(F.col(doc).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [line_chunks(t.as_py(), max_chars) for t in batch.column(1)]
+            place = pa.array([i for i, f in enumerate(found) for _ in f], pa.int32())
+            number = [k for f in found for k in range(len(f))]
+            first, last, body = zip(*[c for f in found for c in f], strict=True) if number else ((),) * 3
+            columns = [batch.column(0).take(place), *[pa.array(c, pa.int32()) for c in (number, first, last)], pa.array(body, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "chunk", "line_start", "line_end", "body"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, chunk int, line_start int, line_end int, body string").withColumnRenamed("id", doc)
 
 
 def within_budget(rows: DataFrame, key: str, order, cost: str, budget: int, newest_first: bool = True) -> DataFrame:

@@ -74,9 +74,27 @@ SELECT x.t AS t1, y.t AS t2, z.t AS t3, count(*) AS support FROM et x JOIN et y
 def frequent_tag_sets(spark: SparkSession, d: str) -> DataFrame:
     li, o, p = (read(spark, d, t) for t in ("lineitem", "orders", "part"))
     rows = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(p, li["l_partkey"] == p["p_partkey"])
+    with_checkpoints(spark)
     return graph.frequent_tag_sets(rows, 10, "o_custkey", "p_brand")
 
 
+@query("frequent_tag_quads", """WITH et AS (SELECT DISTINCT l_orderkey AS e, p_brand AS t FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT a.t AS t1, b.t AS t2, c.t AS t3, d.t AS t4, count(*) AS support FROM et a JOIN et b ON a.e = b.e AND a.t < b.t JOIN et c ON c.e = a.e AND b.t < c.t JOIN et d ON d.e = a.e AND c.t < d.t GROUP BY 1, 2, 3, 4 HAVING count(*) >= 4""")
+def frequent_tag_quads(spark: SparkSession, d: str) -> DataFrame:
+    with_checkpoints(spark)
+    li, p = read(spark, d, "lineitem"), read(spark, d, "part")
+    return graph.frequent_tag_sets(li.join(p, li["l_partkey"] == p["p_partkey"]), 4, "l_orderkey", "p_brand", 4)
+
+
+@query("recent_pairs", """WITH o AS (SELECT DISTINCT l_suppkey AS s, date_trunc('month', l_shipdate) AS m, l_partkey AS p FROM lineitem WHERE date_trunc('month', l_shipdate) >= TIMESTAMP '2001-12-01' - INTERVAL 900 DAY)
+SELECT x.p AS a, y.p AS b, count(*) AS n FROM o x JOIN o y ON x.s = y.s AND x.m = y.m AND x.p < y.p GROUP BY 1, 2 HAVING count(*) >= 2""")
+def recent_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of a supplier's month together, in the last 900 days."""
+    with_checkpoints(spark)
+    months = read(spark, d, "lineitem").groupBy("l_suppkey", F.date_trunc("month", "l_shipdate").alias("month")).agg(F.collect_set("l_partkey").alias("entry_ids"))
+    return graph.cooccurrence_pairs(months, at="month", now=F.lit("2001-12-01").cast("timestamp"), days=900)
+
+
 @query("connected_components", f"""WITH RECURSIVE {PAIRS3}, s AS (SELECT a AS u, b AS v FROM pairs UNION SELECT b, a FROM pairs),
 r(node, label) AS (SELECT u, u FROM s UNION SELECT s.v, r.label FROM r JOIN s ON s.u = r.node) SELECT node, min(label) AS component FROM r GROUP BY 1""")
 def connected_components(spark: SparkSession, d: str) -> DataFrame:

@@ -148,9 +148,13 @@ def html_to_text(spark: SparkSession, d: str) -> DataFrame:
     return run(read(spark, d, "pages"), "page_id")
 
 
-@query("chunk_lines")
+@query("chunk_lines", """WITH RECURSIVE t AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), chr(10) || '$', ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM t),
+r(doc_id, i, first, cost) AS (SELECT doc_id, i, i, length(line) + 1 FROM l WHERE i = 1 UNION ALL
+  SELECT l.doc_id, l.i, CASE WHEN cost + length(line) + 1 > 1000 THEN l.i ELSE first END, CASE WHEN cost + length(line) + 1 > 1000 THEN 0 ELSE cost END + length(line) + 1 FROM r JOIN l ON l.doc_id = r.doc_id AND l.i = r.i + 1)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1)::INT AS chunk, first::INT AS line_start, max(i)::INT AS line_end, md5(string_agg(line, chr(10) ORDER BY i)) AS body FROM r JOIN l USING (doc_id, i) GROUP BY doc_id, first""")
 def chunk_lines(spark: SparkSession, d: str) -> DataFrame:
-    return windows.chunk_lines(read(spark, d, "documents"), 1000)
+    return windows.chunk_lines(read(spark, d, "documents"), 1000).withColumn("body", F.md5(F.col("body").cast("binary")))
 
 
 @query("grep_context", f"""WITH {LINES_SQL},
@@ -158,6 +162,7 @@ w AS (SELECT *, string_agg(text, chr(10)) OVER (PARTITION BY file ORDER BY n ROW
 m AS (SELECT file, n, 0 AS pos, regexp_extract(text, '(error [^ ]*)', 1) AS match, context FROM w WHERE regexp_matches(text, 'error [^ ]*'))
 SELECT *, count(*) OVER (PARTITION BY file) AS total, row_number() OVER (PARTITION BY file ORDER BY n, pos) AS rank FROM m""")
 def grep_context(spark: SparkSession, d: str) -> DataFrame:
+    with_checkpoints(spark)
     return windows.grep_context(log_lines(spark, d), "(?-i:error) [^ ]*", 2)
 
 

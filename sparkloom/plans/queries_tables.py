@@ -195,13 +195,18 @@ def adhoc_sql(spark: SparkSession, d: str) -> DataFrame:
     return sqlrun.query_tables(spark, [read(spark, d, "lineitem")], sql)[0]
 
 
-@query("sections")
+@query("sections", r"""WITH t AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^([A-Ia-i])', '# \1', 'g'), '(?m)^([J-Rj-r])', '## \1', 'g'), '(?m)^([S-Zs-z])', '  ### \1', 'g'), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, len(ls) AS n, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM t),
+h AS (SELECT doc_id, n, i AS line, length(regexp_extract(line, '^ *(#+) ', 1)) AS level, regexp_extract(line, '^\s{0,3}(#{1,6})\s+(.+?)\s*#*\s*$', 2) AS title FROM l WHERE regexp_matches(line, '^\s{0,3}(#{1,6})\s+(.+?)\s*#*\s*$'))
+SELECT doc_id, line, level, title, coalesce((SELECT min(x.line) - 1 FROM h x WHERE x.doc_id = h.doc_id AND x.line > h.line AND x.level <= h.level), n) AS line_end FROM h""")
 def sections(spark: SparkSession, d: str) -> DataFrame:
-    """Documents with each of their first words as a heading, then sections by headings."""
+    """Documents with lines as headings of three levels, by their first letters."""
     from sparkloom.operators.windows import sections_from_headings
 
-    docs = read(spark, d, "documents").select("doc_id", F.regexp_replace("text", "(?m)^(\\S+)", "# $1").alias("text"))
-    return sections_from_headings(docs)
+    marked = F.col("text")
+    for letters, mark in (("A-Ia-i", "#"), ("J-Rj-r", "##"), ("S-Zs-z", "  ###")):
+        marked = F.regexp_replace(marked, f"(?m)^([{letters}])", f"{mark} $1")
+    return sections_from_headings(read(spark, d, "documents").select("doc_id", marked.alias("text")))
 
 
 @query("quote_normalized", r"SELECT item_id, lower(regexp_replace(text, '[\s\p{P}\p{Z}\p{C}]+', '', 'g')) AS norm FROM benchmark")
