@@ -21,8 +21,10 @@ from sparkloom.llm.tokens import ByteBpe, Generations, byte_bpe, vocabulary
 
 #: A cut where so many low bits of the rolling hash are zero: chunks of 512 bytes on average.
 CUT_MASK = np.uint32(511)
-#: Chunks kept by a worker, in each of two generations.
+#: Chunks, and texts around joins, kept by a worker in each of two generations, and the sums of their lengths; ids and
+#: decoded bytes take up to ten times as much. A longer text around a join, without white space, isn't kept.
 CACHE_CHUNKS = 20_000
+CHUNK_BYTES, JOIN_CHARS, LONGEST_JOIN = 12 << 20, 2 << 20, 4096
 _TABLE = np.random.default_rng(20).integers(1, 1 << 32, 256, dtype=np.uint32)
 _MULTIPLIER = 0x9E3779B1
 _AGREED = re.compile(r"(?<=\S)(?=\s)")
@@ -41,8 +43,8 @@ def cuts(data: np.ndarray) -> np.ndarray:
 class ChunkCodec:
     def __init__(self, bpe: ByteBpe):
         self.bpe = bpe
-        self.chunks = Generations(self._chunk, CACHE_CHUNKS)
-        self.joins = Generations(self._part, CACHE_CHUNKS)
+        self.chunks = Generations(self._chunk, CACHE_CHUNKS, most=CHUNK_BYTES)
+        self.joins = Generations(self._part, CACHE_CHUNKS, LONGEST_JOIN, JOIN_CHARS)
 
     def _part(self, text: str) -> tuple[int, str, bytes]:
         """Number of ids, the ids as digits, and their decoded bytes."""

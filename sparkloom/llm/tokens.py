@@ -41,13 +41,13 @@ def _byte_chars() -> dict[str, int]:
 
 
 class Generations(dict):
-    """A cache of at most two generations: what is asked for again moves to the young one. Keys of more than `longest`
-    are made anew each time, so that its bytes have a bound too."""
+    """A cache of at most two generations of `limit` keys, whose lengths sum to `most`: what is asked for again moves to
+    the young one. Keys of more than `longest` are made anew each time, so that its bytes have a bound too."""
 
-    def __init__(self, make, limit: int, longest: int = 1 << 62):
+    def __init__(self, make, limit: int, longest: int = 1 << 62, most: int = 1 << 62):
         super().__init__()
         self.old: dict = {}
-        self.make, self.limit, self.longest = make, limit, longest
+        self.make, self.limit, self.longest, self.most, self.held = make, limit, longest, most, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
@@ -55,9 +55,11 @@ class Generations(dict):
             value = self.make(key)
         if len(key) > self.longest:
             return value
-        if len(self) >= self.limit:
+        self.held += len(key)
+        if len(self) >= self.limit or self.held > self.most:
             self.old = dict(self)
             self.clear()
+            self.held = len(key)
         self[key] = value
         return value
 
