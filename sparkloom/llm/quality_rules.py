@@ -18,12 +18,16 @@ from sparkloom.llm.common import WHITE
 BUCKETS = 8192
 #: Labelled rows used as the target, those with the smallest hashes of their ids.
 TARGET_ROWS = 20_000
-#: Micro-nats an n-gram below which a document is dropped.
+#: Micro-nats an n-gram below which a document is dropped, for a target without a prior.
 THRESHOLD = -50_000
 #: Added to each bucket's count in the raw corpus.
 SMOOTHING = 1.0
-#: N-grams of the raw corpus, in its proportions, that are added to the target: a small target says little.
+#: N-grams of the raw corpus, in its proportions, that are added to the target: a small target says little. Scores shrink
+#: by the target's share of the sum, and the threshold shrinks alike, so that a small target can drop documents too.
 PRIOR = 200_000
+#: Micro-nats an n-gram by which the threshold is lower for a target of one n-gram; it falls as a standard error does,
+#: with the square root of the target's n-grams. From about 700 of them on a document can fall below.
+MARGIN = 25_000_000
 SYMBOLS = "#*$%&|<>"
 
 
@@ -61,8 +65,8 @@ def _repeated(windows: Column) -> Column:
     return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(covered(starts))
 
 
-def bucket_weights(df: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int, target_rows: int) -> list[int] | None:
-    """Micro-nats for each bucket, or None without trusted rows. trusted: a column id_col."""
+def bucket_weights(df: DataFrame, trusted: DataFrame, id_col: str, text_col: str, buckets: int, target_rows: int, threshold: int) -> tuple[list[int], int]:
+    """Micro-nats for each bucket and for the threshold; zeros without trusted rows. trusted: a column id_col."""
     key = F.col(id_col)
     chosen = trusted.select(id_col).dropna().distinct().orderBy(F.xxhash64(key), key).limit(target_rows).select(key.alias("_t"))
     rows = df.select(id_col, words(F.coalesce(F.col(text_col), F.lit(""))).alias("_w"))
@@ -71,14 +75,14 @@ def bucket_weights(df: DataFrame, trusted: DataFrame, id_col: str, text_col: str
     counts = {r["bucket"]: (r["t"], r["c"]) for r in grams.groupBy("bucket").agg(F.sum("t").alias("t"), F.count("*").alias("c")).collect()}
     total_t, total_c = sum(t for t, _ in counts.values()), sum(c for _, c in counts.values())
     if not total_t:
-        return None
+        return [0] * buckets, 0
     import math
 
     def weight(t: int, c: int) -> int:
         raw = (c + SMOOTHING) / (total_c + SMOOTHING * buckets)
         return round(1e6 * math.log((t + PRIOR * raw) / (total_t + PRIOR) / raw))
 
-    return [weight(*counts.get(b, (0, 0))) for b in range(buckets)]
+    return [weight(*counts.get(b, (0, 0))) for b in range(buckets)], round((threshold - MARGIN / math.sqrt(total_t)) * total_t / (total_t + PRIOR))
 
 
 def quality_rules(
@@ -87,11 +91,11 @@ def quality_rules(
     """Per row of df: id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score.
 
     score is the sum of micro-nats over the n-grams; kept is false for base_failed rows and for rows whose score is
-    under threshold times their n-grams. A null or empty text has no words and fails the base rules. Without trusted
-    rows every score is 0. Repeated rows are judged alike, an empty table gives an empty result, and other columns are
+    under the threshold, for a target of its size (PRIOR, MARGIN), times their n-grams. A null or empty text has no words
+    and fails the base rules; texts may have any length. Without trusted rows every score is 0. Repeated rows are judged alike, an empty table gives an empty result, and other columns are
     ignored; with keep, the rows that stay are returned with those columns instead.
     """
-    weights = bucket_weights(df, trusted, id_col, text_col, buckets, target_rows)
+    weights, least = bucket_weights(df, trusted, id_col, text_col, buckets, target_rows, threshold)
     text = F.col("_text")
     rows = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate([id_col, *(keep or [])])])
     rows = rows.withColumn("_w", words(text))
@@ -99,7 +103,7 @@ def quality_rules(
     windows = F.when(n >= 5, F.transform(F.sequence(F.lit(1), n - 4), lambda i: F.xxhash64(F.slice(F.col("_w"), i, F.lit(5))))).otherwise(F.array().cast("array<bigint>"))
     lines = F.filter(F.split(text, "\n"), lambda line: F.translate(line, WHITE, "") != "")
     rows = rows.withColumns({"_win": windows, "_lines": lines, "_g": ngram_buckets(F.col("_w"), buckets)})
-    table = F.from_json(F.lit(str(weights or [0] * buckets)), "array<bigint>")
+    table = F.from_json(F.lit(str(weights)), "array<bigint>")
     rows = rows.withColumns({
         "n_words": n.cast("long"),
         "word_chars": F.length(F.translate(text, WHITE, "")).cast("long"),
@@ -110,7 +114,7 @@ def quality_rules(
         "score": F.aggregate("_g", F.lit(0).cast("long"), lambda acc, b: acc + F.get(table, b)),
     })
     rows = rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    rows = rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold * F.col("_n")))
+    rows = rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= least * F.col("_n")))
     if keep:
         # Pushed below the projections, the filter would compute their arrays anew for each use; a column that isn't
         # deterministic keeps it above them.
