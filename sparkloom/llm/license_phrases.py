@@ -5,7 +5,7 @@ from __future__ import annotations
 _REDISTRIBUTE = "redistribute it and or modify it under the terms of the gnu"
 _FSF = "as published by the free software foundation"
 _GNU = (
-    ("GPL-2.0", "general public license", "2"), ("GPL-3.0", "general public license", "3"), ("LGPL-2.0", "library general public license", "2"), ("LGPL-2.0", "lesser general public license", "2"),
+    ("GPL-2.0", "general public license", "2"), ("GPL-3.0", "general public license", "3"), ("LGPL-2.0", "lesser general public license", "2"),
     ("LGPL-2.1", "lesser general public license", "2 1"), ("LGPL-3.0", "lesser general public license", "3"), ("AGPL-3.0", "affero general public license", "3"),
 )
 _CC_PARTS = {
@@ -60,7 +60,6 @@ PHRASES = (
     *_gnu(),
     ("GPL-3.0-TEXT", "the gnu general public license is a free copyleft license for software and other kinds of works"),
     ("GPL-2.0-TEXT", "by contrast the gnu general public license is intended to guarantee your freedom to share and change free software to make sure the software is free for all its users"),
-    ("LGPL-2.0-TEXT", "this license the library general public license applies to some specially designated free software foundation software"),
     ("LGPL-2.1-TEXT", "this license the lesser general public license applies to some specially designated software packages"),
     ("LGPL-3.0-TEXT", "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license supplemented by the additional permissions listed below"),
     ("AGPL-3.0-TEXT", "the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation with the community in the case of network server software"),
