@@ -37,26 +37,27 @@ def array_pairs(ids: Column) -> Column:
 PAIR_BLOCK = 128
 
 
-def dealt_pairs(rows: DataFrame, ids: str, least: int = 1) -> DataFrame:
-    """(a, b), a < b: the pairs of each row's distinct ids. An array of over PAIR_BLOCK ids first loses those that stand
+def dealt_pairs(rows: DataFrame, ids: str, least: int = 1, keep: list[str] | None = None) -> DataFrame:
+    """(a, b), a < b, and the columns of keep: the pairs of each row's distinct ids. An array of over PAIR_BLOCK ids first loses those that stand
     in fewer than `least` rows, whose pairs can't stand in more; its pairs are then made from pairs of blocks, each a
     row of its own, so that many tasks share one array and no row grows with the square of it."""
     sorted_ids = F.array_sort(F.array_distinct(F.array_compact(ids)))
-    arrays = rows.select(F.monotonically_increasing_id().alias("_row"), sorted_ids.alias("_s")).filter(F.size("_s") > 1)
-    narrow = arrays.filter(F.size("_s") <= PAIR_BLOCK).select(F.inline(array_pairs(F.col("_s"))))
+    keep = keep or []
+    arrays = rows.select(*keep, F.monotonically_increasing_id().alias("_row"), sorted_ids.alias("_s")).filter(F.size("_s") > 1)
+    narrow = arrays.filter(F.size("_s") <= PAIR_BLOCK).select(*keep, F.inline(array_pairs(F.col("_s"))))
     wide = arrays.filter(F.size("_s") > PAIR_BLOCK).checkpoint()  # so that row numbers hold; small but for wide arrays
     if wide.isEmpty():
         return narrow
     if least > 1:
-        each = wide.select("_row", F.explode("_s").alias("id"))
+        each = wide.select(*keep, "_row", F.explode("_s").alias("id"))
         held = each.select("id").distinct()
         counted = arrays.select(F.explode("_s").alias("id")).join(held, "id", "left_semi").groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-        wide = each.join(counted.select("id"), "id", "left_semi").groupBy("_row").agg(F.array_sort(F.collect_list("id")).alias("_s"))  # no longer than it was
+        wide = each.join(counted.select("id"), "id", "left_semi").groupBy(*keep, "_row").agg(F.array_sort(F.collect_list("id")).alias("_s"))  # no longer than it was
     blocks = F.ceil(F.size("_s") / PAIR_BLOCK).cast("int")
-    cut = wide.select("_s", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_i"), blocks.alias("_n")).repartition("_i")
+    cut = wide.select(*keep, "_s", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_i"), blocks.alias("_n")).repartition("_i")
     part = lambda i: F.slice("_s", i * PAIR_BLOCK + 1, F.lit(PAIR_BLOCK))
-    both = cut.select(part(F.col("_i")).alias("x"), F.explode(F.sequence("_i", F.col("_n") - 1)).alias("_j"), "_s").select("x", part(F.col("_j")).alias("y"))
-    across = both.select(F.explode("x").alias("a"), "y").select("a", F.explode("y").alias("b")).filter("a < b")
+    both = cut.select(*keep, part(F.col("_i")).alias("x"), F.explode(F.sequence("_i", F.col("_n") - 1)).alias("_j"), "_s").select(*keep, "x", part(F.col("_j")).alias("y"))
+    across = both.select(*keep, F.explode("x").alias("a"), "y").select(*keep, "a", F.explode("y").alias("b")).filter("a < b")
     return narrow.unionByName(across)
 
 

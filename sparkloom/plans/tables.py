@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,3 +54,15 @@ def part_pairs(spark: SparkSession, sf_dir: str, least: int = 2) -> DataFrame:
 
 PAIRS_SQL = """ol AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p FROM lineitem),
 pairs AS (SELECT x.p AS a, y.p AS b, count(*) AS n FROM ol x JOIN ol y ON x.o = y.o AND x.p < y.p GROUP BY 1, 2 HAVING count(*) >= {least})"""
+
+
+def streamed(spark: SparkSession, df: DataFrame, ts: str, start: Callable[[DataFrame], StreamingQuery], parts: int = 3) -> None:
+    """Writes df as files, a part of its time span after the other, and runs the stream that start() begins once for
+    each part: start() gives it one checkpoint, so that each run but the first is a restart."""
+    folder = scratch(spark)
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    first, last = df.agg(F.min(at), F.max(at)).first()
+    part = F.floor((at - first) * parts / (last - first + 1))
+    for i in range(parts):
+        df.filter(part == i).write.mode("append").parquet(folder)
+        start(spark.readStream.schema(df.schema).parquet(folder)).awaitTermination()

@@ -2,31 +2,53 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 LATE = "1 hour"
 
 
-def ingest_new(source: DataFrame, known_path: str, checkpoint: str, sink: Callable[[DataFrame], None], key: str = "sha256"):
-    """K1: each file content of the stream once: batches pass through a stateless anti join with the table of known
-    hashes, which grows by them."""
+def _steps(path: str, checkpoint: str, batch: int) -> str:
+    """The folder of a batch below path. A batch that runs again has its number again, so that it overwrites what it
+    wrote; streams with other checkpoints have folders of their own."""
+    return f"{path}/run=r{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}/batch={batch}"
 
-    def batch(df: DataFrame, _: int) -> None:
-        spark = df.sparkSession
+
+def _before(spark: SparkSession, path: str, checkpoint: str, batch: int) -> DataFrame | None:
+    """All that batches before this one wrote below path; None before the first."""
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    own = _steps("", checkpoint, 0).split("/")[1].removeprefix("run=")
+    return rows.filter((F.col("run") != own) | (F.col("batch") < batch))
+
+
+def write_batches(path: str, checkpoint: str) -> Callable[[DataFrame, int], None]:
+    """A sink for ingest_new() that writes each batch once, however often it runs; read it as Parquet."""
+    return lambda df, batch: df.write.mode("overwrite").parquet(_steps(path, checkpoint, batch))
+
+
+def ingest_new(source: DataFrame, known_path: str, checkpoint: str, sink: Callable[[DataFrame, int], None], key: str = "sha256"):
+    """K1: each file content of the stream once. A batch is anti-joined with the hashes that batches before it wrote,
+    given to sink(rows, batch number), and its hashes are written. When it stops in between it runs again with the
+    same number and the same rows of the table of hashes, so a sink that writes by number delivers once."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        known = _before(df.sparkSession, known_path, checkpoint, number)
         fresh = df.dropDuplicates([key])
-        try:
-            fresh = fresh.join(spark.read.parquet(known_path).select(key), key, "left_anti")
-        except Exception as e:  # the first batch: no table yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        fresh = fresh.persist()
-        sink(fresh)
-        fresh.select(key).write.mode("append").parquet(known_path)
+        fresh = (fresh if known is None else fresh.join(known.select(key), key, "left_anti")).persist()
+        sink(fresh, number)
+        fresh.select(key).write.mode("overwrite").parquet(_steps(known_path, checkpoint, number))
         fresh.unpersist()
 
     return source.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch)
@@ -61,49 +83,110 @@ def dedup_active(events: DataFrame, ts: str, key: str = "dedup_key") -> DataFram
 
 
 class Cooldown(StatefulProcessor):
-    """Lets a key's row pass when the last that passed is `seconds` ago."""
+    """Lets a key's row pass when the last that passed is `seconds` ago. What passed is forgotten by a timer once the
+    watermark has come so far that any later row passes, so the state holds keys that are cooling down only."""
 
-    def __init__(self, seconds: int, ts: str, columns: list[str]):
-        self.seconds, self.ts, self.columns = seconds, ts, columns
+    def __init__(self, seconds: int, columns: list[str]):
+        self.wait, self.columns = 1000 * seconds, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(self.ts)
-        last = self.last.get()[0] if self.last.exists() else None
+        self.handle = handle
+        self.last = handle.getValueState("last", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows))
+        frame.columns = [*self.columns, "_ms"]  # a computed column comes without its name
+        frame = frame.sort_values("_ms", kind="stable")
+        before = last = self.last.get()[0] if self.last.exists() else None
         passed = []
-        for i, at in enumerate(frame[self.ts]):
-            if last is None or at.timestamp() - last >= self.seconds:
+        for i, at in enumerate(frame["_ms"].tolist()):
+            if last is None or at - last >= self.wait:
                 passed.append(i)
-                last = at.timestamp()
-        if last is not None:
+                last = at
+        if last != before:
+            if before is not None:
+                self.handle.deleteTimer(before + self.wait)
+            self.handle.registerTimer(last + self.wait)
             self.last.update((last,))
         yield frame.iloc[passed][self.columns]
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+class Sequence(StatefulProcessor):
+    """Numbers a key's rows on from the last number given, in a batch by `order`."""
+
+    def __init__(self, order: list[str], columns: list[str]):
+        self.order, self.columns = order, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.given = handle.getValueState("given", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows))
+        frame.columns = self.columns
+        frame = frame.sort_values(self.order, kind="stable")
+        n = self.given.get()[0] if self.given.exists() else 0
+        frame["cursor"] = range(n + 1, n + len(frame) + 1)
+        self.given.update((n + len(frame),))
+        yield frame[[*self.columns, "cursor"]]
+
     def close(self) -> None:
         pass
 
 
-def cooldown(events: DataFrame, key: str, ts: str, seconds: int = 86400) -> DataFrame:
-    """K7: per key at most one row each `seconds`; needs the RocksDB state store."""
-    return events.groupBy(key).transformWithStateInPandas(Cooldown(seconds, ts, events.columns), outputStructType=events.schema, outputMode="append", timeMode="None")
+def _with_state(grouped, processor: StatefulProcessor, schema, mode: str, spark: SparkSession) -> DataFrame:
+    """Such state needs the RocksDB store, which is set for the session."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return grouped.transformWithStateInPandas(processor, outputStructType=schema, outputMode="append", timeMode=mode)
+
+
+def cooldown(events: DataFrame, key: str | list[str], ts: str, seconds: int = 86400) -> DataFrame:
+    """K7: per key (a kind and an object, say) at most one row each `seconds`, by event time; rows that come after the
+    watermark are dropped. A key's rows of one batch are one task's: bound batches with maxBytesPerTrigger."""
+    keys = [key] if isinstance(key, str) else key
+    timed = events.withWatermark(ts, LATE).withColumn("_ms", F.unix_millis(ts))
+    return _with_state(timed.groupBy(*keys), Cooldown(seconds, events.columns), events.schema, "EventTime", events.sparkSession)
+
+
+def sequence(events: DataFrame, key: str, *order: str) -> DataFrame:
+    """K8: events with a cursor, from 1 on in each key, which goes on across batches and restarts. Batches must come in
+    order; in a batch `order` decides. The state has one number a key and is kept: a key never begins anew."""
+    return _with_state(events.groupBy(key), Sequence(list(order), events.columns), StructType([*events.schema, StructField("cursor", LongType())]), "None", events.sparkSession)
+
+
+def replay(events: DataFrame, key: str, after: DataFrame | None = None, limit: int = 1000) -> DataFrame:
+    """K8: per key the next `limit` events after the cursor in after (key, cursor), in order; from the first where it
+    has none. events: with the cursor of sequence()."""
+    seen = F.lit(0)
+    if after is not None:
+        events = events.join(after.select(key, F.col("cursor").alias("_seen")), key, "left")
+        seen = F.coalesce("_seen", F.lit(0))
+    return events.filter((F.col("cursor") > seen) & (F.col("cursor") <= seen + limit)).drop("_seen")
+
 
+def count_pairs(rows: DataFrame, ids: str, path: str, checkpoint: str, day: str | None = None):
+    """K9: each batch's counts of pairs, by day if there is such a column, written by the batch's number; see
+    pair_counts(). No state is kept, and a batch that runs again counts once."""
+    from sparkloom.operators.graph import dealt_pairs
 
-def replay(events: DataFrame, key: str, order: str, after: dict | None = None, limit: int = 1000) -> DataFrame:
-    """K8, on a batch of a stream: a key's events in order, after its cursor, at most limit of them."""
-    numbered = events.withColumn("cursor", F.row_number().over(Window.partitionBy(key).orderBy(order)))
-    start = F.lit(0)
-    for k, v in (after or {}).items():
-        start = F.when(F.col(key) == k, F.lit(v)).otherwise(start)
-    return numbered.filter((F.col("cursor") > start) & (F.col("cursor") <= start + limit))
+    def batch(df: DataFrame, number: int) -> None:
+        by = [day] if day else []
+        dealt_pairs(df, ids, keep=by).groupBy(*by, "a", "b").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(_steps(path, checkpoint, number))
 
+    return rows.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch)
 
-def running_pairs(rows: DataFrame, ids: str) -> DataFrame:
-    """K9: running counts of pairs, for output mode update or complete."""
-    from sparkloom.operators.graph import array_pairs
 
-    return rows.select(F.inline(array_pairs(F.col(ids)))).groupBy("a", "b").agg(F.count("*").alias("n"))
+def pair_counts(spark: SparkSession, path: str, least: int = 2, since=None, day: str = "day") -> DataFrame:
+    """K9: (a, b, n) of all batches, or of those days from `since` on."""
+    rows = spark.read.parquet(path)
+    rows = rows if since is None else rows.filter(F.col(day) >= since)
+    return rows.groupBy("a", "b").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
 def run_once(stream: DataFrame, checkpoint: str, name: str, mode: str = "append") -> DataFrame:

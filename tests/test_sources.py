@@ -87,7 +87,7 @@ def test_streams_equal_batches(spark, tmp_path):
     seen: list[int] = []
     for n in (1, 2):
         src = spark.readStream.schema(e.schema).parquet(str(tmp_path / "in")).select(F.col("user_id").cast("string").alias("sha256"))
-        jobs.ingest_new(src, str(tmp_path / "known"), str(tmp_path / f"c{n + 1}"), lambda df: seen.append(df.count())).start().awaitTermination()
+        jobs.ingest_new(src, str(tmp_path / "known"), str(tmp_path / f"c{n + 1}"), lambda df, number: seen.append(df.count())).start().awaitTermination()
     assert seen == [2, 0]
 
 
