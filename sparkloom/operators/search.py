@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 
 K1, B = 1.2, 0.75
-#: Terms that trigram_match broadcasts, a few MB at most.
-BROADCAST_TERMS = 50_000
+#: Terms, and their characters, that trigram_match sends to all tasks.
+SCAN_TERMS, SCAN_CHARS = 50_000, 8 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -21,22 +24,50 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("(?s)(?=(...))"), F.lit(1)))
 
 
+def _scanned(source: DataFrame, terms: list[str]) -> DataFrame:
+    """(id, low): which of the terms each text (id, _low) has; one pass of an automaton of all terms over each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for i, term in enumerate(terms):
+            automaton.add_word(term, i)
+        automaton.make_automaton()
+        for batch in batches:
+            place, found = [], []
+            for row, text in enumerate(batch.column(1)):
+                hits = {i for _, i in automaton.iter(text.as_py())}
+                place += [row] * len(hits)
+                found += hits
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place, pa.int32())), pa.array([terms[i] for i in found], pa.string())], ["id", "low"])
+
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, low string")
+
+
 def trigram_match(docs: DataFrame, terms: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(query_id, term, id) for the docs whose text contains a term of three characters or more. A term asks for
-    one of its trigrams, the one in the fewest docs, and hits are verified. terms: query_id, term.
-
-    The first pass counts asked trigrams only. What the second looks for is written by checkpoint() and counted: up to
-    BROADCAST_TERMS rows it is broadcast, so that no text and no posting shuffles; beyond that postings are joined,
-    then texts by id."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
-    asked = terms.filter(F.length("term") >= 3).select("query_id", "term", F.explode(trigrams(F.col("term"))).alias("g"))
-    df = source.select(F.explode(trigrams(F.col("_text"))).alias("g")).join(asked.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count("*").alias("df"))
-    rarest = asked.join(df, "g", "left").groupBy("query_id", "term").agg(F.min_by("g", F.struct(F.coalesce("df", F.lit(0)), "g")).alias("g")).checkpoint()
-    if rarest.count() <= BROADCAST_TERMS:
-        hits = source.select("id", "_text", F.explode(trigrams(F.col("_text"))).alias("g")).join(F.broadcast(rarest), "g")
-    else:
-        hits = source.select("id", F.explode(trigrams(F.col("_text"))).alias("g")).join(rarest, "g").distinct().join(source, "id")
-    return hits.filter(F.contains(F.lower("_text"), F.lower("term"))).select("query_id", "term", "id")
+    """(query_id, term, id) for the docs whose text contains a term of three characters or more, in any case.
+    terms: query_id, term.
+
+    Up to SCAN_TERMS terms of SCAN_CHARS characters in all, which are counted first, every task finds them in one scan
+    of its texts, and nothing but hits leaves it. Beyond that a term asks for one of its trigrams, the one in the
+    fewest docs: postings are joined, then texts by id, and hits are verified. Null texts have no hits; a repeated id
+    is given once a term."""
+    source = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(text_col, F.lit(""))).alias("_low"))
+    wanted = terms.filter(F.length("term") >= 3).select("query_id", "term", F.lower("term").alias("low"))
+    distinct = wanted.select("low").distinct().checkpoint()
+    n, chars = distinct.agg(F.count("*"), F.coalesce(F.sum(F.length("low")), F.lit(0))).first()
+    if n <= SCAN_TERMS and chars <= SCAN_CHARS:
+        if not n:
+            return wanted.join(source.select("id").limit(0), F.lit(True)).select("query_id", "term", "id")
+        hits = _scanned(source, [r["low"] for r in distinct.collect()]).distinct()
+        return wanted.join(hits, "low").select("query_id", "term", "id")
+    asked = distinct.select("low", F.explode(trigrams(F.col("low"))).alias("g"))
+    df = source.select(F.explode(trigrams(F.col("_low"))).alias("g")).join(asked.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count("*").alias("df"))
+    rarest = asked.join(df, "g", "left").groupBy("low").agg(F.min_by("g", F.struct(F.coalesce("df", F.lit(0)), "g")).alias("g")).checkpoint()
+    postings = source.select("id", F.explode(trigrams(F.col("_low"))).alias("g")).join(rarest, "g").select("id", "low").distinct()
+    hits = postings.join(source, "id").filter(F.contains("_low", "low")).select("id", "low").distinct()
+    return wanted.join(hits, "low").select("query_id", "term", "id")
 
 
 def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str = "text", query_id: str = "query_id", query_text: str = "query") -> DataFrame:
@@ -48,7 +79,8 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "id", text_col: str
     asked = wanted.select("t").distinct()
     tf = rows.join(asked, "t", "left_semi").groupBy("id", "len", "t").agg(F.count("*").alias("tf"))
     df = tf.groupBy("t").agg(F.count("*").alias("df"))
-    total = words.agg(F.count("*").alias("n"), F.avg(F.size("_w")).alias("avg_len"))
+    length = F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit("[\\p{L}\\p{N}]+"))  # as many as tokens() has, without making them
+    total = docs.agg(F.count("*").alias("n"), F.avg(length).alias("avg_len"))
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     weighted = df.join(F.broadcast(total)).select("t", "df", "n", "avg_len")  # total: one row

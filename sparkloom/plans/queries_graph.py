@@ -250,7 +250,7 @@ def recall_funnel(spark: SparkSession, d: str) -> DataFrame:
 
     docs, bench = read(spark, d, "documents"), read(spark, d, "benchmark")
     records, _ = _vectors(spark, d)
-    queries = bench.join(read(spark, d, "embeddings"), F.col("vec_id") == F.col("item_id")).select(F.col("item_id").alias("query_id"), F.substring("text", 20, 60).alias("query"), "embedding")
+    queries = bench.join(read(spark, d, "embeddings"), F.col("vec_id") == F.col("item_id")).select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), "embedding")
     lexical = search.top_per_query(search.bm25(docs, queries, "doc_id").withColumn("score", F.round("score", 6)), 100)
     sources = {"metadata_text": lexical.select("query_id", F.col("id").alias("entry_id"), "rank"), "semantic": vectors.knn(records, queries, 100)}
     entries = docs.select(

@@ -16,18 +16,18 @@ _TOKENS = "list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\\p{{L
 _BM25 = rf"""
 w AS (SELECT doc_id AS id, {_TOKENS.format("text")} AS ws FROM documents),
 total AS (SELECT count(*) AS n, avg(len(ws)) AS avg_len FROM w),
-q AS (SELECT DISTINCT item_id AS query_id, unnest({_TOKENS.format("substr(text, 20, 60)")}) AS t FROM benchmark),
+q AS (SELECT DISTINCT item_id AS query_id, unnest({_TOKENS.format("text")}) AS t FROM benchmark),
 tf AS (SELECT id, len, t, count(*) AS tf FROM (SELECT id, len(ws) AS len, unnest(ws) AS t FROM w) WHERE t IN (SELECT t FROM q) GROUP BY ALL),
 df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
 hits AS (SELECT query_id, id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / avg_len))), 6) AS score
          FROM tf JOIN df USING (t) JOIN q USING (t), total GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM hits QUALIFY rank <= 10),
-qrels AS (SELECT item_id AS query_id, doc_id, 1 AS rel FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 20, 60)))"""
+qrels AS (SELECT item_id AS query_id, doc_id, 1 AS rel FROM benchmark b JOIN documents d ON contains(d.text, b.text))"""
 
 
 def _runs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs, bench = read(spark, d, "documents"), read(spark, d, "benchmark")
-    queries = bench.select(F.col("item_id").alias("query_id"), F.substring("text", 20, 60).alias("query"))
+    queries = bench.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     hits = search.bm25(docs, queries, "doc_id").withColumn("score", F.round("score", 6))
     ranked = search.top_per_query(hits, 10)
     terms = queries.select("query_id", F.col("query").alias("term"))
@@ -68,10 +68,10 @@ def bm25_metrics(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.aggregate_metrics(scored, queries, runs, (5, 10))
 
 
-@query("trigram_match", "SELECT item_id AS query_id, substr(b.text, 20, 12) AS term, doc_id AS id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(substr(b.text, 20, 12)))")
+@query("trigram_match", "SELECT item_id AS query_id, b.text AS term, doc_id AS id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))")
 def trigram_match(spark: SparkSession, d: str) -> DataFrame:
     with_checkpoints(spark)
-    terms = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 20, 12).alias("term"))
+    terms = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("term"))
     return search.trigram_match(read(spark, d, "documents"), terms, "doc_id")
 
 
@@ -122,15 +122,18 @@ def answer_labels(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "conversations").select("conv_id", "turn", T.predict_label(F.col("text")).alias("label"))
 
 
-@query("metadata_rank", r"""
-WITH q AS (SELECT item_id AS query_id, lower(trim(substr(text, 20, 12))) AS term FROM benchmark),
-h AS (SELECT query_id, doc_id AS id, term, (length(lower(text)) - length(replace(lower(text), term, ''))) // length(term) AS hits FROM documents JOIN q ON contains(lower(text), term))
-SELECT query_id, id, round(22.0 * least(hits, 3) * (1.0 + CASE WHEN length(term) >= 7 THEN 0.5 ELSE 0 END + CASE WHEN regexp_matches(term, '[/+_.-]') THEN 0.4 ELSE 0 END)::DOUBLE + 5.0, 6)::DOUBLE AS score FROM h""")
+@query("metadata_rank", rf"""
+WITH c AS (SELECT item_id AS query_id, doc_id AS id, lower(d.text) AS low FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))),
+t AS (SELECT DISTINCT item_id AS query_id, unnest({_TOKENS.format("text")}) AS term FROM benchmark),
+h AS (SELECT query_id, id, term, 22.0 * least((length(low) - length(replace(low, term, ''))) // length(term), 3) AS s, 1.0 + CASE WHEN length(term) >= 7 THEN 0.5 ELSE 0 END + CASE WHEN regexp_matches(term, '[0-9]') THEN 1.0 ELSE 0 END AS w FROM c JOIN t USING (query_id))
+SELECT query_id, id, round((sum(s * w) + 5.0 * count(*) FILTER (s > 0) / count(*))::DOUBLE, 6)::DOUBLE AS score FROM h GROUP BY 1, 2""")
 def metadata_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a passage, ranked by its words."""
     with_checkpoints(spark)
-    terms = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lower(F.trim(F.substring("text", 20, 12))).alias("term"))
-    docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    hits = search.trigram_match(docs, terms).select("query_id", "id").distinct().join(docs, "id")
+    bench, docs = read(spark, d, "benchmark"), read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    whole = bench.select(F.col("item_id").alias("query_id"), F.col("text").alias("term"))
+    terms = bench.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(search.tokens(F.col("text")))).alias("term"))
+    hits = search.trigram_match(docs, whole).select("query_id", "id").distinct().join(docs, "id")
     return search.metadata_rank(hits, terms, [("text", 22.0)]).withColumn("score", F.round("score", 6))
 
 

@@ -278,7 +278,7 @@ def test_trigram_match_beyond_the_broadcast(spark, monkeypatch):
     terms = spark.createDataFrame([(1, "raft"), (2, "\U0001F600\U0001F601 x"), (3, "ra"), (4, "x\ny"), (5, "absent"), (6, None)], "query_id int, term string")
     want = [(1, "raft", 1), (1, "raft", 2), (1, "raft", 2), (2, "\U0001F600\U0001F601 x", 5), (4, "x\ny", 5)]
     assert rows(search.trigram_match(docs, terms)) == want
-    monkeypatch.setattr(search, "BROADCAST_TERMS", 0)
+    monkeypatch.setattr(search, "SCAN_TERMS", 0)
     assert rows(search.trigram_match(docs, terms)) == want
 
 
