@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -181,15 +184,37 @@ def heuristic_tags(body: Column, kind: Column, name: Column) -> Column:
     return F.when(F.size(tags) > 0, F.slice(tags, 1, 12)).otherwise(F.array(F.lit("document")))
 
 
+_DROPPED = r"[\s\p{P}\p{Z}\p{C}]+"
+#: Texts of these characters have no compatibility forms and fold as they are lowered: ASCII, Latin letters with accents
+#: but for the sharp s, and Chinese characters.
+_PLAIN = r"^[\x00-\x7F\u00C0-\u00D6\u00D8-\u00DE\u00E0-\u00F6\u00F8-\u00FF\u4E00-\u9FFF]*$"
+
+
+@lru_cache(maxsize=1)
+def _folded():
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        import unicodedata
+
+        import regex
+
+        dropped = regex.compile(_DROPPED)
+        return texts.map(lambda t: None if t is None else dropped.sub("", unicodedata.normalize("NFKC", t)).casefold())
+
+    return run
+
+
 def normalize_quote(text: Column) -> Column:
-    """Without white space, punctuation, separators and control characters, lower case (F42); compatibility forms
-    are left as they are."""
-    return F.lower(F.regexp_replace(text, "[\\s\\p{P}\\p{Z}\\p{C}]+", ""))
+    """Compatibility forms resolved (NFKC), without white space, punctuation, separators and control characters, case
+    folded (F42). Plain texts are done in SQL; only the others meet Python."""
+    plain = text.rlike(_PLAIN)
+    return F.when(plain, F.lower(F.regexp_replace(text, _DROPPED, ""))).otherwise(_folded()(F.when(~plain, text)))
 
 
-def quote_in_source(quote: Column, source: Column) -> Column:
-    """F43; an empty quote is in nothing."""
-    return let(normalize_quote(quote), lambda q: F.coalesce((q != "") & F.contains(normalize_quote(source), q), F.lit(False)))
+def quote_in_source(quote: Column, source: Column, normal: bool = False) -> Column:
+    """F43; an empty quote is in nothing. normal: both are normalize_quote() forms already."""
+    q, s = (quote, source) if normal else (normalize_quote(quote), normalize_quote(source))
+    return F.coalesce((q != "") & F.contains(s, q), F.lit(False))
 
 
 def parse_citations(text: Column) -> Column:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import logs
+from sparkloom.operators.windows import row_numbers
 
 
 def count_by(df: DataFrame, column: str, values: Sequence[str] | None = None) -> DataFrame:
@@ -124,9 +126,33 @@ def stage_totals(usage: DataFrame, key: str, stages: str) -> DataFrame:
     return each.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "s")))).alias(stages))
 
 
+def quantiles(df: DataFrame, by: Sequence[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """Exact quantiles with linear interpolation, a column each, per group of by. Groups may have any size: their values
+    are numbered by row_numbers(), and only the rows beside the wanted places are gathered. Nulls don't count."""
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).dropna(subset=["_v"])
+    sizes = rows.groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)]).agg((F.count("*") - 1).alias("_last"))
+    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)] or [F.col("_last") >= 0]  # one row without groups
+    placed = row_numbers(rows, list(by), ["_v"], "_r").join(sizes if by else F.broadcast(sizes), same)
+    at = [F.col("_last") * q for q in wanted.values()]
+    near = [(F.col("_r") - 1 == f(x)) for x in at for f in (F.floor, F.ceil)]
+    beside = placed.filter(reduce(lambda x, y: x | y, near))
+    value_at = lambda place: F.max(F.when(F.col("_r") - 1 == place, F.col("_v")))
+    low_high = [(value_at(F.floor(x)), value_at(F.ceil(x)), F.max(x - F.floor(x))) for x in at]
+    return beside.groupBy(*by).agg(*[(low + (high - low) * part).alias(name) for name, (low, high, part) in zip(wanted, low_high, strict=True)])
+
+
+def with_quantiles(report: DataFrame, found: DataFrame, by: Sequence[str]) -> DataFrame:
+    """report with the columns of quantiles(); groups without values get nulls."""
+    if not by:
+        return report.join(F.broadcast(found), F.lit(True), "left")  # a row each
+    other = found.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], *[c for c in found.columns if c not in by])
+    return report.join(other, [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(by)], "left").drop(*[f"_g{i}" for i in range(len(by))])
+
+
 def chart(df: DataFrame, x: Sequence[str], y: str) -> DataFrame:
     """Count, sum, mean, median, min, max, stdev of y."""
-    return df.groupBy(*x).agg(F.count(y).alias("count"), F.sum(y).alias("sum"), F.avg(y).alias("mean"), F.median(y).alias("median"), F.min(y).alias("min"), F.max(y).alias("max"), F.stddev(y).alias("stdev"))
+    out = df.groupBy(*x).agg(F.count(y).alias("count"), F.sum(y).alias("sum"), F.avg(y).alias("mean"), F.min(y).alias("min"), F.max(y).alias("max"), F.stddev(y).alias("stdev"))
+    return with_quantiles(out, quantiles(df, x, y, {"median": 0.5}), x)
 
 
 def inventory(tables: dict[str, DataFrame]) -> DataFrame:

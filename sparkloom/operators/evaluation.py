@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.operators.aggregates import quantiles, with_quantiles
+
 
 def score_queries(runs: DataFrame, qrels: DataFrame, ks: Sequence[int] = (1, 5, 10)) -> DataFrame:
     """Per query with relevant documents: first_rank, mrr, and hit, recall and ndcg at each k. runs: query_id,
@@ -49,14 +51,15 @@ def latency_report(requests: DataFrame, k: int = 3, by: Sequence[str] = (), seco
     """E5: latency percentiles with linear interpolation, error rate, hit and mrr over all requests. requests:
     latency_ms, first_rank, error."""
     ok = F.when(~F.col("error"), F.col("latency_ms"))
-    p = lambda q: F.round(F.percentile(ok, F.lit(q)), 6)
     n = F.count("*")
-    return requests.groupBy(*by).agg(
-        n.alias("requests"), F.round(F.min(ok), 6).alias("min_ms"), p(0.5).alias("p50_ms"), p(0.95).alias("p95_ms"), p(0.99).alias("p99_ms"), F.round(F.max(ok), 6).alias("max_ms"), F.round(F.avg(ok), 6).alias("mean_ms"),
+    report = requests.groupBy(*by).agg(
+        n.alias("requests"), F.round(F.min(ok), 6).alias("min_ms"), F.round(F.max(ok), 6).alias("max_ms"), F.round(F.avg(ok), 6).alias("mean_ms"),
         F.round(F.count_if("error") / n, 6).alias("error_rate"), F.round(F.count_if(F.col("first_rank") <= k) / n, 6).alias("hit"),
         F.round(F.coalesce(F.sum(1.0 / F.col("first_rank")), F.lit(0.0)) / n, 6).alias("mrr"),
         (F.round(n / F.lit(seconds), 6) if seconds else F.lit(None).cast("double")).alias("rps"),
     )
+    found = quantiles(requests.filter("NOT error"), by, "latency_ms", {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99})
+    return with_quantiles(report, found, by).withColumns({c: F.round(c, 6) for c in ("p50_ms", "p95_ms", "p99_ms")})
 
 
 def violations(report: DataFrame, p95_ms: float, hit: float, error_rate: float) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.functions import text as T
+from sparkloom.operators.windows import row_numbers
+
 
 def with_files(entries: DataFrame, files: DataFrame) -> DataFrame:
     """Live entries with their live files."""
@@ -120,16 +123,28 @@ def resolve_tags(asked: DataFrame, tags: DataFrame, aliases: DataFrame) -> DataF
 
 def disk_diff(disk: DataFrame, expected: DataFrame) -> DataFrame:
     """(path, entry_id, state, from_path) with state in_sync, modified, moved, missing, new. disk: path, sha256;
-    expected: entry_id, path, sha256. What has no counterpart at its path is paired within equal hashes by order."""
-    d, e = disk.select("path", F.col("sha256").alias("dsha")), expected.select("path", "entry_id", F.col("sha256").alias("esha"))
-    both = d.join(e, "path", "full_outer")
-    same = both.filter("dsha IS NOT NULL AND esha IS NOT NULL").select("path", "entry_id", F.when(F.col("dsha") == F.col("esha"), "in_sync").otherwise("modified").alias("state"), F.lit(None).cast("string").alias("from_path"))
-    order = lambda sha: F.row_number().over(Window.partitionBy(sha).orderBy("path"))
-    free = both.filter("esha IS NULL").select("path", F.col("dsha").alias("sha")).withColumn("_r", order("sha"))
-    gone = both.filter("dsha IS NULL").select(F.col("path"), "entry_id", F.col("esha").alias("sha")).withColumn("_r", order("sha")).withColumnRenamed("path", "from_path")
-    paired = free.join(gone, ["sha", "_r"], "full_outer")
+    expected: entry_id, path, sha256 and, if there is one, storage_key.
+
+    Each path is claimed once, in stages: by the entry that expects it; by an entry left whose own storage key it is
+    and whose content it has, the smallest id first; by the entries left of its content, in the order of their ids, who
+    get paths first that no entry expects or stores, in the order of paths. Copies of one content may be many: they
+    are numbered by row_numbers()."""
+    key = F.col("storage_key").cast("string") if "storage_key" in expected.columns else F.lit(None).cast("string")
+    d = disk.select("path", F.col("sha256").alias("dsha"))
+    e = expected.select("entry_id", "path", F.col("sha256").alias("sha"), key.alias("key"))
+    none = F.lit(None).cast("string").alias("from_path")
+    at_place = e.join(d, "path").select("path", "entry_id", F.when(F.col("dsha") == F.col("sha"), "in_sync").otherwise("modified").alias("state"), none)
+    left = e.join(d.select("path"), "path", "left_anti")
+    free = d.join(e.select("path").distinct(), "path", "left_anti")
+    kept = left.join(free.select(F.col("path").alias("key"), F.col("dsha").alias("sha")), ["key", "sha"])
+    kept = kept.groupBy(F.col("key").alias("at")).agg(F.min(F.struct("entry_id", "path")).alias("m")).select("at", "m.entry_id", F.col("m.path").alias("from_path")).checkpoint()
+    pending = left.join(kept.select("entry_id"), "entry_id", "left_anti").select("entry_id", F.col("path").alias("from_path"), "sha")
+    owned = e.select(F.col("key").alias("path")).dropna().distinct().withColumn("owned", F.lit(1))  # expected paths aren't free
+    open_paths = free.join(kept.select(F.col("at").alias("path")), "path", "left_anti").join(owned, "path", "left").select("path", F.col("dsha").alias("sha"), F.coalesce("owned", F.lit(0)).alias("owned"))
+    paired = row_numbers(open_paths, ["sha"], ["owned", "path"], "_r").join(row_numbers(pending, ["sha"], ["entry_id"], "_r"), ["sha", "_r"], "full_outer")
     state = F.when(F.col("path").isNull(), "missing").when(F.col("entry_id").isNull(), "new").otherwise("moved")
-    return same.unionByName(paired.select(F.coalesce("path", "from_path").alias("path"), "entry_id", state.alias("state"), F.when(F.col("path").isNotNull(), F.col("from_path")).alias("from_path")))
+    rest = paired.select(F.coalesce("path", "from_path").alias("path"), "entry_id", state.alias("state"), F.when(F.col("path").isNotNull(), F.col("from_path")).alias("from_path"))
+    return at_place.unionByName(kept.select(F.col("at").alias("path"), "entry_id", F.lit("moved").alias("state"), "from_path")).unionByName(rest)
 
 
 def content_seeds(files: DataFrame, sha: str = "sha256", at: str = "created_at", id_col: str = "id") -> DataFrame:
@@ -159,18 +174,18 @@ def bundle(entries: DataFrame, tags: DataFrame, related: DataFrame, key: str = "
 
 
 def verified_citations(citations: DataFrame, reads: DataFrame) -> DataFrame:
-    """Citations (entry_id, quote, page) whose quote occurs in a read (entry_id, text) of the same entry."""
-    from sparkloom.functions.text import quote_in_source
-
-    hits = citations.join(reads, "entry_id").filter(quote_in_source(F.col("quote"), F.col("text")))
-    return hits.select("entry_id", "quote", "page").dropDuplicates(["entry_id", "quote", "page"])
+    """Citations (entry_id, quote, page) whose quote occurs in a read (entry_id, text) of the same entry. Each quote
+    and text is brought to its normal form once, before the join."""
+    c = citations.select("entry_id", "quote", "page").distinct().withColumn("_q", T.normalize_quote(F.col("quote")))
+    hits = c.join(reads.select("entry_id", T.normalize_quote(F.col("text")).alias("_t")), "entry_id").filter(T.quote_in_source(F.col("_q"), F.col("_t"), normal=True))
+    return hits.select("entry_id", "quote", "page").distinct()
 
 
 def quote_pages(quotes: DataFrame, pages: DataFrame) -> DataFrame:
     """Per (doc, quote), the first page (doc, page, text) that has it."""
-    from sparkloom.functions.text import quote_in_source
-
-    hits = quotes.join(pages, "doc").filter(quote_in_source(F.col("quote"), F.col("text"))).groupBy("doc", "quote").agg(F.min("page").alias("page"))
+    q = quotes.withColumn("_q", T.normalize_quote(F.col("quote")))
+    p = pages.select("doc", "page", T.normalize_quote(F.col("text")).alias("_t"))
+    hits = q.join(p, "doc").filter(T.quote_in_source(F.col("_q"), F.col("_t"), normal=True)).groupBy("doc", "quote").agg(F.min("page").alias("page"))
     return quotes.join(hits, ["doc", "quote"], "left")
 
 

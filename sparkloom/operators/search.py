@@ -51,8 +51,8 @@ def trigram_match(docs: DataFrame, terms: DataFrame, id_col: str = "id", text_co
 
     Up to SCAN_TERMS terms of SCAN_CHARS characters in all, which are counted first, every task finds them in one scan
     of its texts, and nothing but hits leaves it. Beyond that a term asks for one of its trigrams, the one in the
-    fewest docs: postings are joined, then texts by id, and hits are verified. Null texts have no hits; a repeated id
-    is given once a term."""
+    fewest docs: postings are joined, then texts by id, and hits are verified. Null texts have no hits; each
+    row is given once a term, also those of a repeated id."""
     source = docs.select(F.col(id_col).alias("id"), F.lower(F.coalesce(text_col, F.lit(""))).alias("_low"))
     wanted = terms.filter(F.length("term") >= 3).select("query_id", "term", F.lower("term").alias("low"))
     distinct = wanted.select("low").distinct().checkpoint()
@@ -60,13 +60,13 @@ def trigram_match(docs: DataFrame, terms: DataFrame, id_col: str = "id", text_co
     if n <= SCAN_TERMS and chars <= SCAN_CHARS:
         if not n:
             return wanted.join(source.select("id").limit(0), F.lit(True)).select("query_id", "term", "id")
-        hits = _scanned(source, [r["low"] for r in distinct.collect()]).distinct()
+        hits = _scanned(source, [r["low"] for r in distinct.collect()])
         return wanted.join(hits, "low").select("query_id", "term", "id")
     asked = distinct.select("low", F.explode(trigrams(F.col("low"))).alias("g"))
     df = source.select(F.explode(trigrams(F.col("_low"))).alias("g")).join(asked.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count("*").alias("df"))
     rarest = asked.join(df, "g", "left").groupBy("low").agg(F.min_by("g", F.struct(F.coalesce("df", F.lit(0)), "g")).alias("g")).checkpoint()
     postings = source.select("id", F.explode(trigrams(F.col("_low"))).alias("g")).join(rarest, "g").select("id", "low").distinct()
-    hits = postings.join(source, "id").filter(F.contains("_low", "low")).select("id", "low").distinct()
+    hits = postings.join(source, "id").filter(F.contains("_low", "low")).select("id", "low")
     return wanted.join(hits, "low").select("query_id", "term", "id")
 
 

@@ -126,8 +126,8 @@ def prior_insights(spark: SparkSession, d: str) -> DataFrame:
     return joins.prior_insights(insights, sessions, 5).select("session_id", "insight_id", "rank")
 
 
-@query("quote_pages", """WITH n AS (SELECT conv_id AS doc, turn AS page, text, lower(regexp_replace(text, '[\\s\\pP\\pZ\\pC]+', '', 'g')) AS t FROM conversations), q AS (SELECT DISTINCT conv_id AS doc, text AS quote FROM conversations WHERE turn % 2 = 1)
-SELECT q.doc, quote, min(page) AS page FROM q LEFT JOIN n ON n.doc = q.doc AND lower(regexp_replace(quote, '[\\s\\pP\\pZ\\pC]+', '', 'g')) <> '' AND contains(t, lower(regexp_replace(quote, '[\\s\\pP\\pZ\\pC]+', '', 'g'))) GROUP BY 1, 2""")
+@query("quote_pages", """WITH n AS (SELECT conv_id AS doc, turn AS page, text, replace(lower(regexp_replace(text, '[\\s\\pP\\pZ\\pC]+', '', 'g')), 'ß', 'ss') AS t FROM conversations), q AS (SELECT DISTINCT conv_id AS doc, text AS quote FROM conversations WHERE turn % 2 = 1)
+SELECT q.doc, quote, min(page) AS page FROM q LEFT JOIN n ON n.doc = q.doc AND replace(lower(regexp_replace(quote, '[\\s\\pP\\pZ\\pC]+', '', 'g')), 'ß', 'ss') <> '' AND contains(t, replace(lower(regexp_replace(quote, '[\\s\\pP\\pZ\\pC]+', '', 'g')), 'ß', 'ss')) GROUP BY 1, 2""")
 def quote_pages(spark: SparkSession, d: str) -> DataFrame:
     turns = read(spark, d, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page"), "text")
     return joins.quote_pages(turns.filter("page % 2 = 1").select("doc", F.col("text").alias("quote")).distinct(), turns)

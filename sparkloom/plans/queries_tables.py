@@ -60,16 +60,23 @@ def content_seeds(spark: SparkSession, d: str) -> DataFrame:
     return joins.content_seeds(rows)
 
 
-@query("disk_diff", """WITH d AS (SELECT 'p' || doc_id AS path, sha256(text) AS dsha FROM documents), e AS (SELECT 'p' || (doc_id * 2) AS path, doc_id AS entry_id, sha256(text) AS esha FROM documents),
-b AS (SELECT path, entry_id, dsha, esha FROM d FULL JOIN e USING (path)), f AS (SELECT path, dsha AS sha, row_number() OVER (PARTITION BY dsha ORDER BY path) AS r FROM b WHERE esha IS NULL),
-g AS (SELECT path AS from_path, entry_id, esha AS sha, row_number() OVER (PARTITION BY esha ORDER BY path) AS r FROM b WHERE dsha IS NULL)
-SELECT path, entry_id, CASE WHEN dsha = esha THEN 'in_sync' ELSE 'modified' END AS state, NULL AS from_path FROM b WHERE dsha IS NOT NULL AND esha IS NOT NULL UNION ALL
-SELECT coalesce(path, from_path), entry_id, CASE WHEN path IS NULL THEN 'missing' WHEN entry_id IS NULL THEN 'new' ELSE 'moved' END, CASE WHEN path IS NOT NULL THEN from_path END FROM f FULL JOIN g USING (sha, r)""")
+@query("disk_diff", """WITH d AS (SELECT 'p' || doc_id AS path, sha256(text) AS sha FROM documents),
+e AS (SELECT doc_id AS entry_id, CASE WHEN m < 2 THEN 'p' ELSE 'q' END || doc_id AS path, sha256(CASE WHEN m IN (1, 4) THEN text || 'x' ELSE text END) AS sha, CASE WHEN m = 2 THEN 'p' || doc_id WHEN m = 3 THEN 'p' || (doc_id + 2) END AS key FROM (SELECT *, doc_id % 6 AS m FROM documents) WHERE m < 5),
+s AS (SELECT path, entry_id, CASE WHEN d.sha = e.sha THEN 'in_sync' ELSE 'modified' END AS state FROM e JOIN d USING (path)), rest AS (SELECT * FROM e WHERE path NOT IN (SELECT path FROM d)),
+k AS (SELECT key, min(entry_id) AS entry_id FROM rest JOIN d ON d.path = key AND d.sha = rest.sha WHERE key NOT IN (SELECT path FROM e) GROUP BY key),
+pending AS (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY entry_id) AS r FROM rest WHERE entry_id NOT IN (SELECT entry_id FROM k)),
+free AS (SELECT path, sha, row_number() OVER (PARTITION BY sha ORDER BY path IN (SELECT key FROM e WHERE key IS NOT NULL), path) AS r FROM d WHERE path NOT IN (SELECT path FROM e) AND path NOT IN (SELECT key FROM k))
+SELECT path, entry_id, state, NULL AS from_path FROM s UNION ALL SELECT k.key, entry_id, 'moved', path FROM k JOIN e USING (entry_id)
+UNION ALL SELECT coalesce(f.path, p.path), entry_id, CASE WHEN f.path IS NULL THEN 'missing' WHEN entry_id IS NULL THEN 'new' ELSE 'moved' END, CASE WHEN f.path IS NOT NULL THEN p.path END FROM free f FULL JOIN pending p USING (sha, r)""")
 def disk_diff(spark: SparkSession, d: str) -> DataFrame:
+    """Entries in place, edited, found by their key, by their content, lost; and a sixth of the files new."""
+    with_checkpoints(spark)
     docs = read(spark, d, "documents")
-    sha = F.sha2("text", 256).alias("sha256")
-    disk = docs.select(F.concat(F.lit("p"), F.col("doc_id").cast("string")).alias("path"), sha)
-    expected = docs.select(F.col("doc_id").alias("entry_id"), F.concat(F.lit("p"), (F.col("doc_id") * 2).cast("string")).alias("path"), sha)
+    m, k = F.col("doc_id") % 6, F.col("doc_id")
+    disk = docs.select(F.concat(F.lit("p"), k.cast("string")).alias("path"), F.sha2("text", 256).alias("sha256"))
+    content = F.when(m.isin(1, 4), F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    own = F.when(m == 2, F.concat(F.lit("p"), k.cast("string"))).when(m == 3, F.concat(F.lit("p"), (k + 2).cast("string")))
+    expected = docs.filter(m < 5).select(k.alias("entry_id"), F.concat(F.when(m < 2, "p").otherwise("q"), k.cast("string")).alias("path"), F.sha2(content, 256).alias("sha256"), own.alias("storage_key"))
     return joins.disk_diff(disk, expected)
 
 
@@ -209,6 +216,6 @@ def sections(spark: SparkSession, d: str) -> DataFrame:
     return sections_from_headings(read(spark, d, "documents").select("doc_id", marked.alias("text")))
 
 
-@query("quote_normalized", r"SELECT item_id, lower(regexp_replace(text, '[\s\p{P}\p{Z}\p{C}]+', '', 'g')) AS norm FROM benchmark")
+@query("quote_normalized", r"SELECT item_id, replace(lower(regexp_replace(nfc_normalize(text), '[\s\p{P}\p{Z}\p{C}]+', '', 'g')), 'ß', 'ss') AS norm FROM benchmark")
 def quote_normalized(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "benchmark").select("item_id", T.normalize_quote(F.col("text")).alias("norm"))

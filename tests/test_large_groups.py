@@ -121,3 +121,85 @@ def test_pairs_of_the_last_days(spark):
     now = F.lit("2024-03-01").cast("timestamp")
     assert rows(graph.cooccurrence_pairs(df, at="at", now=now)) == [(1, 2, 2)]
     assert rows(graph.cooccurrence_pairs(df, at="at", now=now, days=8)) == []
+
+
+def plain_diff(disk, entries):
+    """(path, entry_id, state, from_path), one entry after the other."""
+    out, seen = [], set()
+    left = []
+    for i, path, sha, key in entries:
+        if path in disk:
+            out.append((path, i, "in_sync" if disk[path] == sha else "modified", None))
+            seen.add(path)
+        else:
+            left.append((i, path, sha, key))
+    pending = []
+    for i, path, sha, key in left:
+        if key in disk and disk[key] == sha and key not in seen:
+            out.append((key, i, "moved", path))
+            seen.add(key)
+        else:
+            pending.append((i, path, sha))
+    owned = {k for *_, k in entries}
+    for i, path, sha in pending:
+        spare = sorted((p in owned, p) for p, s in disk.items() if s == sha and p not in seen)
+        if spare:
+            out.append((spare[0][1], i, "moved", path))
+            seen.add(spare[0][1])
+        else:
+            out.append((path, i, "missing", None))
+    return out + [(p, None, "new", None) for p in disk if p not in seen]
+
+
+def test_disk_diff_claims_each_path_once(spark):
+    from sparkloom.operators import joins
+
+    r = random.Random(6)
+    for _ in range(3):
+        paths = [f"p{i:02}" for i in range(30)]
+        disk = {p: str(r.randrange(4)) for p in r.sample(paths, 20)}
+        entries = [(i, p, str(r.randrange(5)), r.choice([None, *paths])) for i, p in enumerate(r.sample([*paths, *[f"q{i}" for i in range(20)]], 25))]
+        d = spark.createDataFrame(list(disk.items()), "path string, sha256 string")
+        e = spark.createDataFrame(entries, "entry_id int, path string, sha256 string, storage_key string")
+        assert rows(joins.disk_diff(d, e)) == sorted(plain_diff(disk, entries), key=lambda t: tuple((x is not None, str(x)) for x in t))
+
+
+def test_quantiles(spark):
+    import numpy as np
+
+    from sparkloom.operators import aggregates, evaluation
+
+    r = random.Random(7)
+    data = [(r.choice(("a", "b", None)), r.choice((None, r.gauss(0, 9), 1.0))) for _ in range(400)] + [("one", 5.0), ("none", None)]
+    df = spark.createDataFrame(data, "g string, v double").repartition(6)
+    for x in aggregates.quantiles(df, ["g"], "v", {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}).collect():
+        own = [v for g, v in data if g == x.g and v is not None]
+        assert [x.p0, x.p50, x.p95, x.p100] == pytest.approx(list(np.quantile(own, [0, 0.5, 0.95, 1])))
+    assert aggregates.quantiles(df, [], "v", {"m": 0.5}).first().m == pytest.approx(np.median([v for _, v in data if v is not None]))
+    got = {x.g: (x["count"], x.median) for x in aggregates.chart(df, ["g"], "v").collect()}
+    assert got["none"] == (0, None) and got["one"] == (1, 5.0) and len(got) == 5
+    calls = spark.createDataFrame([(float(i), None if i % 2 else 1, i == 9) for i in range(10)], "latency_ms double, first_rank int, error boolean")
+    report = evaluation.latency_report(calls, 3).first()
+    assert (report.requests, report.p50_ms, report.p95_ms, report.hit) == (10, 4.0, 7.6, 0.5)
+
+
+def test_quote_forms(spark):
+    import unicodedata
+
+    from sparkloom.functions import text as T
+    from sparkloom.operators import joins
+
+    texts = ["Hello,  World!", "ﬁne ﬂow", "ＦＵＬＬ １２", "Straße", "STRASSE", "café café", "µ μ", "中文，“x”", "① ½  ", "İ İ", "", None, "\x00\t-_"]
+
+    def plain(t):
+        return "".join(c.casefold() for c in unicodedata.normalize("NFKC", t) if not c.isspace() and not unicodedata.category(c).startswith(("P", "Z", "C")))
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {x.i: x.n for x in df.select("i", T.normalize_quote(F.col("t")).alias("n")).collect()}
+    assert got == {i: None if t is None else plain(t) for i, t in enumerate(texts)}
+    cited = spark.createDataFrame([("e", "straße", 1), ("e", "ﬁne", 2), ("e", " . ", 3), ("f", "fine", 4)], "entry_id string, quote string, page int")
+    reads = spark.createDataFrame([("e", "a long STRASSE"), ("e", "so fine"), ("f", "ＦＩＮＥ!"), ("e", None)], "entry_id string, text string")
+    assert rows(joins.verified_citations(cited, reads), "page") == [(1,), (2,), (4,)]
+    pages = spark.createDataFrame([("e", 2, "Straße"), ("e", 1, "strasse"), ("f", 1, "x")], "doc string, page int, text string")
+    quotes = spark.createDataFrame([("e", "STRAßE"), ("f", "y")], "doc string, quote string")
+    assert rows(joins.quote_pages(quotes, pages)) == [("e", "STRAßE", 1), ("f", "y", None)]
