@@ -29,4 +29,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from sparkloom.plans import queries_graph, queries_records, queries_rows, queries_search, queries_sources, queries_streams, queries_tables  # noqa: F401
+    from sparkloom.plans import queries_graph, queries_more, queries_records, queries_rows, queries_search, queries_sources, queries_streams, queries_tables  # noqa: F401
