@@ -126,6 +126,12 @@ def stage_totals(usage: DataFrame, key: str, stages: str) -> DataFrame:
     return each.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stage", "s")))).alias(stages))
 
 
+def direct_counts(catalogs: DataFrame, entries: DataFrame, catalog: str = "catalog_id") -> DataFrame:
+    """A3: live catalogs with the number of their own live entries, 0 where there are none; nothing of their subtrees."""
+    n = entries.filter("deleted_at IS NULL").groupBy(F.col(catalog).alias("id")).agg(F.count("*").alias("entries"))
+    return catalogs.filter("deleted_at IS NULL").join(n, "id", "left").withColumn("entries", F.coalesce("entries", F.lit(0)))
+
+
 def quantiles(df: DataFrame, by: Sequence[str], value: str, wanted: dict[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation, a column each, per group of by. Groups may have any size: their values
     are numbered by row_numbers(), and only the rows beside the wanted places are gathered. Nulls don't count."""

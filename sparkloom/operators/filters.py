@@ -107,3 +107,8 @@ def line_range(lines: DataFrame, first: int | None = None, last: int | None = No
     if first is not None:
         lines = lines.filter(F.col(no) >= first)
     return lines if last is None else lines.filter(F.col(no) <= last)
+
+
+def newest(df: DataFrame, at: str, key: str, n: int, oldest: bool = False) -> DataFrame:
+    """The n newest rows (or the oldest) by time, then key; rows without a time come last. Each task gives its own n."""
+    return df.orderBy(F.asc_nulls_last(at) if oldest else F.desc_nulls_last(at), key).limit(n)

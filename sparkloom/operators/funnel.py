@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.operators import filters, joins, recall, vectors
-from sparkloom.operators.aggregates import top_per_group
+from sparkloom.operators.aggregates import direct_counts, top_per_group
 
 # The keys of a coverage record that are shown.
 COVERAGE_KEYS = (
@@ -90,10 +90,8 @@ def corpus_overview(entries: DataFrame, folders: DataFrame, tags: DataFrame, tas
 def context_snapshot(catalogs: DataFrame, entries: DataFrame, views: DataFrame, tags: DataFrame, notes: DataFrame, before, per_facet: int = 10) -> dict[str, DataFrame]:
     """50 top catalogs with their direct entries, 30 views by name, the top tags of each facet, the 10 newest notes
     before a time."""
-    n = entries.filter("deleted_at IS NULL AND catalog_id IS NOT NULL").groupBy("catalog_id").agg(F.count("*").alias("entries"))
-    top = catalogs.filter("deleted_at IS NULL AND parent_id IS NULL").orderBy("name", "id").limit(50).join(n.withColumnRenamed("catalog_id", "id"), "id", "left")
     return {
-        "catalogs": top.withColumn("entries", F.coalesce("entries", F.lit(0))), "views": views.orderBy("name").limit(30),
+        "catalogs": direct_counts(catalogs.filter("deleted_at IS NULL AND parent_id IS NULL").orderBy("name", "id").limit(50), entries), "views": views.orderBy("name").limit(30),
         "tags": top_per_group(tags.filter("alias_of IS NULL"), ["facet"], [F.desc("doc_count"), F.asc("name")], per_facet),
         "notes": notes.filter(F.col("created_at") < before).orderBy(F.desc("created_at"), F.desc("note_id")).limit(10),
     }
@@ -102,12 +100,11 @@ def context_snapshot(catalogs: DataFrame, entries: DataFrame, views: DataFrame,
 def catalog_review(catalogs: DataFrame, entries: DataFrame, entry_tags: DataFrame, notes: DataFrame, newest: int = 30) -> dict[str, DataFrame]:
     """Live catalogs with direct counts, notes with a `hint:` tag among the 40 newest, and the entries updated last
     with their tags. entry_tags: entry_id, name."""
-    n = entries.filter("deleted_at IS NULL").groupBy("catalog_id").agg(F.count("*").alias("entries"))
     latest = notes.orderBy(F.desc("created_at"), F.desc("note_id")).limit(40)
     recent = entries.filter("deleted_at IS NULL").orderBy(F.desc("updated_at"), "id").limit(newest)
     worn = entry_tags.groupBy("entry_id").agg(F.array_sort(F.collect_set("name")).alias("tags"))
     return {
-        "catalogs": catalogs.filter("deleted_at IS NULL").join(n.withColumnRenamed("catalog_id", "id"), "id", "left").withColumn("entries", F.coalesce("entries", F.lit(0))),
+        "catalogs": direct_counts(catalogs, entries),
         "hints": latest.filter(F.exists("tags", lambda t: F.startswith(t, F.lit("hint:")))), "entries": recent.join(worn.withColumnRenamed("entry_id", "id"), "id", "left"),
     }
 

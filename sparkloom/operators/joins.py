@@ -164,12 +164,22 @@ def sync_plan(left: DataFrame, right: DataFrame, new: str, changed: str = "chang
     return left.join(there, key, "left").select(key, sha, state.alias("state")).filter("state IS NOT NULL")
 
 
-def bundle(entries: DataFrame, tags: DataFrame, related: DataFrame, key: str = "id") -> DataFrame:
-    """Entries with their tag names and related ids as sorted arrays."""
+def difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """U4: rows of left whose keys no row of right has; nulls are equal to nulls."""
+    other = right.select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)]).distinct()
+    return left.join(other, [F.col(k).eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(keys)], "left_anti")
+
+
+def bundle(entries: DataFrame, tags: DataFrame, related: DataFrame, key: str = "id", catalogs: DataFrame | None = None, folders: DataFrame | None = None) -> DataFrame:
+    """Entries with their tag names and related ids as sorted arrays, and the paths of their catalog and folder
+    where such tables (id, path; from paths()) are given and the entries have catalog_id and folder_id."""
     t = tags.groupBy(key).agg(F.array_sort(F.collect_set("tag")).alias("tags"))
     r = related.groupBy(key).agg(F.array_sort(F.collect_set("other")).alias("related"))
     empty = F.array().cast("array<string>")
     out = entries.join(t, key, "left").join(r, key, "left")
+    for of, known in (("catalog", catalogs), ("folder", folders)):
+        if known is not None:
+            out = out.join(known.select(F.col("id").alias(f"{of}_id"), F.col("path").alias(f"{of}_path")), f"{of}_id", "left")
     return out.withColumns({"tags": F.coalesce("tags", empty), "related": F.coalesce(F.col("related").cast("array<string>"), empty)})
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
+from sparkloom.operators.windows import row_numbers
 
 RRF_K = 60
 SOURCES = {"metadata_tags": "tag_rank", "metadata_text": "lexical_rank", "semantic": "semantic_rank"}
@@ -145,8 +146,8 @@ def search_notes(notes: DataFrame, terms: list[str], tags: list[str], match: str
 
 
 def stale_last(notes: DataFrame, pos: str = "pos", stale: str = "is_stale") -> DataFrame:
-    """W17."""
-    return notes.withColumn("new_pos", F.row_number().over(Window.orderBy(stale, pos)) if "query_id" not in notes.columns else F.row_number().over(Window.partitionBy("query_id").orderBy(stale, pos)))
+    """new_pos, stale notes after the others, in each query if there is a query_id; a list of any length."""
+    return row_numbers(notes, ["query_id"] if "query_id" in notes.columns else [], [stale, pos], "new_pos")
 
 
 def materialize_view(entries: DataFrame, entry_tags: DataFrame, spec: dict, closed: DataFrame | None = None) -> DataFrame:

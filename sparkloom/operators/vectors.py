@@ -8,7 +8,7 @@ from decimal import ROUND_HALF_UP, Decimal
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of query vectors that travel with the tasks; more are searched in blocks of about so many.
@@ -167,6 +167,24 @@ def manifest(records: DataFrame, version: int = 1) -> DataFrame:
     return records.groupBy("provider", "model", "dims").agg(F.count("*").alias("records"), F.count_distinct("entry_id").alias("entries")).withColumn("version", F.lit(version))
 
 
+def write_table(records: DataFrame, path: str, version: int = 1) -> DataFrame:
+    """Writes the records by model, then their manifest, which makes them count; returns it."""
+    records.write.partitionBy("provider", "model", "dims").parquet(f"{path}/records")
+    written = records.sparkSession.read.schema(records.schema).parquet(f"{path}/records")
+    manifest(written, version).write.json(f"{path}/manifest")
+    return read_manifest(records.sparkSession, path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("provider string, model string, dims int, records bigint, entries bigint, version int").json(f"{path}/manifest")
+
+
+def read_table(spark: SparkSession, path: str, version: int, provider: str | None, model: str, dims: int) -> DataFrame:
+    """The records that compatible() lets be used; only their folders are read, none if the manifest has no such."""
+    usable = compatible(read_manifest(spark, path), version, provider, model, dims).filter("compatible").select("provider", "model", "dims")
+    return spark.read.parquet(f"{path}/records").join(F.broadcast(usable), ["provider", "model", "dims"], "left_semi")  # a row for each model
+
+
 def compatible(manifest_: DataFrame, version: int, provider: str | None, model: str, dims: int) -> DataFrame:
     """The manifest's rows with a boolean `compatible`; a provider counts only where one is recorded."""
     same = (F.col("version") == version) & (F.col("model") == model) & (F.col("dims") == dims)

@@ -10,10 +10,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.operators import funnel
+from sparkloom.operators import aggregates, filters, funnel, joins, vectors
 from sparkloom.plans.registry import query
-from sparkloom.plans.tables import read
-from sparkloom.sources import extract
+from sparkloom.plans.tables import read, scratch
+from sparkloom.sources import extract, readers
 
 
 @query("archived_texts", """SELECT doc_id::VARCHAR AS archive, m.path, octet_length(encode(m.body)) AS size, md5(m.body) AS body
@@ -103,3 +103,43 @@ def catalog_review(spark: SparkSession, d: str) -> DataFrame:
     tags = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("entry_id"), F.col("l_returnflag").alias("name"))
     notes = read(spark, d, "events").select(F.col("event_id").alias("note_id"), F.col("ts").alias("created_at"), F.array("event_type").alias("tags"))
     return funnel.catalog_review(_catalogs(spark, d), o, tags, notes)["entries"].select("id", F.coalesce(F.array_join("tags", ","), F.lit("")).alias("tags"))
+
+
+@query("direct_counts", "SELECT n_nationkey AS id, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal >= 0) AS entries FROM nation")
+def direct_counts(spark: SparkSession, d: str) -> DataFrame:
+    return aggregates.direct_counts(_catalogs(spark, d), _entries(spark, d)).select("id", "entries")
+
+
+@query("newest_orders", "SELECT * FROM (SELECT o_orderkey AS id, 'new' AS kind FROM orders ORDER BY o_orderdate DESC, id LIMIT 25) UNION ALL SELECT * FROM (SELECT o_orderkey AS id, 'old' FROM orders ORDER BY o_orderdate, id LIMIT 25)")
+def newest_orders(spark: SparkSession, d: str) -> DataFrame:
+    o = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_orderdate")
+    new, old = filters.newest(o, "o_orderdate", "id", 25), filters.newest(o, "o_orderdate", "id", 25, oldest=True)
+    return new.select("id", F.lit("new").alias("kind")).unionByName(old.select("id", F.lit("old").alias("kind")))
+
+
+@query("unsold_parts", "SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_partkey % 10 = s_suppkey % 10 WHERE (p_partkey, s_suppkey) NOT IN (SELECT l_partkey, l_suppkey FROM lineitem)")
+def unsold_parts(spark: SparkSession, d: str) -> DataFrame:
+    p, s = read(spark, d, "part").select("p_partkey"), read(spark, d, "supplier").select("s_suppkey")
+    offered = p.join(s, F.col("p_partkey") % 10 == F.col("s_suppkey") % 10)
+    return joins.difference(offered, read(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_suppkey").alias("s_suppkey")), ["p_partkey", "s_suppkey"])
+
+
+@query("vector_files", "SELECT vec_id, embedding[1] AS x FROM embeddings WHERE label % 2 = 1")
+def vector_files(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors written by model and read back where the manifest allows it."""
+    path = scratch(spark)
+    rows = read(spark, d, "embeddings").select("vec_id", F.col("label").alias("entry_id"), F.lit("p").alias("provider"), F.concat(F.lit("m"), F.col("label") % 2).alias("model"), F.lit(64).alias("dims"), "embedding")
+    vectors.write_table(rows, path, 2)
+    return vectors.read_table(spark, path, 2, "p", "m1", 64).select("vec_id", F.get("embedding", F.lit(0)).alias("x"))
+
+
+@query("routed_files", """SELECT page_id, 'html' AS pipeline, 1 AS pieces FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT page_id, 'log', len(string_split(url || chr(10) || url, chr(10))) FROM pages WHERE page_id % 3 = 1 UNION ALL SELECT page_id, 'table', 2 FROM pages WHERE page_id % 3 = 2""")
+def routed_files(spark: SparkSession, d: str) -> DataFrame:
+    """Pages as files of three kinds, each through the extractor of its route."""
+    k = F.col("page_id") % 3
+    body = F.when(k == 0, F.col("html")).when(k == 1, F.concat_ws("\n", "url", "url")).otherwise(F.concat(F.lit('id,"a\nb"\n1,'), F.lit("x")))
+    ext = F.element_at(F.array(F.lit("html"), F.lit("log"), F.lit("csv")), (k + 1).cast("int"))
+    files = read(spark, d, "pages").select(F.concat("page_id", F.lit("."), ext).alias("path"), F.encode(body, "UTF-8").alias("content"), readers.route_format(F.lit(""), ext, F.lit("")).alias("pipeline"))
+    out = extract.extract_by_route(files)
+    parts = [out[name].groupBy("path").agg(F.count("*").cast("int").alias("pieces")).withColumn("pipeline", F.lit(name)) for name in ("html", "log", "table")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select(F.substring_index("path", ".", 1).cast("bigint").alias("page_id"), "pipeline", "pieces")

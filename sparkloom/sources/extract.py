@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import email
 import email.policy
 import io
@@ -157,8 +158,48 @@ def extract_email(files: DataFrame, path: str = "path", content: str = "content"
     return files.select(path, content).mapInPandas(run, "path string, subject string, sender string, recipients string, date string, text string, attachments array<struct<name:string,type:string,size:bigint>>")
 
 
-#: Extractors by S16's pipeline names.
-EXTRACTORS = {"email": extract_email, "archive": explode_archive}
+def _texts(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    return decode_text(files.select(path, content), content)
+
+
+def extract_html(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """(path, text) of HTML files."""
+    return html_to_text(_texts(files, path, content), path, "text")
+
+
+def extract_log(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """(path, n, text): the lines of log files that fit a row each."""
+    lines = F.split(F.regexp_replace("text", "\\R$", ""), "\\R")
+    return _texts(files, path, content).select(path, F.posexplode(lines).alias("n", "text")).withColumn("n", F.col("n") + 1)
+
+
+def extract_table(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """(path, n, cells): the rows of delimited files that fit a row each, header first; tabs separate where the name
+    ends in tsv. A quoted cell may hold separators and line breaks."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for name, text in zip(f[path], f["text"], strict=True):
+                cells = list(csv.reader(io.StringIO(text or "", newline=""), delimiter="\t" if name.lower().endswith("tsv") else ","))
+                yield pd.DataFrame({path: name, "n": range(1, len(cells) + 1), "cells": cells})
+
+    return _texts(files, path, content).select(path, "text").mapInPandas(run, f"{path} string, n int, cells array<string>")
+
+
+def extract_nothing(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """(path, text) with no text: what needs a model to be read, and what no one knows."""
+    return files.select(path, F.lit(None).cast("string").alias("text"))
+
+
+#: Extractors by S16's pipeline names; all take (files, path, content).
+EXTRACTORS = {
+    "email": extract_email, "archive": explode_archive, "html": extract_html, "log": extract_log, "table": extract_table, "text": _texts, "image": extract_nothing, "fallback": extract_nothing,
+}
+
+
+def extract_by_route(files: DataFrame, pipeline: str = "pipeline") -> dict[str, DataFrame]:
+    """Files (path, content, pipeline from route_format()) through the extractor of each route."""
+    return {name: run(files.filter(F.col(pipeline) == name)) for name, run in EXTRACTORS.items()}
 
 
 def embed_with(df: DataFrame, embed, text: str = "text", out: str = "embedding") -> DataFrame:
