@@ -93,6 +93,20 @@ def top_per_query(hits: DataFrame, k: int, query_id: str = "query_id", id_col: s
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def is_word(term: Column) -> Column:
+    """a term of three characters or more without CJK, which is looked up; others are substrings."""
+    return (F.length(term) >= 3) & ~T.contains_cjk(term)
+
+
+def in_order(hits: DataFrame, terms: DataFrame, updated: DataFrame, k: int, query_id: str = "query_id", id_col: str = "id") -> DataFrame:
+    """the k first hits of each query with their rank: by score, then the newest, then id. A query with a term that
+    isn't looked up has no score for all its hits, so its order is the newest first. updated: id_col, updated_at."""
+    mixed = terms.filter(~is_word(F.col("term")) & (F.length("term") > 0)).select(query_id).distinct().withColumn("_mixed", F.lit(True))
+    rows = hits.join(mixed, query_id, "left").join(updated.select(id_col, "updated_at"), id_col, "left")
+    order = [F.desc_nulls_last(F.when(F.col("_mixed").isNull(), F.col("score"))), F.desc_nulls_last("updated_at"), F.asc(id_col)]
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(*order))).filter(F.col("rank") <= k).drop("_mixed", "updated_at")
+
+
 def text_search(entries: DataFrame, terms: DataFrame, groups: list[list[str]], query_id: str = "query_id", id_col: str = "id") -> DataFrame:
     """(query_id, id, score) of the entries that any term finds. terms: query_id, term.
 
@@ -101,14 +115,13 @@ def text_search(entries: DataFrame, terms: DataFrame, groups: list[list[str]], q
     field and score nothing: they are joined on their first one to three characters and verified. Null fields and
     terms are empty, an empty term finds nothing, ids are taken as distinct."""
     term = F.col("term")
-    is_word = (F.length(term) >= 3) & ~T.contains_cjk(term)
-    asked = terms.filter(is_word).groupBy(query_id).agg(F.concat_ws(" ", F.collect_set("term")).alias("query"))
+    asked = terms.filter(is_word(term)).groupBy(query_id).agg(F.concat_ws(" ", F.collect_set("term")).alias("query"))
     parts = []
     for fields in groups:
         group = entries.select(F.col(id_col).alias("id"), F.concat_ws("\n", *fields).alias("_text"))
         parts.append(bm25(group, asked, "id", "_text", query_id))
     whole = entries.select(F.col(id_col).alias("id"), F.lower(F.concat_ws("\n", *[f for fields in groups for f in fields])).alias("_text"))
-    short = terms.filter(~is_word & (F.length(term) > 0)).select(query_id, F.lower(term).alias("_low")).distinct().withColumn("g", F.substring("_low", 1, 3))
+    short = terms.filter(~is_word(term) & (F.length(term) > 0)).select(query_id, F.lower(term).alias("_low")).distinct().withColumn("g", F.substring("_low", 1, 3))
     grams = F.array_distinct(F.concat(*[F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in (1, 2, 3)]))
     found = whole.select("id", "_text", F.explode(grams).alias("g")).join(short, "g").filter(F.contains("_text", "_low"))
     out = found.select(query_id, "id", F.lit(0.0).alias("score"))

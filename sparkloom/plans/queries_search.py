@@ -75,7 +75,7 @@ def trigram_match(spark: SparkSession, d: str) -> DataFrame:
     return search.trigram_match(read(spark, d, "documents"), terms, "doc_id")
 
 
-@query("text_search", rf"""
+_TEXT_SQL = rf"""
 WITH terms AS (SELECT item_id AS query_id, unnest(list_transform(regexp_split_to_array(text, '[\s,，、;；]+'), lambda x: trim(x, E' \t\r\n.,;:!?()[]{{}}"\''))) AS term FROM benchmark),
 kinds AS (SELECT *, length(term) >= 3 AND NOT regexp_matches(term, '[\x{{3040}}-\x{{30ff}}\x{{3400}}-\x{{4dbf}}\x{{4e00}}-\x{{9fff}}\x{{ac00}}-\x{{d7a3}}\x{{f900}}-\x{{faff}}]') AS word FROM terms WHERE term <> ''),
 q AS (SELECT DISTINCT query_id, unnest({_TOKENS.format("term")}) AS t FROM kinds WHERE word),
@@ -86,13 +86,31 @@ tf AS (SELECT g, id, len, t, count(*) AS tf FROM (SELECT g, id, len(ws) AS len,
 df AS (SELECT g, t, count(*) AS df FROM tf GROUP BY ALL),
 hits AS (SELECT query_id, id, ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / avg_len)) AS s FROM tf JOIN df USING (g, t) JOIN q USING (t) JOIN total USING (g)
          UNION ALL SELECT query_id, id, 0.0 FROM kinds JOIN e ON NOT word AND contains(lower(coalesce(role, '') || chr(10) || text), lower(term))),
-summed AS (SELECT query_id, id, round(sum(s), 6) AS score FROM hits GROUP BY 1, 2)
-SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM summed QUALIFY rank <= 10""")
+summed AS (SELECT query_id, id, round(sum(s), 6) AS score FROM hits GROUP BY 1, 2)"""
+
+
+@query("text_search", f"""{_TEXT_SQL}
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM summed QUALIFY rank <= 10""")
 def text_search(spark: SparkSession, d: str) -> DataFrame:
+    return search.top_per_query(_found_turns(spark, d)[0], 10)
+
+
+def _found_turns(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     turns = read(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "role", "text")
-    terms = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.split("text", "[\\s,，、;；]+")).alias("term"))
-    hits = search.text_search(turns, terms.withColumn("term", T.strip_punctuation(F.col("term"))), [["role"], ["text"]])
-    return search.top_per_query(hits.withColumn("score", F.round("score", 6)), 10)
+    terms = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.split("text", "[\\s,，、;；]+")).alias("term")).withColumn("term", T.strip_punctuation(F.col("term")))
+    return search.text_search(turns, terms, [["role"], ["text"]]).withColumn("score", F.round("score", 6)), terms
+
+
+@query("ordered_search", f"""{_TEXT_SQL},
+o AS (SELECT s.query_id, id, score, row_number() OVER (PARTITION BY s.query_id ORDER BY CASE WHEN s.query_id NOT IN (SELECT query_id FROM kinds WHERE NOT word) THEN score END DESC NULLS LAST, (hash_at * 7919) % 1000 DESC, id) AS rank
+      FROM summed s JOIN (SELECT conv_id || ':' || turn AS id, turn + length(text) AS hash_at FROM conversations) USING (id) QUALIFY rank <= 10)
+SELECT query_id, id, score, rank FROM o""")
+def ordered_search(spark: SparkSession, d: str) -> DataFrame:
+    """By score or, for passages with short words, the newest first."""
+    hits, terms = _found_turns(spark, d)
+    at = (F.col("turn") + F.length("text")) * 7919 % 1000
+    updated = read(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), at.alias("updated_at"))
+    return search.in_order(hits, terms, updated, 10)
 
 
 @query("query_terms", r"""
