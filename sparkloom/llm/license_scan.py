@@ -65,7 +65,8 @@ def _struct_array(pairs, first: str, second: str) -> Column:
 def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[str, str] = SENTENCES, rules=RULES + TEXT_RULES, phrases=PHRASES, words=WORDS) -> DataFrame:
     """Per row of df: id_col, n_sentences, n_known, sentence_ids and licenses (both joined by |).
 
-    A null text is empty: no sentences, empty strings. Repeated rows give repeated results; other columns are ignored.
+    A null text is empty: no sentences, empty strings. Repeated rows give repeated results and
+    null ids stay; texts may have any length. An empty table gives an empty result, other columns are ignored.
     n_sentences counts the pieces that BREAK makes, as if no sentence were wrapped. known are whole pieces or whole
     wrapped sentences, phrases stand anywhere in a wrapped sentence, and all of these have one of words in them.
     Licences stand in the order of the rules, each once.

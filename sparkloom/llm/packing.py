@@ -143,7 +143,8 @@ def pack(cut: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY) -> Da
 def best_fit_packing(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """Per piece: id_col, piece, start, length, ids_crc32, sequence_id, offset. See pieces() and pack().
 
-    Rows are taken to have distinct ids; repeated rows are packed once each, in any order. An empty table gives an
+    Rows are taken to have distinct ids; repeated rows and rows with null ids are packed once each, in any order.
+    A null text is one piece of one token; a text without white space may have any length. An empty table gives an
     empty result, other columns are ignored.
     """
     return pack(pieces(df, id_col, text_col, capacity, path), id_col, capacity)

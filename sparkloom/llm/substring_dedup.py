@@ -278,7 +278,8 @@ def window_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Per row of df: id_col, n_words, n_removed, kept_sha256.
 
     Removed is each word covered by a window of WINDOW words of which the words also start, in that order, in a
-    document with a smaller id (whole numbers; null is larger than all). Windows are judged on the input. A null text
+    document with a smaller id (whole numbers, or strings of them; others are an error; null is larger than all).
+    Windows are judged on the input. A null text
     is empty: no words and the digest of nothing. Rows that repeat an id are one document, and don't cover each other.
     An empty table gives an empty result, other columns are ignored.
     """

@@ -87,7 +87,7 @@ def url_filter(df: DataFrame, rules: Iterable[tuple[str, str]] = RULES, id_col:
     A rule (host, then a path from its first slash) fits its host and all subdomains when the URL's path starts with
     the rule's; the longest decides, and a URL that none fits is allowed (its rule is null). A null URL, or one
     without ://, has an empty host and path and is allowed. Repeated rows give repeated results, an empty table gives
-    an empty result, other columns are ignored.
+    an empty result, other columns are ignored. URLs may have any length.
     """
     digests = DigestArray(rules)
     rows = df.select(F.col(id_col).alias("id"), url_host(F.col(url_col)).alias("host"), url_path(F.col(url_col)).alias("path"))
