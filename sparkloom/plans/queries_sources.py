@@ -82,12 +82,13 @@ def snapshot(spark: SparkSession, d: str) -> DataFrame:
     return readers.write_snapshot({"customer": read(spark, d, "customer"), "nation": read(spark, d, "nation")}, scratch(spark)).select("name", "rows")
 
 
-@query("file_tree", "SELECT count(*) > 0 AS found, count(DISTINCT o_orderpriority) = 5 AS folders FROM orders")
+@query("file_tree", """SELECT 'o_orderstatus=' || o_orderstatus AS folder, sum(length('{"o_orderkey":' || o_orderkey || '}') + 1)::BIGINT AS bytes FROM orders GROUP BY 1""")
 def file_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The bytes of each folder of a tree of files."""
     path = scratch(spark)
-    read(spark, d, "orders").select("o_orderkey", "o_orderpriority").write.partitionBy("o_orderpriority").json(path)
-    files = readers.scan_files(spark, path).filter("length > 0 AND sha256 IS NOT NULL")
-    return files.agg((F.count("*") > 0).alias("found"), (F.count_distinct(F.regexp_extract("path", "o_orderpriority=([^/]*)/", 1)) == 5).alias("folders"))
+    read(spark, d, "orders").select("o_orderkey", "o_orderstatus").write.partitionBy("o_orderstatus").json(path)
+    files = readers.scan_files(spark, path).filter("sha256 IS NOT NULL AND path NOT LIKE '%/_SUCCESS'")
+    return files.groupBy(F.regexp_extract("path", "/([^/]*)/[^/]*$", 1).alias("folder")).agg(F.sum("length").alias("bytes"))
 
 
 @query("delimited_file", "SELECT p_partkey::INTEGER AS p_partkey, p_brand, p_size FROM part")
