@@ -201,13 +201,15 @@ def quote_pages(quotes: DataFrame, pages: DataFrame) -> DataFrame:
 
 def prior_insights(insights: DataFrame, sessions: DataFrame, k: int = 20) -> DataFrame:
     """Per session (session_id, entry_ids) the k newest insights (insight_id, entry_ids, created_at) that share an
-    entry with it or have none."""
-    ids = sessions.select("session_id", F.explode("entry_ids").alias("id")).distinct()
-    shared = insights.select("insight_id", "created_at", F.explode("entry_ids").alias("id")).join(ids, "id").select("session_id", "insight_id", "created_at").distinct()
-    loose = insights.filter(F.size("entry_ids") == 0).orderBy(F.desc("created_at"), F.desc("insight_id")).limit(k).select("insight_id", "created_at")
+    entry with it or have none. An insight among a session's k newest is among the k newest of the entry they share, so
+    only those are joined."""
+    newest = [F.desc("created_at"), F.desc("insight_id")]
+    each = insights.select("insight_id", "created_at", F.explode("entry_ids").alias("id")).distinct()
+    latest = each.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy(*newest))).filter(F.col("_r") <= k).drop("_r")
+    shared = sessions.select("session_id", F.explode("entry_ids").alias("id")).distinct().join(latest, "id").select("session_id", "insight_id", "created_at").distinct()
+    loose = insights.filter(F.size("entry_ids") == 0).orderBy(*newest).limit(k).select("insight_id", "created_at")
     both = shared.unionByName(sessions.select("session_id").join(F.broadcast(loose)).select("session_id", "insight_id", "created_at"))  # k rows
-    w = Window.partitionBy("session_id").orderBy(F.desc("created_at"), F.desc("insight_id"))
-    return both.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("session_id").orderBy(*newest))).filter(F.col("rank") <= k)
 
 
 def lookup(entries: DataFrame, wanted: DataFrame, variant: str = "any", key: str = "id") -> DataFrame:
