@@ -6,8 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import joins
+from sparkloom.plans import registry
 from tests.conftest import rows
 
+registry.load()
+
 
 @pytest.fixture
 def shuffled(spark):
@@ -40,3 +43,19 @@ def test_prior_insights_of_a_common_entry(spark, shuffled):
         want += [(s, i, r) for r, i in enumerate((299, 199), 1)]
     assert got == sorted(want, key=lambda t: tuple((True, str(x)) for x in t))
     assert n < 10_000  # 90,000 pairs share entry 7
+
+
+def test_missing_pairs_are_not_shuffled(spark, shuffled):
+    left, right = spark.range(300).withColumnRenamed("id", "a"), spark.range(300).withColumnRenamed("id", "b")
+    taken = spark.createDataFrame([(a, (a + 10) % 300) for a in range(0, 300, 3)] + [(1, 2), (None, 3), (5, None)], "a long, b long")
+    got, n = shuffled(lambda: {(r["a"], r["b"]) for r in joins.missing_pairs(left, right, F.col("a") % 2 == F.col("b") % 2, taken, "a", "b").collect()})
+    assert got == {(a, b) for a in range(300) for b in range(300) if a % 2 == b % 2 and not (a % 3 == 0 and b == (a + 10) % 300)}
+    assert n < 2000  # 45,000 pairs meet
+
+
+def test_unsold_parts_shuffle_no_pairs(spark, shuffled, tmp_path):
+    spark.range(400).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(400).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(50).select((F.col("id") * 10 + 3).alias("l_partkey"), F.lit(13).cast("long").alias("l_suppkey")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got, n = shuffled(lambda: registry.QUERIES["unsold_parts"](spark, str(tmp_path)).count())
+    assert got == 40 * 400 - 40 and n < 3000  # 16,000 pairs are offered
