@@ -2,31 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.operators.aggregates import eligible_tags
 from sparkloom.operators.joins import symmetric
 
 #: How far a source's note stands against another's; fixed values.
 STRENGTH = {"cooccurrence": 10, "tag_overlap": 20, "citation": 30, "manual": 40}
 
 
-def tag_overlap_pairs(entry_tags: DataFrame, min_jaccard: float = 0.30, min_shared: int = 2, max_fanout: int = 40, entry: str = "entry", tag: str = "tag") -> DataFrame:
-    """G1: (a, b, shared, jaccard, weight). Seeds come from tags of bounded fan-out only, so the self-join is bounded;
-    the overlap counts all tags."""
-    et = entry_tags.select(F.col(entry).alias("e"), F.col(tag).alias("t")).distinct()
-    ok = et.join(eligible_tags(et, 2, max_fanout, "t", "e").select("t"), "t", "left_semi")
-    seeds = ok.select("t", F.col("e").alias("a")).join(ok.select("t", F.col("e").alias("b")), "t").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("few"))
-    wide = et.join(ok.select("t").distinct(), "t", "left_anti")
-    common = seeds.select("a", "b").join(wide.select(F.col("e").alias("a"), "t"), "a").join(wide.select(F.col("e").alias("b"), "t"), ["b", "t"]).groupBy("a", "b").agg(F.count("*").alias("many"))
-    n = et.groupBy("e").agg(F.count("*").alias("n"))
-    both = seeds.join(common, ["a", "b"], "left").withColumn("shared", F.col("few") + F.coalesce("many", F.lit(0))).filter(F.col("shared") >= min_shared)
-    sized = both.join(n.select(F.col("e").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("e").alias("b"), F.col("n").alias("nb")), "b")
+#: Tags of an entry up to which it is found by two shared tags at once; a wider one by one.
+TAG_PAIRS = 32
+
+
+def _overlap_keys(rows: DataFrame, wide: bool, min_shared: int, min_jaccard: float, max_fanout: int) -> DataFrame:
+    """(e, m, k1, k2) of rows (e, t, f): tags of which two entries that overlap enough have a pair in common. In the order
+    of their fan-out, two entries that share o tags share their first two among the first m - o + 2 of each one's m,
+    and the first is of bounded fan-out if any is. wide: (e, m, k1), for the first shared tag alone."""
+    least = F.greatest(F.lit(max(1, min_shared)), F.ceil(F.round(F.lit(float(min_jaccard)) * F.col("m"), 9)))
+    numbered = rows.withColumns({"i": F.row_number().over(Window.partitionBy("e").orderBy("f", "t")), "m": F.count("*").over(Window.partitionBy("e"))})
+    if wide:
+        some = numbered if min_shared < 2 else numbered.filter(F.col("m") >= min_jaccard * TAG_PAIRS)
+        return some.filter((F.col("i") <= F.col("m") - least + 1) & (F.col("f") <= max_fanout)).select("e", "m", F.col("t").alias("k1"))
+    head = numbered.filter((F.col("m") <= TAG_PAIRS) & (F.col("i") <= F.col("m") - least + 2))
+    tags = head.groupBy("e", "m").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("s"))  # TAG_PAIRS at most
+    each = tags.select("e", "m", "s", F.posexplode("s").alias("p", "x")).filter(F.col("x.f") <= max_fanout)
+    return each.select("e", "m", F.col("x.t").alias("k1"), F.explode(F.slice("s", F.col("p") + 2, F.size("s"))).alias("y")).select("e", "m", "k1", F.col("y.t").alias("k2"))
+
+
+def overlap_candidates(own: DataFrame, other: DataFrame, min_jaccard: float, min_shared: int, max_fanout: int) -> DataFrame:
+    """(a, b), a < b, distinct: the pairs of an entry of own and one of other that may overlap so much; rows (e, t, f), f the
+    tag's fan-out from 2 on, other with all tags that entries of own have. Entries that share one tag and no second are
+    not joined, unless one of them has over TAG_PAIRS tags or min_shared is 1: then the other has min_jaccard times as
+    many at least."""
+    def met(wide: bool, *on: str) -> DataFrame:
+        mine = _overlap_keys(own, wide, min_shared, min_jaccard, max_fanout)
+        theirs = _overlap_keys(other, wide, min_shared, min_jaccard, max_fanout)
+        both = mine.withColumnsRenamed({"e": "x", "m": "mx"}).join(theirs.withColumnsRenamed({"e": "y", "m": "my"}), list(on))
+        both = both.filter("x < y") if own is other else both.filter("x <> y")
+        if wide and min_shared >= 2:
+            both = both.filter(F.greatest("mx", "my") > TAG_PAIRS)
+        return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    by_one = met(True, "k1")
+    return (by_one if min_shared < 2 else met(False, "k1", "k2").unionByName(by_one)).distinct()
+
+
+def overlaps(pairs: DataFrame, entry_tags: DataFrame, min_jaccard: float, min_shared: int) -> DataFrame:
+    """(a, b, shared, jaccard, weight) of the pairs (a, b) that overlap so much; entry_tags (e, t), distinct, of both ends."""
+    n = entry_tags.groupBy("e").agg(F.count("*").alias("n"))
+    side = lambda x: entry_tags.select(F.col("e").alias(x), "t")
+    shared = pairs.join(side("a"), "a").join(side("b"), ["b", "t"]).groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= min_shared)
+    sized = shared.join(n.select(F.col("e").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("e").alias("b"), F.col("n").alias("nb")), "b")
     out = sized.withColumn("jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).filter(F.col("jaccard") >= min_jaccard)
     return out.select("a", "b", "shared", "jaccard", F.greatest(F.lit(1), F.ceil(F.round(10 * F.col("jaccard"), 9))).cast("int").alias("weight"))
 
 
+def tag_overlap_pairs(entry_tags: DataFrame, min_jaccard: float = 0.30, min_shared: int = 2, max_fanout: int = 40, entry: str = "entry", tag: str = "tag") -> DataFrame:
+    """G1: (a, b, shared, jaccard, weight). A pair must share a tag of bounded fan-out; the overlap counts all tags."""
+    et = entry_tags.select(F.col(entry).alias("e"), F.col(tag).alias("t")).distinct()
+    rows = et.join(et.groupBy("t").agg(F.count("e").alias("f")).filter("f > 1"), "t").filter("e IS NOT NULL").select("e", "t", "f")
+    return overlaps(overlap_candidates(rows, rows, min_jaccard, min_shared, max_fanout), et, min_jaccard, min_shared)
+
+
 def array_pairs(ids: Column) -> Column:
     """Pairs (a, b), a < b, of an array's distinct values; no self-join. For arrays of a few hundred values."""
     s = F.array_sort(F.array_distinct(F.array_compact(ids)))
