@@ -14,8 +14,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.operators import graph
+from sparkloom.operators.windows import row_numbers
+
 #: Rows of a lookup side up to which it is broadcast; beyond that it is joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Entries of a page up to which one task picks them; more are numbered where they stand.
+PICKED_ROWS = 200_000
 
 
 def _bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -30,16 +35,13 @@ def touching_pairs(entry_tags: DataFrame, entries: DataFrame, min_jaccard: float
     own = entry_tags.join(_bounded(entries, entries.count()), "e", "left_semi").checkpoint()
     tags = own.select("t").distinct().checkpoint()
     worn = entry_tags.join(_bounded(tags, tags.count()), "t", "left_semi")
-    fit = worn.groupBy("t").agg(F.count("*").alias("n")).filter(F.col("n").between(2, max_fanout)).select("t").checkpoint()
-    near = worn.join(_bounded(fit, fit.count()), "t", "left_semi").checkpoint()
-    met = own.join(near.withColumnRenamed("e", "o"), "t").filter("e <> o").select(F.least("e", "o").alias("a"), F.greatest("e", "o").alias("b")).distinct().checkpoint()
+    fanout = worn.groupBy("t").agg(F.count("e").alias("f")).filter("f > 1").checkpoint()
+    known = _bounded(fanout, fanout.count())
+    rows = lambda df: df.join(known, "t").filter("e IS NOT NULL").select("e", "t", "f")
+    met = graph.overlap_candidates(rows(own), rows(worn), min_jaccard, min_shared, max_fanout).checkpoint()
     ends = met.select(F.col("a").alias("e")).unionByName(met.select(F.col("b").alias("e"))).distinct().checkpoint()
     sets = entry_tags.join(_bounded(ends, ends.count()), "e", "left_semi").checkpoint()
-    n = sets.groupBy("e").agg(F.count("*").alias("n"))
-    shared = met.join(sets.withColumnRenamed("e", "a"), "a").join(sets.withColumnRenamed("e", "b"), ["b", "t"]).groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= min_shared)
-    sized = shared.join(n.select(F.col("e").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("e").alias("b"), F.col("n").alias("nb")), "b")
-    out = sized.withColumn("jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).filter(F.col("jaccard") >= min_jaccard)
-    return out.select("a", "b", "shared", "jaccard", F.greatest(F.lit(1), F.ceil(F.round(10 * F.col("jaccard"), 9))).cast("int").alias("weight"))
+    return graph.overlaps(met, sets, min_jaccard, min_shared)
 
 
 def dirty_entries(entry_tags: DataFrame, changes: DataFrame, max_fanout: int = 40) -> DataFrame:
@@ -123,11 +125,16 @@ class PairTable:
         commits = self.commits()
         cursor = commits[-1]["cursor"] if commits else None
         ahead = entry_tags.select("e") if cursor is None else entry_tags.select("e").filter(F.col("e") > F.lit(cursor))
-        page = ahead.distinct().orderBy("e").limit(size + 1).checkpoint()  # size + 1 ids
-        found = page.count()
-        page = page.orderBy("e").limit(size)
+        if size < PICKED_ROWS:
+            page = ahead.distinct().orderBy("e").limit(size + 1)
+        else:
+            page = row_numbers(ahead.distinct(), [], ["e"]).filter(F.col("row") <= size + 1).select("e")
+        page = page.checkpoint()  # size + 1 ids
+        more = page.count() > size
+        if more:
+            past = page.agg(F.max("e")).first()[0]
+            page = page.filter(F.col("e") < F.lit(past))
         last = page.agg(F.max("e")).first()[0]
-        more = found > size
         return self._commit(commits, touching_pairs(entry_tags, page, **self.limits), page, last if more else None, not more)
 
     def apply(self, entry_tags: DataFrame, changes: DataFrame) -> dict:

@@ -29,10 +29,17 @@ def mined_pages(spark: SparkSession, d: str) -> DataFrame:
     """Three pages of entries, with a change of tags after the first: the same pairs as of all at once."""
     with_checkpoints(spark)
     lines = read(spark, d, "lineitem")
-    now = lines.select(F.col("l_orderkey").alias("e"), F.col("l_partkey").alias("t")).distinct()
     other = F.when((F.col("l_linenumber") == 1) & (F.col("l_returnflag") == "R"), F.col("l_suppkey")).otherwise(F.col("l_partkey"))
-    before = lines.select(F.col("l_orderkey").alias("e"), other.alias("t")).distinct()
-    changes = now.subtract(before).withColumn("added", F.lit(True)).unionByName(before.subtract(now).withColumn("added", F.lit(False)))
+
+    def tags(tag):  # written once: each step reads them several times
+        path = scratch(spark)
+        lines.select(F.col("l_orderkey").alias("e"), tag.alias("t")).distinct().write.parquet(path)
+        return spark.read.parquet(path)
+
+    now, before = tags(F.col("l_partkey")), tags(other)
+    state = F.max("_now").alias("added"), F.min("_now").alias("_all")
+    both = now.withColumn("_now", F.lit(True)).unionByName(before.withColumn("_now", F.lit(False)))
+    changes = both.groupBy("e", "t").agg(*state).filter(F.col("added") == F.col("_all")).drop("_all").checkpoint()
     table = mining.PairTable(spark, scratch(spark))
     third = -(-now.select("e").distinct().count() // 3)
     table.next_page(before, third)

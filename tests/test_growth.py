@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import itertools
+import random
+from collections import defaultdict
+
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import joins
+from sparkloom.operators import graph, joins, mining
 from sparkloom.plans import registry
 from tests.conftest import rows
 
 registry.load()
 
 
+@pytest.fixture(autouse=True)
+def checkpoints(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(f"{tmp_path}/checkpoints")
+
+
 @pytest.fixture
 def shuffled(spark):
     """Runs an action without broadcasts of tables: (its result, the rows that its stages shuffled)."""
@@ -59,3 +68,49 @@ def test_unsold_parts_shuffle_no_pairs(spark, shuffled, tmp_path):
     spark.range(50).select((F.col("id") * 10 + 3).alias("l_partkey"), F.lit(13).cast("long").alias("l_suppkey")).write.parquet(f"{tmp_path}/lineitem.parquet")
     got, n = shuffled(lambda: registry.QUERIES["unsold_parts"](spark, str(tmp_path)).count())
     assert got == 40 * 400 - 40 and n < 3000  # 16,000 pairs are offered
+
+
+def overlap_brute(pairs, min_jaccard, min_shared, max_fanout):
+    worn, wearers = defaultdict(set), defaultdict(set)
+    for e, t in pairs:
+        worn[e].add(t)
+        wearers[t].add(e)
+    out = []
+    for a, b in itertools.combinations(sorted(worn), 2):
+        s = worn[a] & worn[b]
+        if any(2 <= len(wearers[t]) <= max_fanout for t in s) and len(s) >= min_shared and len(s) / len(worn[a] | worn[b]) >= min_jaccard:
+            out.append((a, b, len(s)))
+    return out
+
+
+@pytest.mark.parametrize("width,min_jaccard,min_shared,max_fanout", [(32, 0.3, 2, 6), (3, 0.3, 2, 6), (4, 0.5, 3, 9), (3, 0.2, 1, 5), (5, 0.0, 2, 4), (2, 0.3, 2, 40)])
+def test_overlaps_equal_all_pairs(spark, monkeypatch, width, min_jaccard, min_shared, max_fanout):
+    monkeypatch.setattr(graph, "TAG_PAIRS", width)
+    r = random.Random(width)
+    pairs = [(e, int(r.paretovariate(0.6)) % 40) for e in range(60) for _ in range(r.choice((1, 2, 4, 7, 20)))]
+    df = spark.createDataFrame(pairs, "entry long, tag long").repartition(3)
+    got = sorted((r["a"], r["b"], r["shared"]) for r in graph.tag_overlap_pairs(df, min_jaccard, min_shared, max_fanout).collect())
+    assert got and got == overlap_brute(pairs, min_jaccard, min_shared, max_fanout)
+    et = df.select(F.col("entry").alias("e"), F.col("tag").alias("t")).distinct()
+    touched = mining.touching_pairs(et, et.filter("e < 20"), min_jaccard, min_shared, max_fanout)
+    assert sorted((r["a"], r["b"], r["shared"]) for r in touched.collect()) == [p for p in got if p[0] < 20 or p[1] < 20]
+
+
+def test_entries_that_share_one_tag_are_not_joined(spark, shuffled):
+    # 40 entries wear each tag, every two entries share at most one tag: 40 times 780 pairs meet at one tag.
+    pairs = spark.range(1600).select(F.expr("id div 40").alias("x"), (F.col("id") % 40).alias("y"), F.col("id").alias("entry"))
+    df = pairs.select("entry", F.col("x").alias("tag")).unionByName(pairs.select("entry", (1000 + F.col("y")).alias("tag"))).unionByName(pairs.select("entry", (2000 + F.col("entry")).alias("tag")))
+    got, n = shuffled(lambda: graph.tag_overlap_pairs(df).count())
+    assert got == 0 and n < 40_000
+    et = df.select(F.col("entry").alias("e"), F.col("tag").alias("t"))
+    got, n = shuffled(lambda: mining.touching_pairs(et, et.select("e").filter("e < 800")).count())
+    assert got == 0 and n < 40_000
+
+
+def test_a_large_page_is_numbered_where_it_stands(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(mining, "PICKED_ROWS", 2)
+    table = mining.PairTable(spark, f"file://{tmp_path}/t")
+    et = spark.createDataFrame([(e, e // 2) for e in range(10)] + [(e, 90 + e // 2) for e in range(10)], "e long, t long")
+    infos = [table.next_page(et, 4) for _ in range(3)]
+    assert [(i["cursor"], i["complete"]) for i in infos] == [(3, False), (7, False), (None, True)]
+    assert rows(table.pairs(), "a", "b") == [(0, 1), (2, 3), (4, 5), (6, 7), (8, 9)]
