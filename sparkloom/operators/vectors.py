@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 QUERY_BYTES = 32 << 20
 #: Records of a part that meets a block of queries.
 PART_RECORDS = 100_000
+#: Scores, and components of records, that a task holds at once as numbers.
+BLOCK_CELLS = 1 << 20
+#: Partial hits that a block of queries may have in a part, where they are gathered.
+BLOCK_HITS = 4_000_000
 
 
 def l2_normalize(v: Column) -> Column:
@@ -38,28 +42,41 @@ def round6(x: np.ndarray) -> np.ndarray:
 
 
 def _best(names: list, matrix: np.ndarray, batch: pa.RecordBatch, k: int, euclid: bool) -> Iterator[pa.RecordBatch]:
-    """Per query, the k best entries of a batch of records, in the order of the result."""
+    """Per query, the k best entries of each slice of a batch of records, in the order of the result. Records and queries
+    meet in blocks of BLOCK_CELLS, so that what a task holds doesn't grow with the number of queries."""
     dims = matrix.shape[1] if len(names) else 0
     lengths = batch.column("embedding").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     fits = np.flatnonzero(lengths == dims)
     if not len(fits) or not dims:
         return
-    part = batch.take(pa.array(fits))
-    x = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+    for at in range(0, len(fits), rows := max(1, BLOCK_CELLS // dims)):
+        part = batch.take(pa.array(fits[at : at + rows]))
+        entries = pc.rank(part.column("entry_id"), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy(zero_copy_only=False)
+        once = len(np.unique(entries)) == len(entries)
+        x = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+        for q in range(0, len(names), some := max(1, BLOCK_CELLS // len(x))):
+            yield _best_of_block(names[q : q + some], matrix[q : q + some], part, x, entries, once, k, euclid)
+
+
+def _best_of_block(names: list, matrix: np.ndarray, part: pa.RecordBatch, x: np.ndarray, entries: np.ndarray, once: bool, k: int, euclid: bool) -> pa.RecordBatch:
+    """The hits of some queries in some records, whose scores are held at once; once: entries stand in one record each."""
     scores = matrix @ x.T
     if euclid:
         scores = 1 / (1 + np.sqrt(np.maximum(0, (matrix**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * scores)))
-    entries = pc.rank(part.column("entry_id"), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy(zero_copy_only=False)
     rounded = round6(scores)
     # In the order of the result: no number counts as the largest.
     keys = np.where(np.isnan(rounded), -np.inf, -rounded)
-    for q, row in enumerate(rounded):
+    found = []
+    for q, row in enumerate(keys):
         # The best record of each entry, then the first k entries in the order of the result: an entry that the
         # whole needs has fewer than k before it in any batch.
-        order = np.lexsort((-scores[q], entries, keys[q]))
-        best = order[np.sort(np.unique(entries[order], return_index=True)[1])][:k]
-        ids = part.take(pa.array(best))
-        yield pa.RecordBatch.from_arrays([pa.array([names[q]] * len(best), pa.int64()), ids.column("entry_id"), ids.column("section_id"), pa.array(row[best])], ["query_id", "entry_id", "section_id", "score"])
+        near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1]) if once and 0 < k < len(row) else np.arange(len(row))
+        order = near[np.lexsort((-scores[q, near], entries[near], row[near]))]
+        found.append(order[:k] if once else order[np.sort(np.unique(entries[order], return_index=True)[1])][:k])
+    best = np.concatenate(found)
+    asked = np.repeat(np.arange(len(names)), [len(f) for f in found])
+    ids = part.take(pa.array(best))
+    return pa.RecordBatch.from_arrays([pa.array([names[q] for q in asked], pa.int64()), ids.column("entry_id"), ids.column("section_id"), pa.array(rounded[asked, best])], ["query_id", "entry_id", "section_id", "score"])
 
 
 def _hit_type(records: DataFrame) -> str:
@@ -116,7 +133,8 @@ def knn(records: DataFrame, queries: DataFrame, k: int, euclid: bool = False) ->
     asked = queries.filter(F.size("embedding") == dims).select("query_id", "embedding")
     rows = records.select("entry_id", "section_id", "embedding")
     blocks = -(-n * dims * 8 // QUERY_BYTES)
-    hits = _search(rows, asked, k, euclid) if blocks <= 1 else _search_blocks(rows, asked, blocks, k, euclid)
+    slices = PART_RECORDS // min(10_000, max(1, BLOCK_CELLS // dims))
+    hits = _search(rows, asked, k, euclid) if blocks <= 1 else _search_blocks(rows, asked, max(blocks, -(-n * k * slices // BLOCK_HITS)), k, euclid)
     best = hits.withColumn("score", F.round("score", 6)).groupBy("query_id", "entry_id").agg(F.max_by("section_id", "score").alias("section_id"), F.max("score").alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "entry_id")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

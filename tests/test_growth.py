@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import itertools
 import random
+import tracemalloc
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import graph, joins, mining
+from sparkloom.operators import graph, joins, mining, vectors
 from sparkloom.plans import registry
 from tests.conftest import rows
 
@@ -114,3 +117,24 @@ def test_a_large_page_is_numbered_where_it_stands(spark, monkeypatch, tmp_path):
     infos = [table.next_page(et, 4) for _ in range(3)]
     assert [(i["cursor"], i["complete"]) for i in infos] == [(3, False), (7, False), (None, True)]
     assert rows(table.pairs(), "a", "b") == [(0, 1), (2, 3), (4, 5), (6, 7), (8, 9)]
+
+
+@pytest.mark.parametrize("euclid", [False, True])
+def test_scores_of_many_queries_are_held_in_blocks(euclid):
+    r = np.random.default_rng(1)
+    x = r.integers(-4, 5, (4000, 4)).astype(np.float64)
+    q = r.integers(-4, 5, (1500, 4)).astype(np.float64)
+    batch = pa.RecordBatch.from_arrays([pa.array(r.permutation(4000)), pa.array(["s"] * 4000), pa.array(x.tolist(), pa.list_(pa.float32()))], ["entry_id", "section_id", "embedding"])
+    names = list(range(1500))
+    tracemalloc.start()
+    hits = [h for b in vectors._best(names, q, batch, 3, euclid) for h in b.to_pylist()]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    ids = batch.column("entry_id").to_numpy()
+    scores = vectors.round6(1 / (1 + np.sqrt(((q[:, None] - x[None]) ** 2).sum(2))) if euclid else q @ x.T)
+    got = defaultdict(list)
+    for h in hits:
+        got[h["query_id"]].append((-h["score"], h["entry_id"]))
+    for n in names:
+        assert sorted(got[n])[:3] == sorted(zip(-scores[n], ids, strict=True))[:3]
+    assert most < 100 << 20  # 6,000,000 scores are 48 MB in one table, of which several were held
