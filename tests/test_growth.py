@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import graph, joins, mining, vectors
+from sparkloom.operators import graph, joins, mining, search, vectors
 from sparkloom.plans import registry
 from tests.conftest import rows
 
@@ -138,3 +138,14 @@ def test_scores_of_many_queries_are_held_in_blocks(euclid):
     for n in names:
         assert sorted(got[n])[:3] == sorted(zip(-scores[n], ids, strict=True))[:3]
     assert most < 100 << 20  # 6,000,000 scores are 48 MB in one table, of which several were held
+
+
+def test_bm25_shuffles_words_not_products(spark, shuffled, monkeypatch):
+    words = [f"w{i}" for i in range(20)]
+    docs = spark.createDataFrame([(i, " ".join(words)) for i in range(300)], "id long, text string")
+    queries = spark.createDataFrame([(i, " ".join(words[: 10 + i % 10])) for i in range(50)], "query_id long, query string")
+    got, n = shuffled(lambda: rows(search.bm25(docs, queries)))
+    assert len(got) == 15_000 and n < 15_000  # 15,000 pairs are scored by 10 to 19 words each
+    monkeypatch.setattr(search, "SCORED_WORDS", 1)
+    key = lambda r: (r[0], r[1], round(r[2], 9))
+    assert [key(r) for r in got] == [key(r) for r in rows(search.bm25(docs, queries))]
