@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -13,6 +14,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import LongType, StructField, StructType
 
 LATE = "1 hour"
+GROUPS = 1024  # of keys that share a state
+JSON_NAMES = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def _steps(path: str, checkpoint: str, batch: int) -> str:
@@ -82,36 +85,74 @@ def dedup_active(events: DataFrame, ts: str, key: str = "dedup_key") -> DataFram
     return events.withWatermark(ts, LATE).dropDuplicatesWithinWatermark([key])
 
 
+def _exact(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with a mark for each long column and 0 for its nulls, and those columns: a null makes doubles of longs in pandas."""
+    longs = [f.name for f in df.schema if isinstance(f.dataType, LongType)]
+    marks = {f"_no_{c}": F.isnull(c) for c in longs}
+    return df.withColumns(marks).withColumns({c: F.coalesce(c, F.lit(0)) for c in longs}), longs
+
+
+def _whole(df: DataFrame, longs: list[str]) -> DataFrame:
+    """What _exact() was given, and columns added since."""
+    return df.withColumns({c: F.when(~F.col(f"_no_{c}"), F.col(c)) for c in longs}).drop(*[f"_no_{c}" for c in longs])
+
+
+class Numbers:
+    """A long for each key of a group of keys: two arrays that are read once and written once a batch, as each call of
+    a state goes to the JVM and back."""
+
+    def __init__(self, handle: StatefulProcessorHandle):
+        self.state = handle.getValueState("numbers", "names array<string>, numbers array<bigint>")
+
+    def read(self) -> dict[str, int]:
+        return dict(zip(*self.state.get(), strict=True)) if self.state.exists() else {}
+
+    def write(self, numbers: dict[str, int]) -> None:
+        if numbers:
+            self.state.update((list(numbers), list(numbers.values())))
+        else:
+            self.state.clear()
+
+
 class Cooldown(StatefulProcessor):
     """Lets a key's row pass when the last that passed is `seconds` ago. What passed is forgotten by a timer once the
-    watermark has come so far that any later row passes, so the state holds keys that are cooling down only."""
+    watermark has come so far that any later row passes, so the state holds keys that are cooling down only. A group
+    has one timer, for the first of its keys that is due."""
 
-    def __init__(self, seconds: int, columns: list[str]):
-        self.wait, self.columns = 1000 * seconds, columns
+    def __init__(self, seconds: int, columns: list[str], out: list[str]):
+        self.wait, self.columns, self.out = 1_000_000 * seconds, columns, out
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at long")
+        self.last = Numbers(handle)
+
+    def _keep(self, last: dict[str, int], timerValues) -> None:
+        """Writes what is still cooling down and sets the timer to its first end, in milliseconds after it or on it."""
+        mark = timerValues.getCurrentWatermarkInMs()
+        last = {k: at for k, at in last.items() if -(-(at + self.wait) // 1000) > mark}
+        self.last.write(last)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if last:
+            self.handle.registerTimer(-(-(min(last.values()) + self.wait) // 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows))
-        frame.columns = [*self.columns, "_ms"]  # a computed column comes without its name
-        frame = frame.sort_values("_ms", kind="stable")
-        before = last = self.last.get()[0] if self.last.exists() else None
-        passed = []
-        for i, at in enumerate(frame["_ms"].tolist()):
-            if last is None or at - last >= self.wait:
+        frame = pd.concat([f.set_axis(self.columns, axis=1) for f in rows], ignore_index=True)  # a computed column comes without its name
+        frame = frame.sort_values(["_name", "_us"], kind="stable", ignore_index=True)
+        last, passed, times = self.last.read(), [], frame["_us"].tolist()
+        starts = (~frame["_name"].duplicated()).to_numpy().nonzero()[0].tolist()
+        for name, i, end in zip(frame["_name"].iloc[starts].tolist(), starts, [*starts[1:], len(times)], strict=True):
+            if name in last:
+                i = bisect_left(times, last[name] + self.wait, i, end)
+            while i < end:
                 passed.append(i)
-                last = at
-        if last != before:
-            if before is not None:
-                self.handle.deleteTimer(before + self.wait)
-            self.handle.registerTimer(last + self.wait)
-            self.last.update((last,))
-        yield frame.iloc[passed][self.columns]
+                last[name] = times[i]
+                i = bisect_left(times, times[i] + self.wait, i + 1, end)
+        self._keep(last, timerValues)
+        yield frame.iloc[passed][self.out]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.last.clear()
+        self._keep(self.last.read(), timerValues)
         yield from ()
 
     def close(self) -> None:
@@ -121,43 +162,52 @@ class Cooldown(StatefulProcessor):
 class Sequence(StatefulProcessor):
     """Numbers a key's rows on from the last number given, in a batch by `order`."""
 
-    def __init__(self, order: list[str], columns: list[str]):
-        self.order, self.columns = order, columns
+    def __init__(self, order: list[str], columns: list[str], out: list[str]):
+        self.order, self.columns, self.out = order, columns, out
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.given = handle.getValueState("given", "n long")
+        self.given = Numbers(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows))
-        frame.columns = self.columns
-        frame = frame.sort_values(self.order, kind="stable")
-        n = self.given.get()[0] if self.given.exists() else 0
-        frame["cursor"] = range(n + 1, n + len(frame) + 1)
-        self.given.update((n + len(frame),))
-        yield frame[[*self.columns, "cursor"]]
+        frame = pd.concat([f.set_axis(self.columns, axis=1) for f in rows], ignore_index=True)
+        frame = frame.sort_values(self.order, kind="stable", ignore_index=True)
+        given, by_name = self.given.read(), frame.groupby("_name", sort=False)
+        before = frame["_name"].map(given).fillna(0).astype("int64") if given else 0
+        frame["cursor"] = before + by_name.cumcount() + 1
+        self.given.write(given | by_name["cursor"].max().to_dict())
+        yield frame[self.out]
 
     def close(self) -> None:
         pass
 
 
-def _with_state(grouped, processor: StatefulProcessor, schema, mode: str, spark: SparkSession) -> DataFrame:
-    """Such state needs the RocksDB store, which is set for the session."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    return grouped.transformWithStateInPandas(processor, outputStructType=schema, outputMode="append", timeMode=mode)
+def _with_state(events: DataFrame, keys: list[str], processor: Callable[[list[str]], StatefulProcessor], schema: StructType, mode: str, groups: int) -> DataFrame:
+    """Such state needs the RocksDB store, which is set for the session. Keys are dealt into groups by their hash and
+    named by their JSON form; processor() gets the columns that it meets."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    keys = keys + [f"_no_{k}" for k in keys if f"_no_{k}" in events.columns]
+    named = events.withColumns({"_name": F.to_json(F.struct(*keys), JSON_NAMES), "_group": F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int")})
+    return named.groupBy("_group").transformWithStateInPandas(processor(named.columns), outputStructType=schema, outputMode="append", timeMode=mode)
 
 
-def cooldown(events: DataFrame, key: str | list[str], ts: str, seconds: int = 86400) -> DataFrame:
+def cooldown(events: DataFrame, key: str | list[str], ts: str, seconds: int = 86400, groups: int = GROUPS) -> DataFrame:
     """K7: per key (a kind and an object, say) at most one row each `seconds`, by event time; rows that come after the
-    watermark are dropped. A key's rows of one batch are one task's: bound batches with maxBytesPerTrigger."""
+    watermark are dropped, and rows without a time. A group's rows of one batch are one task's: bound batches with
+    maxBytesPerTrigger. `groups` stays what it is as long as a checkpoint is used."""
     keys = [key] if isinstance(key, str) else key
-    timed = events.withWatermark(ts, LATE).withColumn("_ms", F.unix_millis(ts))
-    return _with_state(timed.groupBy(*keys), Cooldown(seconds, events.columns), events.schema, "EventTime", events.sparkSession)
+    marked, longs = _exact(events)
+    timed = marked.filter(F.col(ts).isNotNull()).withWatermark(ts, LATE).withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    return _whole(_with_state(timed, keys, lambda columns: Cooldown(seconds, columns, marked.columns), marked.schema, "EventTime", groups), longs).select(events.columns)
 
 
-def sequence(events: DataFrame, key: str, *order: str) -> DataFrame:
+def sequence(events: DataFrame, key: str, *order: str, groups: int = GROUPS) -> DataFrame:
     """K8: events with a cursor, from 1 on in each key, which goes on across batches and restarts. Batches must come in
-    order; in a batch `order` decides. The state has one number a key and is kept: a key never begins anew."""
-    return _with_state(events.groupBy(key), Sequence(list(order), events.columns), StructType([*events.schema, StructField("cursor", LongType())]), "None", events.sparkSession)
+    order; in a batch `order` decides, nulls last. The state has one number a key and is kept: a key never begins anew.
+    `groups` stays what it is as long as a checkpoint is used."""
+    marked, longs = _exact(events)
+    by = [x for c in order for x in ([f"_no_{c}", c] if c in longs else [c])]
+    schema = StructType([*marked.schema, StructField("cursor", LongType())])
+    return _whole(_with_state(marked, [key], lambda columns: Sequence(by, columns, schema.names), schema, "None", groups), longs).select(*events.columns, "cursor")
 
 
 def replay(events: DataFrame, key: str, after: DataFrame | None = None, limit: int = 1000) -> DataFrame:
