@@ -10,6 +10,7 @@ import re
 import tarfile
 import zipfile
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -131,7 +132,7 @@ def explode_archive(files: DataFrame, path: str = "path", content: str = "conten
 
 
 def parse_email(data: bytes) -> tuple:
-    m = email.message_from_bytes(data, policy=email.policy.default)
+    m = email.message_from_bytes(data, policy=_POLICY)
     text, html, files = None, None, []
     for part in m.walk():
         if part.is_multipart():
@@ -139,6 +140,20 @@ def parse_email(data: bytes) -> tuple:
         if part.get_content_disposition() == "attachment" or part.get_filename():
             body = part.get_payload(decode=True) or b""
             files.append({"name": part.get_filename() or "", "type": part.get_content_type(), "size": len(body)})
+# A mail's structure is asked of its headers again and again, and the library parses a header each time it is asked.
+_header = lru_cache(maxsize=512)(email.policy.default.header_fetch_parse)
+
+
+class _ParsedOnce(email.policy.EmailPolicy):
+    """The default policy; what it made of a short header is kept for a while."""
+
+    def header_fetch_parse(self, name, value):
+        return _header(name, value) if type(value) is str and len(value) <= 500 else super().header_fetch_parse(name, value)
+
+
+_POLICY = _ParsedOnce()
+
+
         elif part.get_content_type() == "text/plain" and text is None:
             text = decode(part.get_payload(decode=True) or b"")
         elif part.get_content_type() == "text/html" and html is None:
