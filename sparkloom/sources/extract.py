@@ -22,6 +22,7 @@ SKIP_DIRS = ("__MACOSX", "node_modules", "__pycache__", ".venv", "venv", ".idea"
 SKIP_NAMES = (".DS_Store", "Thumbs.db", "desktop.ini")
 SKIP_EXTS = ("pyc", "pyo", "class", "o", "so", "dll", "exe")
 INDEX_CHARS = 120_000
+MEMBER_BYTES, MEMBER_ROWS = 4 << 20, 2000  # of members sent on at once; at least one
 
 
 def decode(data: bytes) -> str:
@@ -121,25 +122,24 @@ def archive_members(name: str, data: bytes) -> Iterator[tuple[str, int, bytes]]:
 
 def explode_archive(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """(archive, path, size, bytes), one row per member, of zip and tar files; what is neither gives none."""
+    names = ["archive", "path", "size", "bytes"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        members, held = [], 0
         for f in frames:
             for name, data in zip(f[path], f[content], strict=True):
                 for member in archive_members(name, data or b""):
-                    yield pd.DataFrame([(name, *member)], columns=["archive", "path", "size", "bytes"])
+                    members.append((name, *member))
+                    held += len(member[2])
+                    if held >= MEMBER_BYTES or len(members) >= MEMBER_ROWS:
+                        yield pd.DataFrame(members, columns=names)
+                        members, held = [], 0
+        if members:
+            yield pd.DataFrame(members, columns=names)
 
     return files.select(path, content).mapInPandas(run, "archive string, path string, size bigint, bytes binary")
 
 
-def parse_email(data: bytes) -> tuple:
-    m = email.message_from_bytes(data, policy=_POLICY)
-    text, html, files = None, None, []
-    for part in m.walk():
-        if part.is_multipart():
-            continue
-        if part.get_content_disposition() == "attachment" or part.get_filename():
-            body = part.get_payload(decode=True) or b""
-            files.append({"name": part.get_filename() or "", "type": part.get_content_type(), "size": len(body)})
 # A mail's structure is asked of its headers again and again, and the library parses a header each time it is asked.
 _header = lru_cache(maxsize=512)(email.policy.default.header_fetch_parse)
 
@@ -154,6 +154,15 @@ class _ParsedOnce(email.policy.EmailPolicy):
 _POLICY = _ParsedOnce()
 
 
+def parse_email(data: bytes) -> tuple:
+    m = email.message_from_bytes(data, policy=_POLICY)
+    text, html, files = None, None, []
+    for part in m.walk():
+        if part.is_multipart():
+            continue
+        if part.get_content_disposition() == "attachment" or part.get_filename():
+            body = part.get_payload(decode=True) or b""
+            files.append({"name": part.get_filename() or "", "type": part.get_content_type(), "size": len(body)})
         elif part.get_content_type() == "text/plain" and text is None:
             text = decode(part.get_payload(decode=True) or b"")
         elif part.get_content_type() == "text/html" and html is None:

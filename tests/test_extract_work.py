@@ -1,13 +1,48 @@
-"""What the extractors do for each mail."""
+"""What the extractors do for each mail and each archive's member."""
 
 from __future__ import annotations
 
 import email.headerregistry
 import email.policy
+import io
+import zipfile
+
+import pandas as pd
 
 from sparkloom.sources import extract
 
 
+class Files:
+    """Stands for a DataFrame: gives the function that Spark would run."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInPandas(self, run, schema):
+        return run
+
+
+def archive(*bodies):
+    with zipfile.ZipFile(data := io.BytesIO(), "w", zipfile.ZIP_DEFLATED) as z:
+        for i, body in enumerate(bodies):
+            z.writestr(f"{i}.txt", body)
+    return data.getvalue()
+
+
+def test_members_are_sent_on_together(monkeypatch):
+    files = pd.DataFrame({"path": [f"f{i}" for i in range(50)] + ["empty", "none"], "content": [archive("a", "bc")] * 50 + [archive(), None]})
+    want = [(f"f{i}", f"{j}.txt", 1 + j, (b"a", b"bc")[j]) for i in range(50) for j in range(2)]
+    run = extract.explode_archive(Files())
+    frames = list(run(iter([files.iloc[:30], files.iloc[30:]])))
+    assert len(frames) == 1 and [tuple(r) for f in frames for r in f.itertuples(index=False)] == want
+    monkeypatch.setattr(extract, "MEMBER_ROWS", 7)
+    frames = list(run(iter([files])))
+    assert len(frames) == 15 and [tuple(r) for f in frames for r in f.itertuples(index=False)] == want
+    monkeypatch.setattr(extract, "MEMBER_BYTES", 3)
+    assert [len(f) for f in run(iter([files]))] == [2] * 50
+    assert list(run(iter([files.iloc[50:]]))) == []
+
+
 def mail(subject, sender, kind=b"text/plain", more=b""):
     return (
         b"Subject: " + subject + b"\r\nFrom: " + sender + b"\r\n" + more + b'MIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary="b' + str(len(subject)).encode()
