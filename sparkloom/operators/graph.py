@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,9 @@ from sparkloom.operators.joins import symmetric
 STRENGTH = {"cooccurrence": 10, "tag_overlap": 20, "citation": 30, "manual": 40}
 
 
+#: A table of so many bytes is sent to all tasks.
+SENT_BYTES = 8 << 20
+
 #: Tags of an entry up to which it is found by two shared tags at once; a wider one by one.
 TAG_PAIRS = 32
 
@@ -168,27 +172,51 @@ def vet_candidates(edges: DataFrame, now: Column, least: int = 2, ttl_days: int
     return out if limit is None else out.limit(limit)
 
 
+def _small(df: DataFrame, columns: list[str]) -> bool:
+    """Whether these columns have SENT_BYTES or less."""
+    size = df.agg(F.sum(sum((F.octet_length(F.col(c).cast("string")) for c in columns), F.lit(32)))).first()[0]
+    return (size or 0) <= SENT_BYTES
+
+
 def frequent_tag_sets(entry_tags: DataFrame, least: int = 10, entry: str = "entry", tag: str = "tag", k: int = 3) -> DataFrame:
     """Sets of k tags (t1 < t2 < ...) that `least` entries or more wear, with their support.
 
-    Level by level: a set is tried only if all its subsets of one tag less are frequent, which joins of the small table
-    of frequent sets decide before any entry is looked at; and an entry goes on to a level only with the frequent sets
-    it wears. Each level's frequent sets and who wears them are written by checkpoint()."""
-    worn = entry_tags.select(F.col(entry).alias("e"), F.array(tag).alias("s")).dropna().distinct()
-    frequent = worn.groupBy("s").agg(F.count("*").alias("support")).filter(F.col("support") >= least).checkpoint()
+    Entries that wear the same frequent tags are one row with their number. Level by level, a row with the first tags of
+    a set has all tags that may come next in an array, so that no entry is joined with itself and only sums of what each
+    task counted are shuffled. A set is tried only if the sets without its last, its last but one and its first tag are
+    frequent, which is looked up in the table of frequent sets."""
+    worn = entry_tags.select(F.col(entry).alias("e"), F.col(tag).alias("t1")).dropna().distinct().persist(StorageLevel.DISK_ONLY)
+    frequent = worn.groupBy("t1").agg(F.count("*").alias("support")).filter(F.col("support") >= least).checkpoint()
+    if k == 1:
+        worn.unpersist()
+        return frequent
+    known = F.broadcast(frequent.select("t1")) if _small(frequent, ["t1"]) else frequent.select("t1")
+    alike = worn.join(known, "t1", "left_semi").groupBy("e").agg(F.array_sort(F.collect_list("t1")).alias("s")).filter(F.size("s") >= k).groupBy("s").agg(F.count("*").alias("n"))
+    # Dealt out by blocks of first tags, over a number of tasks that small rows don't lessen: few of them make many sets.
+    cut = alike.select("n", "s", F.explode(F.sequence(F.lit(0), F.ceil(F.size("s") / PAIR_BLOCK).cast("int") - 1)).alias("_b"))
+    cut = cut.repartition(int(worn.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_b", "s").checkpoint()
+    worn.unpersist()
+    first = cut.select("n", "s", "_b", F.posexplode(F.slice("s", F.col("_b") * PAIR_BLOCK + 1, F.lit(PAIR_BLOCK))).alias("_i", "t1"))
+    rows = first.select("n", "t1", F.slice("s", F.col("_b") * PAIR_BLOCK + F.col("_i") + 2, F.size("s")).alias("rest"))
     for size in range(2, k + 1):
-        worn = worn.join(frequent.select("s"), "s", "left_semi").checkpoint()
-        stem, last = F.slice("s", 1, size - 2), F.element_at("s", -1)
-        tried = frequent.select(stem.alias("p"), last.alias("x")).join(frequent.select(stem.alias("p"), last.alias("y")), "p").filter("x < y").select(F.concat("p", F.array("x", "y")).alias("s"))
-        for left_out in range(1, size - 1):  # without x or y it is frequent: it was made from these
-            without = F.concat(F.slice("s", 1, left_out - 1), F.slice("s", left_out + 1, size - left_out))
-            tried = tried.withColumn("w", without).join(frequent.select(F.col("s").alias("w")), "w", "left_semi").select("s")
-        tried = tried.checkpoint()
-        left, right = worn.select("e", stem.alias("p"), last.alias("x")), worn.select("e", stem.alias("p"), last.alias("y"))
-        joined = left.join(right, ["e", "p"]).filter("x < y").select("e", F.concat("p", F.array("x", "y")).alias("s"))
-        worn = joined.join(tried, "s", "left_semi")
-        frequent = worn.groupBy("s").agg(F.count("*").alias("support")).filter(F.col("support") >= least).checkpoint()
-    return frequent.select(*[F.element_at("s", i).alias(f"t{i}") for i in range(1, k + 1)], "support")
+        t = [f"t{i}" for i in range(1, size + 1)]
+        if size > 2:
+            small = _small(frequent, t[:-1])
+            after = frequent.groupBy(*t[:-2]).agg(F.collect_list(t[-2]).alias("after"))
+
+            def sift(rows: DataFrame, by: list[str], need: int, after: DataFrame = after, small: bool = small) -> DataFrame:
+                """Rows whose tags in `by` begin frequent sets, with what may come after them."""
+                named = after.toDF(*by, "after")
+                both = rows.join(F.broadcast(named) if small else named, by)
+                return both.withColumn("rest", F.array_intersect("rest", "after")).drop("after").filter(F.size("rest") >= need)
+
+            own = sift(rows, t[:-2], 2)
+            longer = own.select("n", *t[:-2], "rest", F.posexplode("rest").alias("_i", t[-2]))
+            rows = sift(longer.select("n", *t[:-1], F.slice("rest", F.col("_i") + 2, F.size("rest")).alias("rest")), t[1:-1], 1)
+            rows = rows if small else rows.checkpoint()
+        counted = rows.select("n", *t[:-1], F.explode("rest").alias(t[-1])).groupBy(*t).agg(F.sum("n").alias("support"))
+        frequent = counted.filter(F.col("support") >= least).checkpoint()
+    return frequent.select(*[f"t{i}" for i in range(1, k + 1)], "support")
 
 
 def covered(tags: Column, view: Column) -> Column:

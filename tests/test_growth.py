@@ -149,3 +149,31 @@ def test_bm25_shuffles_words_not_products(spark, shuffled, monkeypatch):
     monkeypatch.setattr(search, "SCORED_WORDS", 1)
     key = lambda r: (r[0], r[1], round(r[2], 9))
     assert [key(r) for r in got] == [key(r) for r in rows(search.bm25(docs, queries))]
+
+
+def test_sets_of_tags_are_counted_where_they_are_made(spark, shuffled):
+    r = random.Random(6)
+    pairs = [(e, f"t{t:02}") for e in range(200) for t in r.sample(range(20), 18)]
+    df = spark.createDataFrame(pairs, "entry int, tag string")
+    got, n = shuffled(lambda: graph.frequent_tag_sets(df, 5, k=3).collect())
+    assert len(got) == 1140 and sum(x["support"] for x in got) == 200 * 816
+    assert n < 40_000  # 30,600 pairs and 163,200 sets of three are worn
+
+
+@pytest.mark.parametrize("k", [2, 3, 4, 5])
+def test_sets_of_tags_in_blocks_and_without_broadcasts(spark, monkeypatch, k):
+    monkeypatch.setattr(graph, "PAIR_BLOCK", 3)
+    monkeypatch.setattr(graph, "SENT_BYTES", -1)
+    r = random.Random(k)
+    worn = [(e, int(r.paretovariate(0.5)) % 50) for e in range(50) for _ in range(r.choice((1, 3, 9, 25)))]
+    worn += [(100 + e, t) for e in range(5) for t in range(7)] + [(None, 1), (1, None)]
+    tags = defaultdict(set)
+    for e, t in worn:
+        if e is not None and t is not None:
+            tags[e].add(t)
+    want = defaultdict(int)
+    for ts in tags.values():
+        for c in itertools.combinations(sorted(ts), k):
+            want[c] += 1
+    got = {tuple(x)[:k]: x["support"] for x in graph.frequent_tag_sets(spark.createDataFrame(worn, "entry int, tag int"), 5, k=k).collect()}
+    assert got == {c: n for c, n in want.items() if n >= 5}
