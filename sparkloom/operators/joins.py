@@ -193,11 +193,11 @@ def bundle(entries: DataFrame, tags: DataFrame, related: DataFrame, key: str = "
 
 
 def verified_citations(citations: DataFrame, reads: DataFrame) -> DataFrame:
-    """Citations (entry_id, quote, page) whose quote occurs in a read (entry_id, text) of the same entry. Each quote
-    and text is brought to its normal form once, before the join."""
+    """Citations (entry_id, quote, page) whose quote occurs in a read (entry_id, text) of the same entry, each
+    once. Each quote and text is brought to its normal form once, before the join, which stops at a citation's first read."""
     c = citations.select("entry_id", "quote", "page").distinct().withColumn("_q", T.normalize_quote(F.col("quote")))
-    hits = c.join(reads.select("entry_id", T.normalize_quote(F.col("text")).alias("_t")), "entry_id").filter(T.quote_in_source(F.col("_q"), F.col("_t"), normal=True))
-    return hits.select("entry_id", "quote", "page").distinct()
+    r = reads.select(F.col("entry_id").alias("_e"), T.normalize_quote(F.col("text")).alias("_t"))
+    return c.join(r, (F.col("entry_id") == F.col("_e")) & T.quote_in_source(F.col("_q"), F.col("_t"), normal=True), "left_semi").select("entry_id", "quote", "page")
 
 
 def quote_pages(quotes: DataFrame, pages: DataFrame) -> DataFrame:

@@ -177,3 +177,14 @@ def test_sets_of_tags_in_blocks_and_without_broadcasts(spark, monkeypatch, k):
             want[c] += 1
     got = {tuple(x)[:k]: x["support"] for x in graph.frequent_tag_sets(spark.createDataFrame(worn, "entry int, tag int"), 5, k=k).collect()}
     assert got == {c: n for c, n in want.items() if n >= 5}
+
+
+def test_a_citation_meets_reads_until_one_has_it(spark):
+    cited = spark.range(400).select((F.col("id") % 2).alias("entry_id"), F.concat(F.lit("word "), F.col("id") % 50).alias("quote"), (F.col("id") % 4).alias("page"))
+    reads = spark.range(300).select((F.col("id") % 3).alias("entry_id"), F.concat(F.lit("a Word, "), F.col("id")).alias("text"))
+    df = joins.verified_citations(cited, reads)
+    want = {(e, f"word {q}", i % 4) for i in range(400) for e, q in [(i % 2, i % 50)] if any(r % 3 == e and str(r).startswith(str(q)) for r in range(300))}
+    got = [tuple(r) for r in df.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and plan.count("Aggregate") == 1  # no pairs of a citation and a read are made, so none are made one again
