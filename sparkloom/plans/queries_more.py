@@ -36,7 +36,7 @@ def archived_texts(spark: SparkSession, d: str) -> DataFrame:
     return members.select("archive", "path", "size", F.md5("bytes").alias("body"))
 
 
-@query("mailed_texts", """SELECT doc_id::VARCHAR AS path, 'About ' || source AS subject, lang || '@example.com' AS sender, md5(substr(coalesce(text, ''), 1, 120000)) AS text, 1::BIGINT AS attachments, doc_id % 7 AS size FROM documents""")
+@query("mailed_texts", """SELECT doc_id::VARCHAR AS path, 'About ' || source AS subject, lang || '@example.com' AS sender, md5(coalesce(text, '')) AS text, 1::BIGINT AS attachments, doc_id % 7 AS size FROM documents""")
 def mailed_texts(spark: SparkSession, d: str) -> DataFrame:
     """Each document as a mail with an attachment, read again."""
     line = "\r\n"

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 SKIP_DIRS = ("__MACOSX", "node_modules", "__pycache__", ".venv", "venv", ".idea", ".vscode", "dist", "build", "target")
 SKIP_NAMES = (".DS_Store", "Thumbs.db", "desktop.ini")
 SKIP_EXTS = ("pyc", "pyo", "class", "o", "so", "dll", "exe")
-INDEX_CHARS = 120_000
 MEMBER_BYTES, MEMBER_ROWS = 4 << 20, 2000  # of members sent on at once; at least one
 
 
@@ -168,7 +167,7 @@ def parse_email(data: bytes) -> tuple:
         elif part.get_content_type() == "text/html" and html is None:
             html = decode(part.get_payload(decode=True) or b"")
     body = text if text is not None else html_text(html)
-    return str(m["subject"] or ""), str(m["from"] or ""), str(m["to"] or ""), str(m["date"] or ""), body[:INDEX_CHARS], files
+    return str(m["subject"] or ""), str(m["from"] or ""), str(m["to"] or ""), str(m["date"] or ""), body, files
 
 
 def extract_email(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import email.headerregistry
 import email.policy
 import io
@@ -74,3 +75,10 @@ def test_a_header_is_parsed_once(monkeypatch):
     for i in range(20):
         extract.parse_email(mail(b"s" * (i + 1) + b" once", b"s%d@example.com" % i))
     assert len(parsed) <= 20 * 7  # of 7 headers each, and 4 of their types are alike
+
+
+def test_a_mails_text_is_whole():
+    long = "é <b> " * 50_000 + "end"
+    for kind, want in ((b"text/plain", long), (b"text/html", "é " * 49_999 + "é end")):
+        data = b"Subject: s\r\nMIME-Version: 1.0\r\nContent-Type: " + kind + b"; charset=utf-8\r\nContent-Transfer-Encoding: base64\r\n\r\n" + base64.encodebytes(long.encode())
+        assert extract.parse_email(data)[4] == want
