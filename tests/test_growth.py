@@ -73,6 +73,32 @@ def test_unsold_parts_shuffle_no_pairs(spark, shuffled, tmp_path):
     assert got == 40 * 400 - 40 and n < 3000  # 16,000 pairs are offered
 
 
+@pytest.mark.parametrize("sizes", [(256, 16, 256), (4, 2, 2), (9, 1, 1)])
+def test_missing_pairs_in_many_units(spark, monkeypatch, sizes):
+    for name, n in zip(("SIDE", "UNIT_A", "UNIT_B"), sizes, strict=True):
+        monkeypatch.setattr(joins, name, n)
+    r = random.Random(5)
+    a, b = [r.randrange(90) for _ in range(120)], [r.randrange(70) for _ in range(100)]
+    taken = [(r.randrange(90), r.randrange(70)) for _ in range(2000)] + [(4, i) for i in range(70)] + [(i, 7) for i in range(90)]
+    left, right = spark.createDataFrame([(x,) for x in [*a, None]], "a int"), spark.createDataFrame([(x,) for x in [*b, None]], "b long")
+    sold = spark.createDataFrame([*taken, (None, 3), (5, None)], "a long, b int")
+    for on, met in (((F.col("a") % 3, F.col("b") % 3), lambda x, y: x % 3 == y % 3), (F.col("a") < F.col("b"), lambda x, y: x < y)):
+        df = joins.missing_pairs(left, right, on, sold, "a", "b")
+        assert df.dtypes == [("a", "int"), ("b", "bigint")]
+        assert sorted(map(tuple, df.collect())) == sorted((x, y) for x in a for y in b if met(x, y) and (x, y) not in set(taken))
+        assert joins.missing_pairs(left.limit(0), right, on, sold, "a", "b").count() == 0
+
+
+def test_unsold_parts_files_are_small(spark, tmp_path):
+    spark.range(5120).select(F.col("id").alias("p_partkey")).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(10_000).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(5120).select(F.col("id").alias("l_partkey"), (F.col("id") + 10).alias("l_suppkey")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    registry.QUERIES["unsold_parts"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.count() == 512 * 10_000 - 5120 and got.distinct().count() == got.count()
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < got.count() // 2  # two bytes a pair with a part's suppliers side by side
+
+
 def overlap_brute(pairs, min_jaccard, min_shared, max_fanout):
     worn, wearers = defaultdict(set), defaultdict(set)
     for e, t in pairs:
